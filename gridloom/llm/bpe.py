@@ -17,7 +17,8 @@ import hashlib
 import json
 import re
 import unicodedata
-from collections.abc import Iterable
+from array import array
+from collections.abc import Callable, Iterable, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -28,8 +29,10 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.shared import map_batches
 
-#: Words and pairs that a worker remembers at most; then it forgets them all and goes on.
-REMEMBER = 1 << 18
+#: Words and pairs that a worker remembers at most, beside those of one batch.
+REMEMBER = 1 << 20
+#: White space to Python's patterns, but not to the library's.
+ODD_SPACES = re.compile("[\x1c-\x1f]")
 #: Characters that Python, its regex module and the library class alike (a test compares them one by one).
 COMMON = regex.compile(r"[\x00-\x1b\x20-\u017fΑ-ΡΣ-ϼЀ-ҁҊ-ԯ\u2010-\u2027\u2030-\u205e₠-₿ぁ-ゖァ-ヺ一-龥가-힣]*+")
 #: Fixed value: the split pattern that has a faster equal for texts of common characters.
@@ -54,6 +57,15 @@ def _common_split() -> re.Pattern:
     return re.compile(rf"[{letters}]+|'(?:s|t|re|ve|m|ll|d)|[{numbers}]|[^\s{letters}{numbers}]+")
 
 
+def _common(text: str) -> bool:
+    """Are all characters common? Latin-1, all of it common but for four controls, is tried first."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return bool(COMMON.fullmatch(text))
+    return not ODD_SPACES.search(text)
+
+
 def _byte_letters() -> list[str]:
     """The letter that byte-level vocabularies write for each byte: printable ones for themselves, the rest from U+0100 on."""
     plain = {*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)}
@@ -180,30 +192,24 @@ class Vocabulary:
         return False
 
 
-class _Remember(dict):
-    def __init__(self, make):
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, key):
-        if len(self) >= REMEMBER:
-            self.clear()
-        value = self[key] = self.make(key)
-        return value
+class Encoder:
+    """Encodes batches of texts. form makes what is remembered of a word's ids, and join puts such pieces together.
 
+    Texts are split into words; the words of a batch that aren't remembered are encoded in sorted order, so a prefix that they
+    share is worked out once; then texts are joined from the words' pieces. What is remembered is bounded: over REMEMBER
+    entries, only those of the present batch stay.
+    """
 
-class Encoder:
-    def __init__(self, vocabulary: Vocabulary):
+    def __init__(self, vocabulary: Vocabulary, form: Callable[[list[int]], object] = tuple, join: Callable[[Iterable], object] | None = None):
         v = self.v = vocabulary
+        self.form, self.join = form, join or (lambda pieces: [i for p in pieces for i in p])
         self.follow = dict(zip(v.automaton.keys.tolist(), v.automaton.targets.tolist(), strict=True))
         self.link, self.length = v.automaton.link.tolist(), v.automaton.length.tolist()
         self.lists: dict[int, tuple] = {0: ()}
-        self.apart = _Remember(lambda pair: not v._earlier(*pair))
+        self.pairs: dict[int, bool] = {}
         self.words = _common_split() if v.pattern == KNOWN_SPLIT else regex.compile(v.pattern)
-        self.special = regex.compile("|".join(map(regex.escape, sorted(v.added, key=len, reverse=True)))) if v.added else None
-        self.written = _Remember(lambda w: " ".join(map(str, self.word(w))))
-        self.packed = _Remember(lambda w: np.array(self.word(w), "<u4").tobytes())
-        self.name = _Remember(lambda i: v.names[int(i)])
+        self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(v.added, key=len, reverse=True))) + ")") if v.added else None
+        self.pieces: dict[str, object] = {}
         self.library = None
 
     def _ending(self, state: int) -> tuple:
@@ -213,72 +219,130 @@ class Encoder:
             found = self.lists[state] = self.v.automaton.own.get(state, ()) + self._ending(self.link[state])
         return found
 
-    def word(self, word: str) -> list[int]:
-        """Ids of one word, by dynamic programming over its prefixes."""
-        symbols = list(word.encode())
-        symbols[-1] += 256
-        follow, link, length, apart = self.follow, self.link, self.length, self.apart
-        last, back = [-1], [0]
-        state = known = 0
-        for end, symbol in enumerate(symbols, 1):
-            while (there := follow.get(state << 9 | symbol)) is None:
-                state = link[state]
-                known = length[state]
-            state, known = there, known + 1
-            for size, token in self._ending(state):
-                if size <= known and (size == end or apart[last[end - size], token]):
-                    last.append(token)
-                    back.append(end - size)
-                    break
-            else:
-                raise AssertionError(f"no last token for a prefix of {word!r}")
-        ids, end = [], len(symbols)
-        while end:
-            ids.append(last[end])
-            end = back[end]
-        return ids[::-1]
+    def _compatible(self, left: int, right: int) -> bool:
+        key = left << 20 | right
+        found = self.pairs.get(key)
+        if found is None:
+            if len(self.pairs) >= REMEMBER:
+                self.pairs.clear()
+            found = self.pairs[key] = not self.v._earlier(left, right)
+        return found
+
+    def encode_words(self, words: Iterable[str]) -> dict[str, list[int]]:
+        """Ids of each word, by dynamic programming over prefixes; last and back are those of the prefixes of the word before, as far as they are the same."""
+        follow, link, length, lists, pairs, ending, compatible = self.follow, self.link, self.length, self.lists, self.pairs, self._ending, self._compatible
+        out: dict[str, list[int]] = {}
+        states, known, last, back = [0], [0], [-1], [0]
+        before = b""
+        for raw, word in sorted((w.encode(), w) for w in words):
+            n = len(raw)
+            same, most = 0, min(n, len(before)) - 1
+            while same < most and raw[same] == before[same]:
+                same += 1
+            del states[same + 1 :], known[same + 1 :], last[same + 1 :], back[same + 1 :]
+            before, state, size_known = raw, states[same], known[same]
+            for end in range(same + 1, n + 1):
+                symbol = raw[end - 1] if end < n else raw[end - 1] + 256
+                while (there := follow.get(state << 9 | symbol)) is None:
+                    state = link[state]
+                    size_known = length[state]
+                state = there
+                size_known += 1
+                found = lists.get(state)
+                for size, token in ending(state) if found is None else found:
+                    if size <= size_known:
+                        if size == end:
+                            break
+                        left = last[end - size]
+                        good = pairs.get(left << 20 | token)
+                        if compatible(left, token) if good is None else good:
+                            break
+                else:
+                    raise AssertionError(f"no last token for a prefix of {word!r}")
+                states.append(state)
+                known.append(size_known)
+                last.append(token)
+                back.append(end - size)
+            ids, end = [], n
+            while end:
+                ids.append(last[end])
+                end = back[end]
+            out[word] = ids[::-1]
+        return out
 
     def split(self, text: str) -> list[str]:
-        """The words of a text between added tokens."""
-        if COMMON.fullmatch(text):
+        """The words of a text without added tokens."""
+        if _common(text):
             if not text.isascii():
                 text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
             return self.words.findall(text.lower())
         if self.library is None:
-            from tokenizers import Tokenizer
+            from tokenizers import Regex, Tokenizer
             from tokenizers.pre_tokenizers import Split
 
-            t = Tokenizer.from_str(self.v.text)
-            from tokenizers import Regex
-
-            self.library = t.normalizer, Split(Regex(self.v.pattern), "removed", invert=True)
+            self.library = Tokenizer.from_str(self.v.text).normalizer, Split(Regex(self.v.pattern), "removed", invert=True)
         normal, splitter = self.library
         return [w for w, _ in splitter.pre_tokenize_str(normal.normalize_str(text))]
 
-    def pieces(self, text: str, made: dict, special) -> list:
-        if self.special is None or not self.special.search(text):
-            return list(map(made.__getitem__, self.split(text)))
-        out, at = [], 0
-        for m in self.special.finditer(text):
-            out += map(made.__getitem__, self.split(text[at : m.start()]))
-            out.append(special(self.v.added[m[0]]))
-            at = m.end()
-        return out + list(map(made.__getitem__, self.split(text[at:])))
-
-    def encode_written(self, text: str | None) -> str:
-        """Decimal ids joined by spaces."""
-        return " ".join(self.pieces(text or "", self.written, str))
-
-    def encode_packed(self, text: str | None) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        return b"".join(self.pieces(text or "", self.packed, lambda i: np.array([i], "<u4").tobytes()))
+    def _split_with_added(self, text: str) -> list[str]:
+        """A text's words; an added token is one of its own, marked by a space in front."""
+        if self.special is None or not any(t in text for t in self.v.added):
+            return self.split(text)
+        out: list[str] = []
+        for i, part in enumerate(self.special.split(text)):
+            out += [" " + part] if i % 2 else self.split(part)
+        return out
+
+    def encode_batch(self, texts: Sequence[str | None]) -> list:
+        split = [self._split_with_added(t or "") for t in texts]
+        present = set().union(*split)
+        if len(self.pieces) + len(present) > REMEMBER:
+            self.pieces = {w: self.pieces[w] for w in present if w in self.pieces}
+        new = present.difference(self.pieces)
+        self.pieces |= {w: self.form([self.v.added[w[1:]]]) for w in new if w[0] == " "}
+        self.pieces |= {w: self.form(ids) for w, ids in self.encode_words(w for w in new if w[0] != " ").items()}
+        piece = self.pieces.__getitem__
+        return [self.join(map(piece, words)) for words in split]
 
     def encode(self, text: str | None) -> list[int]:
-        return np.frombuffer(self.encode_packed(text), "<u4").tolist()
+        return list(self.encode_batch([text])[0])
 
-    def decode(self, ids: Iterable) -> str:
+    def decode(self, ids: Iterable[int]) -> str:
         """The file has no decoder: tokens as they are written, joined by spaces."""
-        return " ".join(map(self.name.__getitem__, ids))
+        return " ".join(map(self.v.names.__getitem__, ids))
+
+
+class LibraryEncoder(Encoder):
+    """The same, with the words' ids from the tokenizers library, for those who need ids and not the method."""
+
+    def __init__(self, vocabulary: Vocabulary, *options):
+        super().__init__(vocabulary, *options)
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.whole = Tokenizer.from_str(vocabulary.text)
+        self.whole.normalizer = normalizers.Sequence([])  # words are normal and split already
+        self.whole.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.whole.encode_special_tokens = True
+
+    def encode_words(self, words: Iterable[str]) -> dict[str, list[int]]:
+        listed = list(words)
+        return {w: e.ids for w, e in zip(listed, self.whole.encode_batch(listed, add_special_tokens=False), strict=True)}
+
+
+def library_packed(vocabulary: Vocabulary, kind: str = "<u4") -> Encoder:
+    code = {"<u2": "H", "<u4": "I"}[kind]
+    return LibraryEncoder(vocabulary, lambda ids: array(code, ids).tobytes(), b"".join)
+
+
+def packed(vocabulary: Vocabulary, kind: str = "<u4") -> Encoder:
+    """An encoder to bytes of little-endian ids."""
+    code = {"<u2": "H", "<u4": "I"}[kind]
+    return Encoder(vocabulary, lambda ids: array(code, ids).tobytes(), b"".join)
+
+
+def written(vocabulary: Vocabulary) -> Encoder:
+    """An encoder to decimal ids joined by spaces."""
+    return Encoder(vocabulary, lambda ids: " ".join(map(str, ids)), " ".join)
 
 
 @lru_cache(maxsize=4)
@@ -287,15 +351,16 @@ def vocabulary(path: str) -> Vocabulary:
         return Vocabulary(f.read())
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple, Encoder] = {}
 
 
-def encoder(shared: Broadcast) -> Encoder:
+def encoder(shared: Broadcast, make: Callable[..., Encoder], *options) -> Encoder:
     """The worker's encoder for a broadcast vocabulary; made once a worker."""
     key, v = shared.value
+    key = (key, make.__name__, *options)
     if key not in _encoders:
         _encoders.clear()
-        _encoders[key] = Encoder(v)
+        _encoders[key] = make(v, *options)
     return _encoders[key]
 
 
@@ -310,11 +375,12 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     shared, kind = share(docs.sparkSession, path), docs.schema[id_col].dataType.simpleString()
 
     def make():
-        e = encoder(shared)
+        e = encoder(shared, written)
+        names = {str(i): t for i, t in e.v.names.items()}
 
         def one(batch):
-            ids = [e.encode_written(t) for t in batch.column(1).to_pylist()]
-            return {id_col: batch.column(0), "ids": ids, "decoded": [e.decode(x.split(" ") if x else ()) for x in ids]}
+            ids = e.encode_batch(batch.column(1).to_pylist())
+            return {id_col: batch.column(0), "ids": ids, "decoded": [" ".join(map(names.__getitem__, x.split())) for x in ids]}
 
         return one
 

@@ -8,7 +8,8 @@ are laid out in order, the queues of one round in turn, as one stream of tokens
 full but the last one, and of every stretch of the stream each source has its share up to one document.
 
 A queue's share is its given weight; sources without one share what they would have had, their part of all tokens. A queue
-that runs dry leaves its share to the others. Null sources count as the empty source, null texts as empty; every document
+that runs dry leaves its share to the others. The ids are the tokenizers library's: each distinct word that a batch adds goes through it once, and a worker remembers it.
+Null sources count as the empty source, null texts as empty; every document
 has at least the end token, so repeated and empty rows are packed like any other. Empty tables give no pieces.
 """
 
@@ -20,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.bpe import encoder, share
+from gridloom.llm.bpe import encoder, library_packed, share
 from gridloom.llm.shared import map_batches, prefix_sum, save
 
 SEQUENCE, END_ID = 2048, 1
@@ -33,18 +34,16 @@ def tokenized(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     """Saved: row, id_col, queue, n (tokens with the end token) and ids (16-bit where all ids of the vocabulary fit, else 32-bit)."""
     shared, kind = share(docs.sparkSession, path), docs.schema[id_col].dataType.simpleString()
     narrow = max(end_id, *shared.value[1].names) < 65536
-    end = np.array([end_id], "<u4").tobytes()
+    kind_of_id = "<u2" if narrow else "<u4"
+    end = np.array([end_id], kind_of_id).tobytes()
     rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(f"`{id_col}`"), F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit("")).alias("queue"), F.col(f"`{text_col}`").cast("string").alias("_text"))
 
     def make():
-        e = encoder(shared)
+        e = encoder(shared, library_packed, kind_of_id)
 
         def one(batch):
-            ids = [e.encode_packed(t) + end for t in batch.column(3).to_pylist()]
-            n = [len(x) // 4 for x in ids]
-            if narrow:
-                ids = [np.frombuffer(x, "<u4").astype(SMALL).tobytes() for x in ids]
-            return {"_row": batch.column(0), id_col: batch.column(1), "queue": batch.column(2), "n": n, "ids": ids}
+            ids = [x + end for x in e.encode_batch(batch.column(3).to_pylist())]
+            return {"_row": batch.column(0), id_col: batch.column(1), "queue": batch.column(2), "n": [len(x) // len(end) for x in ids], "ids": ids}
 
         return one
 
