@@ -9,8 +9,8 @@ Search: a fingerprint is cut into four 32-bit blocks. Two that differ in at most
 each a permutation that leads with another block, hold all candidates; a pair is judged only in the first table in which
 it meets. Equal fingerprints are one entry with a count.
 
-Null texts count as empty; texts without terms have fingerprint zero. Documents are in order of their id, nulls first, and
-repeated ids in row order; the last one's next document is the first. Empty tables give no rows.
+Null texts count as empty; texts without terms have fingerprint zero. Ids are numbers; documents are in order of their id, nulls first, and
+repeated ids in the order of their texts; the last one's next document is the first. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from gridloom.llm.shared import save, with_row_id
 
 MAX_WEIGHT, RADIUS, BITS = 16, 3, 128
+#: Rows of a range of ids, about, and ranges at most: beyond that the ranges grow.
+PART_ROWS, MAX_PARTS = 2048, 4096
 HALVES = 0x0000000100000001
 
 
@@ -77,17 +79,20 @@ def within_radius(all_fps: DataFrame, queries: DataFrame) -> DataFrame:
     return near.groupBy("q_hi", "q_lo").agg(F.sum("n").alias("n_within"))
 
 
-def successors(rows: DataFrame, id_col: str) -> DataFrame:
-    """rows: _row, id_col, n. Saved: _row, n, next (the next row's _row), prev, n_prev. Ranges of ids are put in order, and the ranges' ends joined."""
-    ranged = save(rows.select("_row", F.col(f"`{id_col}`").alias("_id"), "n").repartitionByRange("_id", "_row").withColumn("_part", F.spark_partition_id()), "ranges")
-    here = F.struct("_row", "n")
-    ends = ranged.groupBy("_part").agg(F.min(F.struct("_id", "_row", "n")).alias("first"), F.max(F.struct("_id", "_row", "n")).alias("last"))
-    parts = Window.orderBy("_part")  # one row for each range
-    whole = parts.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ends = ends.select("_part", F.coalesce(F.lead("first").over(parts), F.first("first").over(whole)).alias("after"), F.coalesce(F.lag("last").over(parts), F.last("last").over(whole)).alias("ahead"))
-    order = Window.partitionBy("_part").orderBy("_id", "_row")
-    linked = ranged.join(F.broadcast(ends), "_part").select("_row", "n", F.coalesce(F.lead("_row").over(order), F.col("after._row")).alias("next"), F.coalesce(F.lag(here).over(order), F.struct("ahead._row", "ahead.n")).alias("prev"))
-    return save(linked.select("_row", "n", "next", F.col("prev._row").alias("prev"), F.col("prev.n").alias("n_prev")), "successors")
+def _in_parts(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """id, text and _part, a range of ids: quantiles of the ids, MAX_PARTS at most, are all that reaches the driver."""
+    rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+    parts = max(1, min(MAX_PARTS, docs.count() // PART_ROWS))
+    edges = rows.agg(F.percentile_approx("_id", [i / parts for i in range(1, parts)], 100 * parts)).first()[0] if parts > 1 else None
+    edges = sorted(set(edges or ()))
+    return rows.withColumn("_part", F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= F.col("_id"))) if edges else F.lit(0)), parts
+
+
+def _after(firsts: DataFrame, value: str) -> DataFrame:
+    """firsts: one row for each part. _part and after: the value of the next part that has rows; of the last, the first's."""
+    order = Window.orderBy("_part")  # MAX_PARTS rows at most
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return firsts.select("_part", F.coalesce(F.lead(value).over(order), F.first(value).over(whole)).alias("after"))
 
 
 def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -102,23 +107,24 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     The edited text is the text with its last floor(n_chars / 2) code points replaced by as many of the next document's first.
     n_within, for ids divisible by 20: the rows, itself included, whose fingerprints are within the radius of its own.
     """
-    rows = save(with_row_id(docs.select(F.col(f"`{id_col}`"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")), "_row"), "texts")
-    after = successors(rows.select("_row", id_col, F.length("text").cast("long").alias("n")), id_col)
-    placed = rows.join(after, "_row")
-    half = lambda c: F.floor(F.col(c) / 2).cast("int")
-    heads = placed.select(F.col("prev").alias("_row"), F.substring("text", F.lit(1), half("n_prev")).alias("head"))
-    both = placed.join(heads, "_row").select("_row", id_col, "n", "next", "text", F.concat(F.substring("text", F.lit(1), (F.col("n") - half("n")).cast("int")), "head").alias("edited"))
-    texts = both.select("_row", id_col, "n", "next", F.explode(F.array(F.struct(F.lit(0).alias("which"), F.col("text").alias("text"), F.lit("").alias("sha")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("text"), F.sha2("edited", 256).alias("sha")))).alias("x"))
-    keys = ["_row", id_col, "n", "next", "which", "sha"]
-    prints = simhash(texts.select("_row", id_col, "n", "next", "x.which", "x.sha", "x.text"), keys)
-    one = save(prints.groupBy("_row", id_col, "n", "next").agg(F.max("sha").alias("sha"), *[F.max(F.when(F.col("which") == i, F.col(c))).alias(f"{c}{i}") for i in (0, 1) for c in ("hi", "lo")]), "fingerprints")
+    rows, _ = _in_parts(docs, id_col, text_col)
+    order = Window.partitionBy("_part").orderBy("_id", "text")  # rows of the same id and text are alike
+    firsts = save(rows.groupBy("_part").agg(F.min(F.struct("_id", "text")).alias("first")).select("_part", F.col("first.text").alias("first")), "firsts")
+    placed = rows.select("_part", "_id", "text", F.row_number().over(order).alias("_rank"), F.lead("text").over(order).alias("_next"))
+    placed = placed.join(F.broadcast(_after(firsts, "first")), "_part")  # one text for each part
+    n, half = F.length("text"), F.floor(F.length("text") / 2).cast("int")
+    edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring(F.coalesce("_next", "after"), F.lit(1), half))
+    placed = placed.select("_part", "_rank", "_id", n.cast("long").alias("n"), F.explode(F.array(F.struct(F.lit(0).alias("which"), F.col("text").alias("text")), F.struct(F.lit(1).alias("which"), edited.alias("text")))).alias("x"))
+    keys = ["_part", "_rank", "_id", "n", "which", "sha"]
+    prints = simhash(placed.select("_part", "_rank", "_id", "n", "x.which", F.when(F.col("x.which") == 1, F.sha2("x.text", 256)).alias("sha"), "x.text"), keys)
+    one = save(prints.groupBy("_part", "_rank", "_id", "n").agg(F.max("sha").alias("sha"), *[F.max(F.when(F.col("which") == i, F.col(c))).alias(f"{c}{i}") for i in (0, 1) for c in ("hi", "lo")]), "fingerprints")
+    ahead = _after(one.where("_rank = 1").select("_part", F.struct("hi0", "lo0").alias("first")), "first")
+    one = one.join(F.broadcast(ahead), "_part").withColumn("_n", F.coalesce(F.lead(F.struct("hi0", "lo0")).over(Window.partitionBy("_part").orderBy("_rank")), "after")).withColumns({"hi2": F.col("_n.hi0"), "lo2": F.col("_n.lo0"), id_col: F.col("_id")})
     plain = one.select(F.col("hi0").alias("hi"), F.col("lo0").alias("lo"), F.col(f"`{id_col}`"))
     found = within_radius(plain.select("hi", "lo"), plain.where(F.col(f"`{id_col}`") % 20 == 0).select("hi", "lo"))
-    nexts = one.select(F.col("_row").alias("next"), F.col("hi0").alias("hi2"), F.col("lo0").alias("lo2"))
     asked = F.when(F.col(f"`{id_col}`") % 20 == 0, F.coalesce("n_within", F.lit(0)))
     return (
-        one.join(nexts, "next")
-        .join(found, (F.col("hi0") == F.col("q_hi")) & (F.col("lo0") == F.col("q_lo")), "left")
+        one.join(found, (F.col("hi0") == F.col("q_hi")) & (F.col("lo0") == F.col("q_lo")), "left")
         .select(
             F.col(f"`{id_col}`"), F.col("n").alias("n_chars"), F.col("sha").alias("edited_sha256"), written("hi0", "lo0").alias("fingerprint"), written("hi1", "lo1").alias("edited_fingerprint"),
             likeness(distance("hi0", "lo0", "hi1", "lo1")).alias("near_edited"), likeness(distance("hi0", "lo0", "hi2", "lo2")).alias("near_next"), asked.alias("n_within"),
