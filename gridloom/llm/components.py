@@ -11,8 +11,8 @@ from gridloom.llm.shared import checkpoint
 def connected_components(edges: DataFrame) -> DataFrame:
     """edges: a, b (long). Returns (id, root) for each end of an edge; root is the same for all that are connected.
 
-    Each round every node points at its smallest neighbour if that is smaller, pointers are followed three times, and the
-    edges are rewritten between what they point at and made distinct. The graph shrinks by a factor each round, and rounds
+    Each round every node points at its smallest neighbour if that is smaller, pointers are doubled until they end, and the
+    edges are rewritten between those ends and made distinct. The graph shrinks by a factor each round, and rounds
     go on until no edge is left, so the depth of a component sets no limit. Only the number of edges reaches the driver.
     """
     edges = checkpoint(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
@@ -20,10 +20,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while not edges.isEmpty():
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         step = checkpoint(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("p")))
-        for _ in range(3):
-            up = step.select(F.col("a").alias("p"), F.col("p").alias("q"))
-            step = step.join(up, "p").select("a", F.col("q").alias("p"))
-        step = checkpoint(step)
+        moving = True
+        while moving:  # pointers of pointers, until all point at their last one
+            for _ in range(2):
+                up = step.select(F.col("a").alias("p"), F.col("p").alias("q"))
+                step = step.join(up, "p").select("a", F.col("q").alias("p"), (F.col("p") != F.col("q")).alias("moved"))
+            step = checkpoint(step)
+            moving = not step.where("moved").isEmpty()
+            step = step.select("a", "p")
         if roots is None:
             roots = step.select(F.col("a").alias("id"), F.col("p").alias("root"))
         else:

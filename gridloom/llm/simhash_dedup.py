@@ -112,5 +112,5 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     marked = save(with_fingerprints(docs.withColumn(row, F.monotonically_increasing_id()), text_col, fp, [*docs.columns, row]), "marked")
     slim = marked.select(F.col(fp).alias("_f"), F.col(f"`{id_col}`").alias("_id"), F.col(row).alias("_row"))
     classes = _classes(marked, fp, F.col(f"`{id_col}`")).select(F.col("fp").alias("_f"), F.col("root").alias("_c"))
-    kept = slim.join(classes, "_f").groupBy("_c").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_row")).alias("least")).select(F.col("least._row").alias("_row"))
-    return marked.join(kept, F.col(row) == F.col("_row"), "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = slim.join(classes, "_f").groupBy("_c").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_row")).alias("least")).select(F.col("least._row").alias("__kept"))
+    return marked.join(kept, F.col(row) == F.col("__kept"), "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
