@@ -1,0 +1 @@
+"""Streams: the reference system has none, so there is nothing here."""
