@@ -20,7 +20,7 @@ import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from gridloom.llm.shared import map_batches
 
 TRAIN_ROWS, MAX_FEATURES, MIN_DOCUMENTS, FOLDS = 8192, 65536, 4, 5
+#: Hash buckets of the first count; fewer than 65,536 texts are counted in each.
+BUCKETS = 1 << 22
 #: Letters of a word beginning.
 BEGINNING = 5
 L2, STEPS = 0.5, 60
@@ -148,10 +150,10 @@ class Chain:
     threshold: float = 2.0
     out_of_fold: np.ndarray | None = None
 
-    def rows(self, texts: Sequence[set[str]]) -> Rows:
+    def rows(self, texts: Iterable[set[str]]) -> Rows:
         get = self.index.get
-        found = [[i for i in map(get, expand(t)) if i is not None] for t in texts]
-        return Rows(np.fromiter((i for f in found for i in f), np.int64), np.concatenate(([0], np.cumsum([len(f) for f in found]))).astype(np.int64))
+        found = [np.fromiter((i for i in map(get, expand(t)) if i is not None), np.int32) for t in texts]
+        return Rows(np.concatenate([np.zeros(0, np.int32), *found]), np.concatenate(([0], np.cumsum([len(f) for f in found]))).astype(np.int64))
 
     def score(self, texts: Sequence[set[str]]) -> np.ndarray:
         """Probabilities, a column for each category, each model fed with those before it."""
@@ -162,15 +164,24 @@ class Chain:
         return np.column_stack(out) if out else np.zeros((len(texts), len(self.categories)))
 
 
-def train(texts: Sequence[set[str]], labels: np.ndarray, categories: Sequence[str], folds: Sequence[int]) -> Chain:
-    """labels: a row for each text, a column for each category, 0 or 1. folds: each text's fold."""
+def _common_features(texts: Sequence[str]) -> list[str]:
+    """The MAX_FEATURES most frequent features of at least MIN_DOCUMENTS texts. Features are counted by name only where their hash bucket has that many."""
+    place = lambda f: zlib.crc32(f.encode()) & (BUCKETS - 1)
+    buckets = np.zeros(BUCKETS, np.uint16)
+    for t in texts:
+        buckets[np.unique(np.fromiter(map(place, expand(set(t.split()))), np.int64))] += 1
+    seen = Counter(f for t in texts for f in expand(set(t.split())) if buckets[place(f)] >= MIN_DOCUMENTS)
+    return sorted((f for f, n in seen.items() if n >= MIN_DOCUMENTS), key=lambda f: (-seen[f], f))[:MAX_FEATURES]
+
+
+def train(texts: Sequence[str], labels: np.ndarray, categories: Sequence[str], folds: Sequence[int]) -> Chain:
+    """texts: each one's distinct words, joined by spaces. labels: a row for each text, a column for each category, 0 or 1. folds: each text's fold."""
     chain = Chain(list(categories))
     if not len(texts):
         return chain
-    seen = Counter(f for t in texts for f in expand(t))
-    common = sorted((f for f, n in seen.items() if n >= MIN_DOCUMENTS), key=lambda f: (-seen[f], f))[:MAX_FEATURES]
+    common = _common_features(texts)
     chain.index = {f: i for i, f in enumerate(common)}
-    x, size, folds = chain.rows(texts), len(common), np.asarray(folds)
+    x, size, folds = chain.rows(set(t.split()) for t in texts), len(common), np.asarray(folds)
     before = np.zeros((len(texts), 0))
     for c in range(len(categories)):
         y, honest = labels[:, c].astype(float), np.zeros(len(texts))
@@ -214,8 +225,7 @@ def train_on(docs: DataFrame, labels: DataFrame, categories: dict[str, str], id_
     ys = [f"_y{i}" for i in range(len(categories))]
     rows = map_batches(labelled.select("_text", *ys), make, "words string, " + ", ".join(f"{y} int" for y in ys)).limit(2 * TRAIN_ROWS).collect()
     rows.sort(key=lambda r: (r["words"], *(r[y] for y in ys)))
-    words = [set(r["words"].split()) for r in rows]
-    return train(words, np.array([[r[y] for y in ys] for r in rows]).reshape(-1, len(ys)), list(categories), [zlib.crc32(r["words"].encode()) % FOLDS for r in rows])
+    return train([r["words"] for r in rows], np.array([[r[y] for y in ys] for r in rows]).reshape(-1, len(ys)), list(categories), [zlib.crc32(r["words"].encode()) % FOLDS for r in rows])
 
 
 def score(docs: DataFrame, chain: Chain, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
