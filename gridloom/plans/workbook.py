@@ -154,6 +154,17 @@ class Workbook:
         own = [r for r in refs if r.book is None and (r.sheet is None or r.sheet.lower() in (t.sheet.lower(), t.name.lower()))]
         return [c for r in own for c in t.columns[r.first : r.last + 1]]
 
+    def _circular(self, t: Table, column: str) -> bool:
+        """Whether a formula reads itself through formulas of its own table."""
+        seen: set[str] = set()
+        todo = [column]
+        while todo:
+            for c in self._reads(t, todo.pop()):
+                if c in t.formulas and not t.formulas[c].included and c not in seen:
+                    seen.add(c)
+                    todo.append(c)
+        return column in seen and not t.formulas[column].included
+
     def _applied(self, lowered: _Lowered, df: DataFrame, output: str, chain: tuple) -> DataFrame:
         plain = [c for c in df.columns if c != output]
         for (table, step), reads in zip(lowered.steps, lowered.reads, strict=True):
@@ -185,6 +196,9 @@ class Workbook:
                 try:
                     base = self.frame(t.name, {c for c in self.order(t, {column}) if c != column})
                     out.append(_Lowering(self, t, column, base, ((t.name, column),)).run().translation)
+                    if self._circular(t, column):
+                        out[-1].status = "unsupported"
+                        out[-1].notes.append(f"{t.name}.{column} depends on itself")
                 except Unsupported as e:
                     out.append(Translation(t.name, column, t.formulas[column].formula, t.output(column), "unsupported", [str(e)]))
         return out
