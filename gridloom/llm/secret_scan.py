@@ -2,9 +2,11 @@
 
 Every text is matched against fixed patterns. The values found are candidates: their hashes are counted over distinct
 repositories and owners of the whole corpus, first by (hash, owner, repository), then by (hash, owner), then by hash, so a
-value that a third of the rows carry is aggregated before each shuffle. A candidate that looks live (long, of many different
-characters, letters and digits mixed, no placeholder word) and belongs to few owners is live; one that more owners carry is a
-widely copied example. The live values add spans of kind live to those of the patterns.
+value that a third of the rows carry is aggregated before each shuffle. A candidate that looks live (no placeholder word; long,
+of many different characters, letters and digits mixed, or an assigned value of enough entropy, or of a known prefix) and
+belongs to few owners is live; one that more owners carry is a widely copied example. The live values add spans of kind
+live to those of the patterns. Redaction counts owners over distinct contexts: a value between the same neighbours, on one
+side at least, in many sources is one leak that was copied with its passage, and goes.
 
 Null texts count as empty. A null owner or repository counts as one of its own. Empty tables give empty results.
 """
@@ -30,6 +32,10 @@ PLACEHOLDERS = "(?i)example|sample|dummy|changeme|placeholder|your_|xxxx|1234567
 #: A value of more owners than this is a widely copied example.
 MAX_OWNERS = 2
 MIN_LIVE_LENGTH, MIN_DISTINCT_CHARS = 16, 8
+#: Bits a character of an assigned value that looks random, letters only or shorter than MIN_LIVE_LENGTH as it may be.
+MIN_ENTROPY = 3.0
+#: Code points on each side of a value that make its context.
+CONTEXT = 32
 SPAN = "struct<start:int,rank:int,end:int,kind:string,value_start:int,value:string>"
 
 
@@ -57,8 +63,17 @@ def find_spans(docs: DataFrame, text_col: str, into: str) -> DataFrame:
     return docs.withColumn("_text", text).withColumn(into, F.array_sort(F.concat(*[_spans(*p) for p in PATTERNS]))).drop("_text")
 
 
-def looks_live(value: Column) -> Column:
-    return (F.length(value) >= MIN_LIVE_LENGTH) & (F.size(F.array_distinct(F.split(value, ""))) >= MIN_DISTINCT_CHARS) & value.rlike("[0-9]") & value.rlike("[A-Za-z]") & ~value.rlike(PLACEHOLDERS)
+def entropy(value: Column) -> Column:
+    """Bits a character, by the value's own counts."""
+    n = F.length(value).cast("double")
+    counts = F.transform(F.array_distinct(F.filter(F.split(value, ""), lambda c: c != "")), lambda c: (F.length(value) - F.length(F.replace(value, c, F.lit("")))).cast("double"))
+    return F.log2(n) - F.aggregate(counts, F.lit(0.0), lambda acc, k: acc + k * F.log2(k)) / n
+
+
+def looks_live(value: Column, kind: Column) -> Column:
+    varied = F.size(F.array_distinct(F.split(value, ""))) >= MIN_DISTINCT_CHARS
+    mixed = (F.length(value) >= MIN_LIVE_LENGTH) & varied & value.rlike("[0-9]") & value.rlike("[A-Za-z]")
+    return (mixed | (kind == "assign") & (entropy(value) >= MIN_ENTROPY) | kind.isin("access", "known") & varied) & ~value.rlike(PLACEHOLDERS)
 
 
 def ownership(found: DataFrame) -> DataFrame:
@@ -68,12 +83,22 @@ def ownership(found: DataFrame) -> DataFrame:
     return owners.groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("repos").alias("n_repos"), F.sum("n").alias("n_seen"))
 
 
-def _judged(rows: DataFrame, max_owners: int) -> DataFrame:
-    """rows: _row, _spans, _owner, _repo, saved. Returns (_row, judged) for rows that have spans; judged adds n_owners, n_repos and live."""
-    each = rows.where(F.size("_spans") > 0).select("_row", "_owner", "_repo", F.explode("_spans").alias("s"))
-    each = each.select("_row", "_owner", "_repo", "s", F.sha2(F.col("s.value"), 256).alias("hash"))
-    counts = save(ownership(each.select("hash", F.col("_owner").alias("owner"), F.col("_repo").alias("repo"))), "ownership")
-    live = (F.col("n_owners") <= max_owners) & looks_live(F.col("s.value"))
+def _contexts(each: DataFrame) -> DataFrame:
+    """each: hash, left and right. One row for each hash: n_contexts, its distinct neighbours on the side that has fewer."""
+    left, right = (each.groupBy("hash", side).agg(F.lit(1).alias("one")).groupBy("hash").agg(F.count("*").alias(f"n_{side}")) for side in ("left", "right"))
+    return left.join(right, "hash").select("hash", F.least("n_left", "n_right").alias("n_contexts"))
+
+
+def _judged(rows: DataFrame, max_owners: int, contexts: bool = False) -> DataFrame:
+    """rows: _row, _spans, _owner, _repo, saved; with contexts _sides, for each span. Returns (_row, judged) for rows that have spans; judged adds n_owners, n_repos and live."""
+    sides = F.col("_sides") if contexts else F.transform("_spans", lambda s: F.struct(F.lit(0).alias("left"), F.lit(0).alias("right")))
+    each = rows.where(F.size("_spans") > 0).select("_row", "_owner", "_repo", F.explode(F.zip_with("_spans", sides, lambda s, x: F.struct(s.alias("s"), x.alias("x")))).alias("e"))
+    each = each.select("_row", "_owner", "_repo", F.col("e.s").alias("s"), F.col("e.x.left").alias("left"), F.col("e.x.right").alias("right"), F.sha2(F.col("e.s.value"), 256).alias("hash"))
+    counts = ownership(each.select("hash", F.col("_owner").alias("owner"), F.col("_repo").alias("repo")))
+    counts = counts.join(_contexts(each), "hash") if contexts else counts
+    counts = save(counts, "ownership")
+    few = F.least("n_owners", "n_contexts") if contexts else F.col("n_owners")
+    live = (few <= max_owners) & looks_live(F.col("s.value"), F.col("s.kind"))
     return each.join(counts, "hash").groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("s.start", "s.rank", "s.end", "s.kind", "s.value_start", "s.value", "n_owners", "n_repos", live.alias("live")))).alias("judged"))
 
 
@@ -112,11 +137,14 @@ def _merged(judged: Column) -> Column:
 
 
 def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = None, owner: Column | None = None, repo: Column | None = None, max_owners: int = MAX_OWNERS, mark: str = "[SECRET]") -> DataFrame:
-    """docs with each live value replaced by mark, and length_col, if given, set anew; widely copied examples and all other text stay."""
+    """docs with each live value replaced by mark, and length_col, if given, set anew; examples that many owners carry in different contexts and all other text stay."""
     names = docs.columns
     row, spans = unused(docs, "row"), unused(docs, "spans")
     found = save(with_row_id(find_spans(_owned(docs, owner, repo), text_col, spans), row), "found")
-    judged = _judged(found.select(F.col(row).alias("_row"), F.col(spans).alias("_spans"), "_owner", "_repo"), max_owners)
+    whole = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    side = lambda start, end: F.xxhash64(F.trim(F.regexp_replace(F.lower(F.substring(whole, start + 1, end - start)), r"\s+", " ")))
+    sides = F.transform(F.col(spans), lambda s: F.struct(side(F.greatest(s["value_start"] - CONTEXT, F.lit(0)), s["value_start"]).alias("left"), side(s["end"], s["end"] + CONTEXT).alias("right")))
+    judged = _judged(found.select(F.col(row).alias("_row"), F.col(spans).alias("_spans"), sides.alias("_sides"), "_owner", "_repo"), max_owners, contexts=True)
     judged = judged.where(F.exists("judged", lambda s: s["live"]))
     hit = found.where(F.size(spans) > 0).join(judged.withColumnRenamed("_row", row), row, "left")
     text, cuts = F.col(f"`{text_col}`"), F.col("_cuts")
