@@ -6,6 +6,9 @@ gives, for each fingerprint of a text, the templates and places that have it, an
 Starts that lie within the band of each other are one candidate, which is aligned with the template inside the band. A match
 reports the share of the template's words that the alignment finds and the span in code points from the first to the last.
 
+A notice (a template of under NOTICE_WORDS words) also needs its names and numbers inside the span, so another licence's notice
+in like words isn't taken for it.
+
 Null and empty texts have no matches. Repeated occurrences are matches of their own. Of overlapping matches that with more
 words, then the better coverage, then the first name is kept. The templates' size is checked; documents are read whole.
 """
@@ -41,6 +44,25 @@ TEMPLATES = {
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
 
+_OR_LATER = "This {what} is free software: you can redistribute it and/or modify it under the terms of the GNU {kind} License as published by the Free Software Foundation, either version {v} of the License, or (at your option) any later version."
+_KINDS = {"GPL-2.0": ("General Public", "2"), "LGPL-2.1": ("Lesser General Public", "2.1"), "LGPL-3.0": ("Lesser General Public", "3"), "AGPL-3.0": ("Affero General Public", "3")}
+#: Notices of other licence families, in the words of those above.
+TEMPLATES |= {f"{name}-notice": f"This work is licensed under the GNU {kind} License, version {v}." for name, (kind, v) in _KINDS.items()}
+TEMPLATES |= {f"{name}-or-later": _OR_LATER.format(what="library" if name[0] == "L" else "program", kind=kind, v=v) for name, (kind, v) in _KINDS.items()}
+TEMPLATES |= {f"CC-{k}-{v}-notice": f"Licensed under CC {k} {v}." for k in ("BY", "BY-SA", "BY-ND", "BY-NC", "BY-NC-SA", "BY-NC-ND") for v in ("3.0", "4.0") if (k, v) != ("BY-NC", "4.0")}
+TEMPLATES |= {f"{k}-notice": f"Released under the {k} License." for k in ("BSD", "ISC", "zlib", "Artistic")}
+TEMPLATES |= {f"BSD-{n}-Clause-notice": f"Released under the BSD {n}-Clause License." for n in (2, 3)}
+TEMPLATES |= {
+    "CC0-1.0-notice": "Released under CC0 1.0 Universal.",
+    "MPL-2.0-notice": "Licensed under the Mozilla Public License, Version 2.0.",
+    "EPL-2.0-notice": "Licensed under the Eclipse Public License, Version 2.0.",
+    "BSL-1.0-notice": "Distributed under the Boost Software License, Version 1.0.",
+    "BSD-3-Clause": TEMPLATES["BSD-2-Clause"] + " Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+}
+NOTICE_WORDS = 60
+#: Words that tell one licence's notice from another's, besides numbers.
+NAMES = set("mit apache gnu lesser affero mozilla mpl eclipse boost bsd isc zlib artistic cc cc0 nc sa nd creative commons".split())
+
 
 def lowered(text: str) -> str:
     """Lower case of the same length."""
@@ -71,6 +93,7 @@ class Index:
     templates: list[np.ndarray]
     posts: dict[int, list[tuple[int, int]]]
     keys: np.ndarray
+    required: list[set[int]]
 
     @classmethod
     def of(cls, templates: dict[str, str]) -> Index:
@@ -85,7 +108,7 @@ class Index:
             grams = _grams(row, len(words) + 1)
             for place in range(len(grams)):  # all places: a text's window may choose any of them
                 posts.setdefault(int(grams[place]), []).append((t, place))
-        return cls(list(templates), words, rows, posts, np.array(sorted(posts)))
+        return cls(list(templates), words, rows, posts, np.array(sorted(posts)), [{words[w] for w in WORD.findall(lowered(t)) if w.isdigit() or w in NAMES} if len(r) < NOTICE_WORDS else set() for t, r in zip(templates.values(), rows, strict=True)])
 
     def matches(self, text: str | None, min_coverage: float = MIN_COVERAGE) -> list[dict]:
         low = lowered(text or "")
@@ -112,7 +135,9 @@ class Index:
                     first, last = group[0] - band, group[-1] + size + band
                     hit = align(self.templates[t], ids[max(0, first) : last], band + (group[-1] - group[0]) // 2 + 1, (group[0] + group[-1]) // 2 - max(0, first))
                     if hit and hit[0] / size >= min_coverage:
-                        out.append((hit[0], hit[0] / size, self.names[t], max(0, first) + hit[1], max(0, first) + hit[2]))
+                        a, b = max(0, first) + hit[1], max(0, first) + hit[2]
+                        if self.required[t].issubset(ids[a : b + 1].tolist()):
+                            out.append((hit[0], hit[0] / size, self.names[t], a, b))
                     group = []
                 if s is not None:
                     group.append(s)
