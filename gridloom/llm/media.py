@@ -40,6 +40,29 @@ class _Reader(HTMLParser):
         self.silent = 0
         self.figure: list[int] | None = None
         self.caption: list[str] | None = None
+        self.said: list[tuple[int, str]] = []
+
+    def end_figure(self) -> None:
+        """Give the captions to all media of the figure, or make them text items at their places where there are none."""
+        self.end_caption()
+        self.flush()
+        if self.figure:
+            for i in self.figure:
+                self.items[i]["caption"] = " ".join(x for _, x in self.said) or self.items[i]["caption"]
+        else:
+            for at, x in reversed(self.said):
+                self.items.insert(at, {"kind": "text", "text": x, "src": None, "caption": None})
+        self.figure, self.said = None, []
+
+    def end_caption(self) -> None:
+        if self.caption is None:
+            return
+        said = " ".join("".join(self.caption).split())
+        self.caption = None
+        if said and self.figure is None:
+            self.items.append({"kind": "text", "text": said, "src": None, "caption": None})
+        elif said:
+            self.said.append((len(self.items), said))
 
     def flush(self) -> None:
         text = " ".join("".join(self.run).split())
@@ -60,24 +83,22 @@ class _Reader(HTMLParser):
         elif tag in BLOCKS:
             self.flush()
             if tag == "figure":
+                if self.figure is not None:
+                    self.end_figure()
                 self.figure = []
             elif tag == "figcaption":
+                self.end_caption()
                 self.caption = []
 
     def handle_endtag(self, tag):
         if tag in SILENT:
             self.silent = max(0, self.silent - 1)
         elif tag == "figcaption" and self.caption is not None:
-            said = " ".join("".join(self.caption).split())
-            for i in self.figure or ():
-                self.items[i]["caption"] = said or self.items[i]["caption"]
-            if self.figure is None and said:
-                self.items.append({"kind": "text", "text": said, "src": None, "caption": None})
-            self.caption = None
+            self.end_caption()
         elif tag in BLOCKS:
             self.flush()
-            if tag == "figure":
-                self.figure = None
+            if tag == "figure" and self.figure is not None:
+                self.end_figure()
 
     def handle_data(self, data):
         if not self.silent:
@@ -89,9 +110,7 @@ def parse(page: str | None) -> list[dict]:
     reader = _Reader()
     reader.feed(page or "")
     reader.close()
-    if reader.caption is not None:
-        reader.handle_endtag("figcaption")
-    reader.flush()
+    reader.end_figure()
     return [{"position": i, **x, "digest": x["src"].removeprefix(REFERENCE) if x["src"] and x["src"].startswith(REFERENCE) else None} for i, x in enumerate(reader.items)]
 
 
