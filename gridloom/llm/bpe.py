@@ -19,6 +19,7 @@ import re
 import unicodedata
 from array import array
 from collections.abc import Callable, Iterable, Sequence
+from copy import copy
 from functools import lru_cache
 
 import numpy as np
@@ -200,11 +201,14 @@ class Encoder:
     entries, only those of the present batch stay.
     """
 
+    remember = REMEMBER
+
     def __init__(self, vocabulary: Vocabulary, form: Callable[[list[int]], object] = tuple, join: Callable[[Iterable], object] | None = None):
         v = self.v = vocabulary
         self.form, self.join = form, join or (lambda pieces: [i for p in pieces for i in p])
-        self.follow = dict(zip(v.automaton.keys.tolist(), v.automaton.targets.tolist(), strict=True))
-        self.link, self.length = v.automaton.link.tolist(), v.automaton.length.tolist()
+        if v.automaton is not None:
+            self.follow = dict(zip(v.automaton.keys.tolist(), v.automaton.targets.tolist(), strict=True))
+            self.link, self.length = v.automaton.link.tolist(), v.automaton.length.tolist()
         self.lists: dict[int, tuple] = {0: ()}
         self.pairs: dict[int, bool] = {}
         self.words = _common_split() if v.pattern == KNOWN_SPLIT else regex.compile(v.pattern)
@@ -296,7 +300,7 @@ class Encoder:
     def encode_batch(self, texts: Sequence[str | None]) -> list:
         split = [self._split_with_added(t or "") for t in texts]
         present = set().union(*split)
-        if len(self.pieces) + len(present) > REMEMBER:
+        if len(self.pieces) + len(present) > self.remember:
             self.pieces = {w: self.pieces[w] for w in present if w in self.pieces}
         new = present.difference(self.pieces)
         self.pieces |= {w: self.form([self.v.added[w[1:]]]) for w in new if w[0] == " "}
@@ -313,7 +317,9 @@ class Encoder:
 
 
 class LibraryEncoder(Encoder):
-    """The same, with the words' ids from the tokenizers library, for those who need ids and not the method."""
+    """The same, with the words' ids from the tokenizers library, for those who need ids and not the method; a light vocabulary will do."""
+
+    remember = REMEMBER >> 1
 
     def __init__(self, vocabulary: Vocabulary, *options):
         super().__init__(vocabulary, *options)
@@ -364,9 +370,22 @@ def encoder(shared: Broadcast, make: Callable[..., Encoder], *options) -> Encode
     return _encoders[key]
 
 
-def share(spark: SparkSession, path: str) -> Broadcast:
+def forget_encoders() -> None:
+    """Free the memory of a worker that has no more texts to encode."""
+    _encoders.clear()
+
+
+def light(v: Vocabulary) -> Vocabulary:
+    """Without what the dynamic program needs."""
+    out = copy(v)
+    out.automaton = None
+    out.rank, out.parts, out.born, out.right, out.left, out.vocab = {}, {}, {}, {}, {}, {}
+    return out
+
+
+def share(spark: SparkSession, path: str, whole: bool = True) -> Broadcast:
     """The vocabulary for the workers; its size is bounded by the file's, a few MB."""
-    v = vocabulary(path)
+    v = vocabulary(path) if whole else light(vocabulary(path))
     return spark.sparkContext.broadcast((hashlib.sha256(v.text.encode()).hexdigest(), v))
 
 

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Rows in an Arrow batch; whole texts travel in them, so it is far below Spark's default.
+#: Rows that are Python objects at a time; Spark bounds the bytes of its own batches.
 BATCH_ROWS = 512
 #: Buckets that one task of a prefix sum adds up.
 FAN = 4096
@@ -21,26 +23,64 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _workspace(spark: SparkSession) -> str:
+    """The shared folder of spark.checkpoint.dir. Only a local session may do without: it gets a folder of its own machine."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     at = sc._jsc.sc().getCheckpointDir()
     if at.isDefined():
         return named or at.get()
+    if named is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="gridloom-"))
     return named or sc._jsc.sc().getCheckpointDir().get()
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in spark.checkpoint.dir (a folder of our own where it is unset)."""
+    """Cut the lineage with a reliable checkpoint in spark.checkpoint.dir."""
     _workspace(df.sparkSession)
     return df.checkpoint()
 
 
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of BATCH_ROWS for the jobs that are run inside; the session's setting is as before afterwards."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, BATCH_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+#: Folders that save() has made since scratch() was entered, innermost last.
+_MADE: list[list[str]] = []
+
+
 def save(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Write df as Parquet into the shared checkpoint folder and read it back: pruned reads, stable row ids."""
-    path = f"{_workspace(df.sparkSession).rstrip('/')}/gridloom-{uuid.uuid4().hex}/{name}"
-    df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    folder = f"{_workspace(df.sparkSession).rstrip('/')}/gridloom-{uuid.uuid4().hex}"
+    if _MADE:
+        _MADE[-1].append(folder)
+    with _small_batches(df.sparkSession):
+        df.write.option("compression", compression).parquet(f"{folder}/{name}")
+    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+
+@contextmanager
+def scratch() -> Iterator[list[str]]:
+    """The folders that save() makes inside, for discard() once what reads them has been written."""
+    _MADE.append([])
+    try:
+        yield _MADE[-1]
+    finally:
+        _MADE.pop()
+
+
+def discard(spark: SparkSession, folders: list[str]) -> None:
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def with_row_id(df: DataFrame, name: str) -> DataFrame:
@@ -56,20 +96,30 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def column(name: str) -> Column:
+    """A column by its name as it is, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """Batches of a few rows: whole texts become Python objects a slice at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict[str, list] | None]], schema: str) -> DataFrame:
-    """mapInArrow with small batches. make() runs once a task and returns the function of a batch, which returns columns."""
-    spark = df.sparkSession
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, BATCH_ROWS + 1):
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    """mapInArrow in slices of BATCH_ROWS. make() runs once a task and returns the function of a slice, which returns columns, or an iterator of them."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    out = to_arrow_schema(spark.createDataFrame([], schema).schema)
+    out = to_arrow_schema(df.sparkSession.createDataFrame([], schema).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
-        for batch in batches:
-            if batch.num_rows and (got := f(batch)) is not None:
-                yield pa.RecordBatch.from_arrays([pa.array(got[x.name], x.type) if not isinstance(got[x.name], (pa.Array, pa.ChunkedArray)) else got[x.name].cast(x.type) for x in out], schema=out)
+        for batch in slices(batches):
+            got = f(batch)
+            for one in () if got is None else (got,) if isinstance(got, dict) else got:
+                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) and x.type == field.type else x.cast(field.type) if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x, field.type) for field in out for x in (one[field.name],)], schema=out)
 
     return df.mapInArrow(run, schema)
 

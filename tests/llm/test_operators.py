@@ -82,13 +82,14 @@ def test_packing(docs, none):
             assert p.offset == at
             at += p.length
         assert at == 64 or k == max(by)
-    stream = np.concatenate([np.frombuffer(p.ids, "<u4") for p in sorted(pieces, key=lambda p: (p.sequence_id, p.offset))]).tolist()
-    found, one = [], []
-    for i in stream:
-        one.append(i)
-        if i == 1:
-            found.append(str(one))
-            one = []
+    found = []
+    for queue in {p.queue for p in pieces}:  # a queue's documents follow one another in the stream
+        one: list[int] = []
+        for i in np.concatenate([np.frombuffer(p.ids, "<u4") for p in sorted(pieces, key=lambda p: (p.sequence_id, p.offset)) if p.queue == queue]).tolist():
+            one.append(i)
+            if i == 1:
+                found.append(str(one))
+                one = []
     assert sorted(found) == expected
     assert packing.pack(none, PATH).count() == 0
     assert packing.with_digests(packing.pack(docs, PATH)).first().ids_crc32 >= 0 and packing.crc32([1]) == zlib.crc32(b"\1\0\0\0")
