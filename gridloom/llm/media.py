@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.shared import map_batches, save
+from gridloom.llm.shared import column, map_batches, save, with_row_id
 
 WIDTH = 192
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -128,8 +128,24 @@ def sequences(pages: DataFrame, id_col: str, html_col: str = "html") -> DataFram
 
 
 def resolve(items: DataFrame, media: DataFrame, digest_col: str = "digest") -> DataFrame:
-    """items, one row each, with the other columns of media by digest; media has one row for each digest. A digest that many items share is joined as a skewed key."""
-    return items.join(media.withColumnRenamed(digest_col, "_digest"), items["digest"].eqNullSafe(F.col("_digest")) & F.col("_digest").isNotNull(), "left").drop("_digest")
+    """items, one row each, with the other columns of media by digest; media has one row for each digest. Items without a digest aren't shuffled to one task: their key is their own hash."""
+    keyed = items.withColumn("_key", F.coalesce("digest", F.concat(F.lit("-"), F.xxhash64(*items.columns).cast("string"))))
+    return keyed.join(media.withColumnRenamed(digest_col, "_key"), "_key", "left").drop("_key")
+
+
+def interleaved(pages: DataFrame, media: DataFrame, id_col: str, html_col: str = "html") -> DataFrame:
+    """id_col and items for each row of pages: its sequence of texts and media in order, each media item with the columns of media for its digest (null where there are none).
+
+    Rows of pages may repeat an id; each has a sequence of its own. A page's items are all that meets in one task.
+    """
+    parsed = save(with_row_id(sequences(pages, id_col, html_col), "row"), "sequences")
+    each = parsed.select("row", F.explode("items").alias("item"))
+    wanted = each.where("item.kind = 'media'").select("row", "item.position", "item.digest")
+    facts = [c for c in media.columns if c != "digest"]
+    found = resolve(wanted, media).groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("position", F.struct(*facts)))).alias("facts"))
+    names = [x.split(" ")[0] for x in ITEM.split(", ")]
+    whole = F.transform("items", lambda x: F.struct(*[x[n].alias(n) for n in names], F.try_element_at(F.col("facts"), x["position"]).alias("media")))
+    return parsed.join(found, "row", "left").select(column(id_col), whole.alias("items"))
 
 
 def payload_of(text: str | None) -> tuple[bytes, int]:
@@ -177,26 +193,32 @@ def features(samples: np.ndarray) -> str:
     return f"{samples.shape[1]}x{samples.shape[0]};{flat.mean():.4f};{flat.std():.4f};" + ",".join(str(int(x)) for x in bins * 1000 // len(flat))
 
 
+def preview_of(payload: bytes) -> bytes:
+    """The first row of samples."""
+    return payload[:WIDTH]
+
+
 def as_pages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Saved: id_col, html (a page that shows the text's image with a caption between two paragraphs), digest and media (the image), n_bytes."""
+    """Saved: key (id and n_bytes), html (a page that shows the text's image with a caption between two paragraphs, and a preview after them), and media, an array of the images with their digests."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def make():
         def one(batch):
-            out: dict[str, list] = {id_col: batch.column(0), "html": [], "digest": [], "media": [], "n_bytes": []}
+            out: dict[str, list] = {"key": [], "html": [], "media": []}
             for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 payload, n = payload_of(text)
-                digest = hashlib.sha256(payload).hexdigest()
+                images = {hashlib.sha256(x).hexdigest(): x for x in (payload, preview_of(payload))}
+                digest, small = hashlib.sha256(payload).hexdigest(), hashlib.sha256(preview_of(payload)).hexdigest()
                 caption = html.escape(f"document {name} & {n} bytes")
-                out["html"].append(f'<html><body><p>Before {name}</p><figure><img src="{REFERENCE}{digest}" alt=""><figcaption>{caption}</figcaption></figure><p>After {name}</p></body></html>')
-                out["digest"].append(digest)
-                out["media"].append(to_png(payload))
-                out["n_bytes"].append(n)
+                shown = f'<figure><img src="{REFERENCE}{digest}" alt=""><figcaption>{caption}</figcaption></figure>'
+                out["html"].append(f'<html><body><p>Before {name}</p>{shown}<p>After {name}</p><img src="{REFERENCE}{small}" alt="preview"></body></html>')
+                out["media"].append([{"digest": k, "media": to_png(x)} for k, x in images.items()])
+                out["key"].append({"id": name, "n_bytes": n})
             return out
 
         return one
 
-    rows = map_batches(docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string")), make, f"`{id_col}` {kind}, html string, digest string, media binary, n_bytes bigint")
+    rows = map_batches(docs.select(column(id_col), column(text_col).cast("string")), make, f"key struct<id:{kind},n_bytes:bigint>, html string, media array<struct<digest:string,media:binary>>")
     return save(rows, "media", "uncompressed")  # images are compressed already
 
 
@@ -220,9 +242,13 @@ def read_back(media: DataFrame) -> DataFrame:
 
 
 def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each document's image by way of its page: the parsed reference, joined by digest with what the stored image holds."""
+    """Each document's image by way of its page: the page's sequence is read, its references are joined by digest with what the stored images hold, and the figure of the sequence is the document's.
+
+    sequence is the page's whole sequence as JSON: position, kind, text, digest, caption and the media columns of every item.
+    """
     stored = as_pages(docs, id_col, text_col)
-    stored_rows = stored.select(F.struct(F.col(f"`{id_col}`").alias("id"), "n_bytes").alias("key"), "html")
-    items = sequences(stored_rows, "key").select("key", F.explode("items").alias("item")).select("key", "item.*").where("kind = 'media'")
-    facts = save(read_back(stored), "facts")
-    return resolve(items, facts).select(F.col("key.id").alias(id_col), F.col("key.n_bytes").alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+    facts = save(read_back(stored.select(F.inline("media"))), "facts")
+    items = interleaved(stored, facts, "key").select("key", "items", F.filter("items", lambda x: (x["kind"] == "media") & x["caption"].startswith("document "))[0].alias("item"))
+    m = F.col("item.media")
+    columns = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return items.select(F.col("key.id").alias(id_col), F.col("key.n_bytes").alias("n_bytes"), *[m[c].alias(c) for c in columns], "item.position", "item.caption", F.size("items").cast("long").alias("n_items"), F.to_json("items").alias("sequence"))

@@ -84,7 +84,7 @@ ORACLE_SQL = {
             CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
             sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
             CAST(sum(length('<|role|>' || {_ESCAPED.format("role")} || '<|text|>' || {_ESCAPED.format("text")} || '<|end|>' || chr(10))) AS BIGINT) AS formatted_chars,
-            CAST(greatest(1, count(*) FILTER (role = 'assistant')) AS BIGINT) AS n_examples
+            CAST(count(*) FILTER (role = 'assistant') AS BIGINT) AS n_examples
         FROM turns GROUP BY conv_id""",
     "op8_warc_revisits": """
         WITH t AS (SELECT page_id, coalesce(html, '') AS h FROM pages),

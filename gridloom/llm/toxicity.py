@@ -24,12 +24,15 @@ from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.shared import map_batches
+from gridloom.llm.shared import column, map_batches, unused
 
 TRAIN_ROWS, MAX_FEATURES, MIN_DOCUMENTS, FOLDS = 8192, 65536, 4, 5
+#: Distinct words of the training rows that reach the driver, in bytes.
+TRAIN_BYTES = 128 << 20
 #: Hash buckets of the first count; fewer than 65,536 texts are counted in each.
 BUCKETS = 1 << 22
 #: Letters of a word beginning.
@@ -209,32 +212,46 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
 
 
 def train_on(docs: DataFrame, labels: DataFrame, categories: dict[str, str], id_col: str = "doc_id", text_col: str = "text") -> Chain:
-    """categories: name to SQL condition over labels, in the order of the chain."""
-    named = labels.select(F.col(f"`{id_col}`").alias("_id"), *[F.expr(sql).cast("int").alias(f"_y{i}") for i, sql in enumerate(categories.values())]).dropna().groupBy("_id").agg(*[F.max(f"_y{i}").alias(f"_y{i}") for i in range(len(categories))])
+    """categories: name to SQL condition over labels, in the order of the chain.
+
+    TRAIN_ROWS rows at most, and TRAIN_BYTES of their distinct words: the rows whose ids and texts have the least hashes.
+    """
+    named = labels.select(column(id_col).alias("_id"), *[F.expr(sql).cast("int").alias(f"_y{i}") for i, sql in enumerate(categories.values())]).dropna().groupBy("_id").agg(*[F.max(f"_y{i}").alias(f"_y{i}") for i in range(len(categories))])
     chosen = named.orderBy(F.xxhash64("_id"), "_id").limit(TRAIN_ROWS)
-    texts = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"))
+    texts = docs.select(column(id_col).alias("_id"), column(text_col).cast("string").alias("_text"))
     labelled = texts.join(F.broadcast(chosen), "_id")  # TRAIN_ROWS rows of a few numbers
 
     def make():
         def one(batch):
-            found = [sorted(terms(t)) for t in batch.column(0).to_pylist()]
-            return {"words": [" ".join(w) for w in found], **{f"_y{i}": batch.column(i + 1) for i in range(len(categories))}}
+            found = [sorted(terms(t)) for t in batch.column(1).to_pylist()]
+            return {"place": batch.column(0), "words": [" ".join(w) for w in found], **{f"_y{i}": batch.column(i + 2) for i in range(len(categories))}}
 
         return one
 
     ys = [f"_y{i}" for i in range(len(categories))]
-    rows = map_batches(labelled.select("_text", *ys), make, "words string, " + ", ".join(f"{y} int" for y in ys)).limit(2 * TRAIN_ROWS).collect()
+    read = map_batches(labelled.select(F.xxhash64("_id").alias("place"), "_text", *ys), make, "place bigint, words string, " + ", ".join(f"{y} int" for y in ys))
+    rows, size = [], 0
+    for r in read.orderBy("place", "words", *ys).limit(TRAIN_ROWS).toLocalIterator():
+        size += len(r["words"])
+        if size > TRAIN_BYTES:
+            break
+        rows.append(r)
     rows.sort(key=lambda r: (r["words"], *(r[y] for y in ys)))
     return train([r["words"] for r in rows], np.array([[r[y] for y in ys] for r in rows]).reshape(-1, len(ys)), list(categories), [zlib.crc32(r["words"].encode()) % FOLDS for r in rows])
 
 
+def _shared(docs: DataFrame, chain: Chain):
+    # At most MAX_FEATURES words and a few models.
+    return docs.sparkSession.sparkContext.broadcast(Chain(chain.categories, chain.index, chain.models, chain.threshold))
+
+
 def score(docs: DataFrame, chain: Chain, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns keep (all if not given), p_<category> for each category, and toxic (boolean)."""
+    """The columns keep (all if not given), p_<category> for each category, and toxic (boolean). A column of keep of one of these names is an error."""
     keep = docs.columns if keep is None else keep
-    # At most MAX_FEATURES words and a few models.
-    shared = docs.sparkSession.sparkContext.broadcast(Chain(chain.categories, chain.index, chain.models, chain.threshold))
     names = [f"p_{c}" for c in chain.categories]
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
+    if clash := {c.lower() for c in keep} & {n.lower() for n in [*names, "toxic"]}:
+        raise ValueError(f"columns {sorted(clash)} are the names of scores; rename them or leave them out")
+    shared, kinds = _shared(docs, chain), {f.name: f.dataType.simpleString() for f in docs.schema}
 
     def make():
         model = shared.value
@@ -245,5 +262,22 @@ def score(docs: DataFrame, chain: Chain, text_col: str = "text", keep: list[str]
 
         return one
 
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias("_scored"))
-    return map_batches(source, make, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), *(f"{n} double" for n in names), "toxic boolean"]))
+    source = docs.select(*[column(c) for c in keep], column(text_col).cast("string").alias(unused(docs, "scored")))
+    return map_batches(source, make, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), *(f"`{n}` double" for n in names), "toxic boolean"]))
+
+
+def accepted(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
+    """The rows of docs that aren't toxic, with docs' columns, whatever their names."""
+    shared, names, place = _shared(docs, chain), docs.columns, docs.columns.index(text_col)
+
+    def make():
+        model = shared.value
+
+        def one(batch):
+            fine = model.score([terms(t) for t in batch.column(len(names)).to_pylist()])[:, -1] < model.threshold
+            return dict(zip(names, batch.filter(pa.array(fine)).columns, strict=False))
+
+        return one
+
+    source = docs.select(*[column(c) for c in names], column(names[place]).cast("string").alias(unused(docs, "scored")))
+    return map_batches(source, make, ", ".join("`" + f.name.replace("`", "``") + f"` {f.dataType.simpleString()}" for f in docs.schema))

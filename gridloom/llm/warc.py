@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.shared import BATCH_ROWS, map_batches, save
+from gridloom.llm.shared import map_batches, save, slices
 
 #: An archive is closed after so many bytes of payload or records.
 ARCHIVE_BYTES, ARCHIVE_RECORDS = 4 << 20, 1024
@@ -85,12 +85,11 @@ ARCHIVE = "archive string, content binary"
 def write_captures(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Saved archives with a response for each row of pages."""
     rows = pages.select(F.col(f"`{id_col}`").cast("long"), F.col(f"`{url_col}`").cast("string"), F.col(f"`{html_col}`").cast("string"))
-    pages.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, count, content, size, place = TaskContext.get().partitionId(), 0, [], 0, 0
         closed = lambda: pa.RecordBatch.from_pydict({"archive": [f"{part:06d}-{count:06d}"], "content": [b"".join(content)]})
-        for batch in batches:
+        for batch in slices(batches):
             for page, url, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 payload = (html or "").encode("utf-8", "surrogatepass")
                 content.append(response(record_id("capture", f"{part:06d}-{count:06d}", place), page, quote(url or "", safe="!#$%&'()*+,/:;=?@[]~-._"), payload, payload_digest(payload)))
