@@ -20,19 +20,21 @@ def column_kind(df: DataFrame, name: str) -> str:
 
 @dataclass
 class Lookup:
-    """First row of right, by order, whose key equals the value; unmatched rows get nulls. Lookups of one key share the step."""
+    """First row of right, by order, whose key equals the value; unmatched rows get nulls. Lookups of one key share the step.
+
+    One row of right is left for each key, whether its keys are known to be unique or not, so rows never multiply.
+    """
 
     key: tuple[Column, str]
     right_key: str
     order: list[str]
-    unique: bool
     returns: dict[str, str] = field(default_factory=dict)  # returned column: hidden column
 
     def apply(self, df: DataFrame, right: DataFrame) -> DataFrame:
         left, other = comparable(self.key, (F.col(self.right_key), column_kind(right, self.right_key)))
         values = F.struct(*[F.col(c).alias(h) for c, h in self.returns.items()])
         slim = right.where(F.col(self.right_key).isNotNull()).select(other.alias("__rk"), values.alias("__rv"), F.struct(*self.order).alias("__ro"))
-        slim = slim.drop("__ro") if self.unique else slim.groupBy("__rk").agg(F.min_by("__rv", "__ro").alias("__rv"))
+        slim = slim.groupBy("__rk").agg(F.min_by("__rv", "__ro").alias("__rv"))
         joined = df.withColumn("__lk", left).join(slim, F.col("__lk") == F.col("__rk"), "left")
         return joined.select(*df.columns, *[F.col(f"__rv.{h}").alias(h) for h in self.returns.values()])
 
@@ -52,8 +54,11 @@ class Aggregate:
     criteria: list[Criterion]
     values: list[tuple[Column, str]]
     measures: dict[tuple[str, str | None], str] = field(default_factory=dict)  # (function, column): hidden column
+    #: Quantiles by compared column, shared by the steps over one table under the same fixed criteria.
+    quantiles: dict[tuple, list[float]] = field(default_factory=dict)
 
-    def apply(self, df: DataFrame, right: DataFrame) -> DataFrame:
+    def apply(self, df: DataFrame, right: DataFrame, measure: bool = True) -> DataFrame:
+        """measure: whether to look at the data for quantiles; without it no job is run, and the plan is good for its columns only."""
         for c in self.criteria:
             if c.value is None:
                 right = right.where(static(right, c))
@@ -73,7 +78,9 @@ class Aggregate:
             wanted = left.select(*keys).distinct()
             uneven = [i for i, op in enumerate(ops) if op != "="]
             if len(uneven) == 1 and ops[uneven[0]] in ("<", "<=", ">", ">="):
-                found = self._running(wanted, slim, keys, uneven[0], ops[uneven[0]])
+                found = self._running(wanted, slim, keys, uneven[0], ops[uneven[0]], self._edges(slim, keys[uneven[0]], moving[uneven[0]].column, measure))
+            elif len(uneven) == 1:
+                found = self._unequal(wanted, slim, keys, uneven[0])
             else:
                 found = self._compared(wanted, slim, keys, ops)
             joined = self._join(left, found, keys)
@@ -99,18 +106,57 @@ class Aggregate:
         met = wanted.join(right, reduce(lambda a, b: a & b, [test[op](F.col(k), F.col(f"{k}s")) for k, op in zip(keys, ops, strict=True)]))
         return met.groupBy(*keys).agg(*self._aggregates())
 
-    def _running(self, wanted: DataFrame, slim: DataFrame, keys: list[str], at: int, op: str) -> DataFrame:
+    def _partials(self, slim: DataFrame, keys: list[str]) -> tuple[DataFrame, dict]:
+        """slim grouped by keys: __n rows, and of measure i the sum __s, count __n, least __lo and greatest __hi; and how each is added up."""
+        parts = {"s": F.sum, "n": F.count, "lo": F.min, "hi": F.max}
+        grouped = slim.groupBy(*keys).agg(F.count("*").alias("__n"), *[f(f"__m{i}").alias(f"__{p}{i}") for i in range(len(self.measures)) for p, f in parts.items()])
+        return grouped, {"__n": F.sum} | {f"__{p}{i}": {"s": F.sum, "n": F.sum, "lo": F.min, "hi": F.max}[p] for i in range(len(self.measures)) for p in parts}
+
+    def _unequal(self, wanted: DataFrame, slim: DataFrame, keys: list[str], at: int) -> DataFrame:
+        """One <>: of a group, all rows less those of the equal value. Extremes are those of the best value, or of the next best where that is the one left out."""
+        by, equal = keys[at], [k for i, k in enumerate(keys) if i != at]
+        grouped, combine = self._partials(slim.where(F.col(by).isNotNull()), keys)
+        ends = {f"__{p}{i}": (F.min if p == "lo" else F.max) for i in range(len(self.measures)) for p in ("lo", "hi")}
+        pair = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("v"), F.col(by).alias("k")))
+        whole = grouped.groupBy(*equal).agg(*[F.sum(t).alias(f"{t}_a") for t in combine if t not in ends], *[f(pair(c)).alias(f"{c}_a") for c, f in ends.items()])
+        on = lambda a, b: reduce(lambda x, y: x & y, [a[k].eqNullSafe(b[f"{k}_w"]) for k in equal]) if equal else None
+        named = whole.withColumnsRenamed({k: f"{k}_w" for k in equal})
+        side = named if equal else F.broadcast(named)  # else one row
+        best = (grouped.join(side, on(grouped, named)) if equal else grouped.join(side)).select(*[grouped[k] for k in keys], *combine, *[f"{c}_a" for c in ends])
+        second = best.groupBy(*equal).agg(*[f(F.when(F.col(by) != F.col(f"{c}_a.k"), F.col(c))).alias(f"{c}_b") for c, f in ends.items()])
+        whole = whole.join(second, equal) if equal else whole.join(F.broadcast(second))  # one row
+        named = whole.withColumnsRenamed({k: f"{k}_w" for k in equal})
+        asked = wanted.where(F.col(by).isNotNull())
+        met = asked.join(named, on(asked, named)) if equal else asked.join(F.broadcast(named))  # one row
+        own = grouped.select(*[F.col(k).alias(f"{k}_o") for k in keys], *[t for t in combine if t not in ends])
+        met = met.join(own, reduce(lambda a, b: a & b, [F.col(k) == F.col(f"{k}_o") for k in keys]), "left")
+        left = lambda t: F.col(f"{t}_a") - F.coalesce(F.col(t), F.lit(0))
+        end = lambda c: F.when(F.col(f"{c}_a.k") != F.col(by), F.col(f"{c}_a.v")).otherwise(F.col(f"{c}_b"))
+        out = []
+        for i, ((f, _), h) in enumerate(self.measures.items()):
+            n, total = left(f"__n{i}"), F.coalesce(F.col(f"__s{i}_a"), F.lit(0)) - F.coalesce(F.col(f"__s{i}"), F.lit(0))
+            out.append({"COUNT": left("__n"), "COUNTA": n, "SUM": F.when(n > 0, total), "AVERAGE": F.try_divide(total.cast("double"), n), "MIN": end(f"__lo{i}"), "MAX": end(f"__hi{i}")}[f].alias(h))
+        return met.select(*keys, *out)
+
+    def _edges(self, slim: DataFrame, by: str, column: str, measure: bool) -> list[float]:
+        """Quantiles of the compared column, sketched from its rows once."""
+        ranges = min(MAX_RANGES, int(slim.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        if ranges < 2 or not measure:
+            return []
+        key = (column, slim.schema[by].dataType.simpleString())
+        if key not in self.quantiles:
+            found = slim.select(in_order(F.col(by), column_kind(slim, by)).alias("x")).approxQuantile("x", [i / ranges for i in range(1, ranges)], 0.005)
+            self.quantiles[key] = sorted(set(found))
+        return self.quantiles[key]
+
+    def _running(self, wanted: DataFrame, slim: DataFrame, keys: list[str], at: int, op: str, edges: list[float]) -> DataFrame:
         """One inequality: rows and criteria in one order, and running totals. Quantiles deal the order out, so no task has it all."""
         by, equal = keys[at], [k for i, k in enumerate(keys) if i != at]
-        parts = {"s": F.sum, "n": F.count, "lo": F.min, "hi": F.max}
-        grouped = slim.where(F.col(by).isNotNull()).groupBy(*keys).agg(F.count("*").alias("__n"), *[f(f"__m{i}").alias(f"__{p}{i}") for i in range(len(self.measures)) for p, f in parts.items()])
-        totals = ["__n", *[f"__{p}{i}" for i in range(len(self.measures)) for p in parts]]
-        combine = {"__n": F.sum} | {f"__{p}{i}": {"s": F.sum, "n": F.sum, "lo": F.min, "hi": F.max}[p] for i in range(len(self.measures)) for p in parts}
+        grouped, combine = self._partials(slim.where(F.col(by).isNotNull()), keys)
+        totals = list(combine)
         rows = grouped.withColumn("__ask", F.lit(0)).unionByName(wanted.where(F.col(by).isNotNull()).withColumn("__ask", F.lit(1)), allowMissingColumns=True)
-        ranges = min(MAX_RANGES, int(slim.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-        numeric = kind_of(slim.schema[by].dataType) in ("integer", "float")
-        edges = grouped.approxQuantile(by, [i / ranges for i in range(1, ranges)], 0.001) if numeric and ranges > 1 else []
-        rows = rows.withColumn("__range", F.size(F.filter(F.array(*[F.lit(float(e)) for e in sorted(set(edges))]), lambda e: e <= F.col(by))) if edges else F.lit(0))
+        place = in_order(F.col(by), column_kind(slim, by))
+        rows = rows.withColumn("__range", F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e <= place)) if edges else F.lit(0))
         down = op in (">", ">=")
         # Criteria come after equal values where those count, before them where they don't.
         ask = F.col("__ask").asc() if op in ("<=", ">=") else F.col("__ask").desc()
@@ -129,6 +175,16 @@ class Aggregate:
         return met.select(*keys, *out)
 
 
+def in_order(c: Column, kind: str) -> Column:
+    """A double that never falls as the value grows: days of dates and times, the first seven bytes of texts."""
+    if kind in ("date", "datetime"):
+        return F.datediff(c, F.lit("1970-01-01").cast("date")).cast("double")
+    if kind in ("integer", "float", "boolean"):
+        return c.cast("double")
+    first = F.rpad(F.hex(F.substring(F.encode(c.cast("string"), "UTF-8"), 1, 7)), 14, "0")
+    return F.conv(first, 16, 10).cast("double")
+
+
 def measured(df: DataFrame, column: str | None) -> Column:
     if column is None:
         return F.lit(1)

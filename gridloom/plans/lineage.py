@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from gridloom.plans.formula import Call, Node, ParseError, Ref, parse, walk
 from gridloom.plans.workbook import CONDITIONAL, DYNAMIC, LOOKUPS, Table, Unsupported, Workbook
 
-#: Fixed value: functions that gather, for the kind of a flow.
-_AGGREGATES = (*CONDITIONAL, "SUM", "AVERAGE", "MIN", "MAX", "COUNT", "COUNTA", "SUMPRODUCT", "SUBTOTAL")
-_JOINS = (*LOOKUPS, "HLOOKUP", "MATCH")
+#: Functions that make a flow an aggregate (those with conditions only) or a join.
+_AGGREGATES = tuple(CONDITIONAL)
+_JOINS = (*LOOKUPS, "HLOOKUP", "LOOKUP", "MATCH", "XMATCH")
 #: Share of a column's rows that are formulas from which on it is derived.
 DERIVED = 0.5
 

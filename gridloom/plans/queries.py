@@ -8,17 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.plans.workbook import Workbook
 
-#: Row order and unique columns of the tables; formulas' first match is by that order.
+#: Row order of the tables; formulas' first match is by that order.
 TABLES = {
-    "region": (["r_regionkey"], ["r_regionkey"]), "nation": (["n_nationkey"], ["n_nationkey"]), "customer": (["c_custkey"], ["c_custkey"]), "supplier": (["s_suppkey"], ["s_suppkey"]),
-    "part": (["p_partkey"], ["p_partkey"]), "orders": (["o_orderkey"], ["o_orderkey"]), "lineitem": (["l_orderkey", "l_linenumber"], []), "events": (["event_id"], ["event_id"]),
+    "region": ["r_regionkey"], "nation": ["n_nationkey"], "customer": ["c_custkey"], "supplier": ["s_suppkey"],
+    "part": ["p_partkey"], "orders": ["o_orderkey"], "lineitem": ["l_orderkey", "l_linenumber"], "events": ["event_id"],
 }
 
 
 def workbook(spark: SparkSession, sf_dir: str) -> Workbook:
+    """All tables; each is opened when a formula first names it."""
     w = Workbook(spark)
-    for name, (order, keys) in TABLES.items():
-        w.add(name, spark.read.parquet(f"{sf_dir}/{name}.parquet"), order, keys)
+    for name, order in TABLES.items():
+        w.add(name, lambda name=name: spark.read.parquet(f"{sf_dir}/{name}.parquet"), order)
     return w
 
 

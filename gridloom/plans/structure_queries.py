@@ -24,7 +24,7 @@ def profile_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def unique_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = None
-    for table, column in [(t, k[0]) for t, (k, _) in TABLES.items()] + list(_LINKS):
+    for table, column in [(t, k[0]) for t, k in TABLES.items()] + list(_LINKS):
         one = p.is_unique(_read(spark, sf_dir, table), column).select(F.lit(f"{table}.{column}").alias("name"), "is_unique")
         out = one if out is None else out.unionByName(one)
     return out.distinct()
@@ -79,7 +79,7 @@ def _profiled(table: str, column: str, kind: str) -> str:
 
 ORACLE_SQL = {
     "profile_columns": " UNION ALL ".join(_profiled(t, *c.split(":")) for t, cs in _KINDS.items() for c in cs.split()),
-    "unique_columns": " UNION ".join(f"SELECT '{t}.{c}' AS name, count(*) = count(DISTINCT {c}) AND count(*) > 0 AS is_unique FROM {t}" for t, c in [(t, k[0]) for t, (k, _) in TABLES.items()] + list(_LINKS)),
+    "unique_columns": " UNION ".join(f"SELECT '{t}.{c}' AS name, count(*) = count(DISTINCT {c}) AND count(*) > 0 AS is_unique FROM {t}" for t, c in [(t, k[0]) for t, k in TABLES.items()] + list(_LINKS)),
     "key_overlap": " UNION ALL ".join(f"SELECT '{t}.{c}' AS name, (SELECT avg(CASE WHEN {c} IN (SELECT {k} FROM {o}) THEN 1.0 ELSE 0.0 END) FROM {t} WHERE {c} IS NOT NULL) AS contained, (SELECT count(DISTINCT {k}) FILTER ({k} IN (SELECT {c} FROM {t})) / count(DISTINCT {k}) FROM {o}) AS covered" for (t, c), (o, k) in _LINKS.items()),
     "lineage_columns": """SELECT source, target, op, CASE WHEN target LIKE 'customer%' THEN (SELECT count(*) FROM customer) ELSE (SELECT count(*) FROM orders) END AS weight FROM (VALUES
         ('customer.c_nationkey', 'customer.nation', 'join'), ('nation.n_nationkey', 'customer.nation', 'join'), ('nation.n_name', 'customer.nation', 'join'), ('orders.o_custkey', 'customer.total', 'aggregate'), ('customer.c_custkey', 'customer.total', 'aggregate'),

@@ -8,7 +8,9 @@ Parts that have no relational meaning become null with a note; the rest of the f
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,16 +39,27 @@ class FormulaColumn:
 @dataclass
 class Table:
     name: str
-    df: DataFrame
-    columns: list[str]
-    order_by: list[str]
-    keys: set[str]
+    #: The stored columns, or what opens them when they are first read.
+    source: DataFrame | Callable[[], DataFrame]
+    first_by: list[str] | None
     file: str
     sheet: str
     formulas: dict[str, FormulaColumn] = field(default_factory=dict)
     books: list[str] = field(default_factory=list)
     dropped: set[str] = field(default_factory=set)
 
+    @cached_property
+    def df(self) -> DataFrame:
+        return self.source() if callable(self.source) and not isinstance(self.source, DataFrame) else self.source
+
+    @cached_property
+    def columns(self) -> list[str]:
+        return [*self.df.columns, *[c for c in self.formulas if c not in self.df.columns]]
+
+    @property
+    def order_by(self) -> list[str]:
+        return self.first_by or list(self.df.columns)
+
     def output(self, column: str) -> str:
         f = self.formulas[column]
         return column + f.suffix if f.included else column
@@ -76,17 +89,27 @@ class Workbook:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.tables: dict[str, Table] = {}
-
-    def add(self, name: str, df: DataFrame, order_by: list[str] | None = None, keys: list[str] | None = None, file: str = "", sheet: str | None = None, books: list[str] | None = None) -> Table:
-        """order_by: what makes a row first (all columns if not given); keys: columns whose values are known to be unique."""
-        t = self.tables[name] = Table(name, df, list(df.columns), order_by or list(df.columns), set(keys or ()), file, sheet or name, books=books or [])
+        self._changed()
+
+    def _changed(self) -> None:
+        """Frames by table and columns, and quantiles by table and fixed criteria, are kept until a table or formula is added."""
+        self._frames: dict[tuple, DataFrame] = {}
+        self._needed: dict[tuple[str, str], set[tuple[str, str]]] = {}
+        self._circles: dict[tuple[str, str], bool] = {}
+        self._quantiles: dict[tuple, dict] = {}
+
+    def add(self, name: str, df: DataFrame | Callable[[], DataFrame], order_by: list[str] | None = None, file: str = "", sheet: str | None = None, books: list[str] | None = None) -> Table:
+        """df: a frame, or a function that opens it when a formula first names the table. order_by: what makes a row first (all columns if not given)."""
+        t = self.tables[name] = Table(name, df, order_by, file, sheet or name, books=books or [])
+        self._changed()
         return t
 
     def derive(self, table: str, column: str, formula: str, included: bool = False) -> None:
         t = self.tables[table]
-        if column not in t.columns:
+        if "columns" in t.__dict__ and column not in t.columns:
             t.columns.append(column)
         t.formulas[column] = FormulaColumn(formula, included)
+        self._changed()
 
     def drop(self, table: str, *columns: str) -> None:
         """Columns that recompute() leaves out; formulas still read them."""
@@ -116,15 +139,16 @@ class Workbook:
 
     # frames
 
-    def frame(self, table: str, need: set[str], inside: tuple = ()) -> DataFrame:
-        """The table's stored columns and the formula columns of need, each computed after those that it reads."""
+    def frame(self, table: str, need: set[str], measure: bool = True) -> DataFrame:
+        """The table's stored columns and the formula columns of need, each computed after those that it reads. measure: see Aggregate.apply."""
         t = self.tables[table]
-        df = t.df
+        df, done = t.df, ()
         for column in self.order(t, need):
-            if (table, column) in inside:
-                raise Unsupported(f"{table}.{column} depends on itself")
-            chain = (*inside, (table, column))
-            df = self._applied(_Lowering(self, t, column, df, chain).run(), df, t.output(column), chain)
+            done = (*done, column)
+            key = (table, done, measure)
+            if key not in self._frames:
+                self._frames[key] = self._applied(_Lowering(self, t, column, df, measure).run(), df, t.output(column), measure)
+            df = self._frames[key]
         return df
 
     def order(self, t: Table, need: set[str]) -> list[str]:
@@ -146,29 +170,50 @@ class Workbook:
                 visit(c)
         return out
 
-    def _reads(self, t: Table, column: str) -> list[str]:
+    def needs(self, t: Table, column: str) -> set[tuple[str, str]]:
+        """Tables and columns that a formula reads, of all tables; of a VLOOKUP's range its first column and the one returned."""
+        key = (t.name, column)
+        if key not in self._needed:
+            try:
+                node = parse(t.formulas[column].formula)
+            except ParseError:
+                node = Empty()
+            self._needed[key] = {found for ref in _refs(node) for found in self._named(ref, t)}
+        return self._needed[key]
+
+    def _named(self, ref: Ref, here: Table) -> list[tuple[str, str]]:
         try:
-            refs = [n for n in walk(parse(t.formulas[column].formula)) if isinstance(n, Ref)]
-        except ParseError:
+            t = self.locate(ref, here)
+        except Unsupported:
             return []
-        own = [r for r in refs if r.book is None and (r.sheet is None or r.sheet.lower() in (t.sheet.lower(), t.name.lower()))]
-        return [c for r in own for c in t.columns[r.first : r.last + 1]]
+        return [(t.name, c) for c in t.columns[ref.first : ref.last + 1]]
 
-    def _circular(self, t: Table, column: str) -> bool:
-        """Whether a formula reads itself through formulas of its own table."""
-        seen: set[str] = set()
-        todo = [column]
-        while todo:
-            for c in self._reads(t, todo.pop()):
-                if c in t.formulas and not t.formulas[c].included and c not in seen:
-                    seen.add(c)
-                    todo.append(c)
-        return column in seen and not t.formulas[column].included
-
-    def _applied(self, lowered: _Lowered, df: DataFrame, output: str, chain: tuple) -> DataFrame:
+    def _reads(self, t: Table, column: str) -> list[str]:
+        return sorted((c for name, c in self.needs(t, column) if name == t.name), key=t.columns.index)
+
+    def _computed(self, name: str, column: str) -> bool:
+        f = self.tables[name].formulas.get(column)
+        return f is not None and not f.included
+
+    def circular(self, t: Table, column: str) -> bool:
+        """Whether a formula reads its own result, be it through other tables."""
+        key = (t.name, column)
+        if key not in self._circles:
+            seen: set[tuple[str, str]] = set()
+            todo = [key]
+            while todo:
+                name, c = todo.pop()
+                new = {x for x in self.needs(self.tables[name], c) if self._computed(*x)} - seen
+                seen |= new
+                todo += new
+            self._circles[key] = key in seen and self._computed(*key)
+        return self._circles[key]
+
+    def _applied(self, lowered: _Lowered, df: DataFrame, output: str, measure: bool) -> DataFrame:
         plain = [c for c in df.columns if c != output]
         for (table, step), reads in zip(lowered.steps, lowered.reads, strict=True):
-            df = step.apply(df, self.frame(table, reads, chain))
+            right = self.frame(table, reads, measure)
+            df = step.apply(df, right, measure) if isinstance(step, Aggregate) else step.apply(df, right)
         value, kind = lowered.value
         return df.select(*plain, (value.cast("string") if kind == "null" else value).alias(output))
 
@@ -190,30 +235,42 @@ class Workbook:
         return names
 
     def translations(self) -> list[Translation]:
+        """What each formula became. No job is run."""
         out = []
         for t in self.tables.values():
             for column in t.formulas:
-                try:
-                    base = self.frame(t.name, {c for c in self.order(t, {column}) if c != column})
-                    out.append(_Lowering(self, t, column, base, ((t.name, column),)).run().translation)
-                    if self._circular(t, column):
-                        out[-1].status = "unsupported"
-                        out[-1].notes.append(f"{t.name}.{column} depends on itself")
-                except Unsupported as e:
-                    out.append(Translation(t.name, column, t.formulas[column].formula, t.output(column), "unsupported", [str(e)]))
+                base = self.frame(t.name, {c for c in self.order(t, {column}) if c != column}, measure=False)
+                out.append(_Lowering(self, t, column, base, False).run().translation)
         return out
 
 
+def _refs(node: Node) -> list[Ref]:
+    """References of a formula; a VLOOKUP's range as its first column and the one returned."""
+    out, passed = [], set()
+    for n in walk(node):
+        if isinstance(n, Call) and n.name == "VLOOKUP" and len(n.args) > 2 and isinstance(n.args[1], Ref) and isinstance(n.args[2], Num):
+            r, at = n.args[1], n.args[1].first + int(n.args[2].value) - 1
+            passed.add(id(r))
+            out += [Ref(c, c, None, None, r.sheet, r.book) for c in dict.fromkeys((r.first, min(at, r.last)))]
+        elif isinstance(n, Ref) and id(n) not in passed:
+            out.append(n)
+    return out
+
+
 class _Lowering:
     """Lowers one formula. Unsupported parts are caught where they are, one sub-expression at a time."""
 
-    def __init__(self, book: Workbook, table: Table, column: str, df: DataFrame, chain: tuple):
-        self.book, self.t, self.column, self.df, self.chain = book, table, column, df, chain
+    def __init__(self, book: Workbook, table: Table, column: str, df: DataFrame, measure: bool):
+        self.book, self.t, self.column, self.df, self.measure = book, table, column, df, measure
         self.steps: dict[tuple, tuple[str, object, set[str]]] = {}
         self.report = Translation(table.name, column, table.formulas[column].formula, table.output(column))
         self.failed = False
 
     def run(self) -> _Lowered:
+        if self.book.circular(self.t, self.column):
+            self.report.status = "unsupported"
+            self.note(f"{self.t.name}.{self.column} depends on itself")
+            return _Lowered((F.lit(None), "null"), [], self.report, [])
         try:
             node = parse(self.report.formula)
         except ParseError as e:
@@ -281,8 +338,8 @@ class _Lowering:
             raise Unsupported(f"{self.t.name}.{column} depends on itself")
         return F.col(column), kind_of(source.schema[column].dataType)
 
-    def kind_of(self, t: Table, column: str, chain: tuple) -> str:
-        return kind_of(self.book.frame(t.name, {column}, chain).schema[column].dataType)
+    def kind_of(self, t: Table, column: str) -> str:
+        return kind_of(self.book.frame(t.name, {column}, False).schema[column].dataType)
 
     def binary(self, op: str, left: Value, right: Value) -> Value:
         if op == "&":
@@ -369,7 +426,7 @@ class _Lowering:
         self.depends(t, returned)
         signature = ("lookup", t.name, found, repr(key))
         if signature not in self.steps:
-            self.steps[signature] = (t.name, Lookup(value, found, t.order_by, found in t.keys), {found})
+            self.steps[signature] = (t.name, Lookup(value, found, t.order_by), {found})
         _, step, reads = self.steps[signature]
         reads.add(returned)
         hidden = step.returns.setdefault(returned, f"__s{self.column}_{list(self.steps).index(signature)}_{len(step.returns)}")
@@ -381,7 +438,7 @@ class _Lowering:
 
     def target_kind(self, t: Table, column: str) -> str:
         f = t.formulas.get(column)
-        return self.kind_of(t, column, self.chain) if f and not f.included else kind_of(t.df.schema[column].dataType)
+        return self.kind_of(t, column) if f and not f.included else kind_of(t.df.schema[column].dataType)
 
     # aggregates
 
@@ -420,7 +477,7 @@ class _Lowering:
     def aggregate(self, t: Table, criteria, dynamic, reprs, f: str, column: str | None) -> Value:
         signature = ("aggregate", t.name, tuple(criteria), tuple(reprs))
         if signature not in self.steps:
-            self.steps[signature] = (t.name, Aggregate(criteria, dynamic), {c.column for c in criteria})
+            self.steps[signature] = (t.name, Aggregate(criteria, dynamic, quantiles=self.book._quantiles.setdefault((t.name, tuple(c for c in criteria if c.value is None)), {})), {c.column for c in criteria})
         _, step, reads = self.steps[signature]
         if column:
             reads.add(column)
@@ -459,24 +516,37 @@ class _Lowering:
         return (total, kind) if name == "SUM" else (total.cast("double") / F.lit(float(len(numbers))), "float")
 
 
+#: Operators that a criterion may begin with, the longer ones first.
+OPERATORS = ("<=", ">=", "<>", "<", ">", "=")
+
+
 def criterion(node: Node) -> tuple[str, object, Node | None]:
-    """(operator, literal, None) for a fixed criterion, (operator, None, expression) for one that differs by row."""
-    if isinstance(node, Str):
-        op, text = re.fullmatch(r"(<=|>=|<>|<|>|=)?(.*)", node.value, re.DOTALL).groups()
-        if op is None and re.search(r"[*?]", text):
-            return "like", re.sub(r"([%_\\])", r"\\\1", text).replace("*", "%").replace("?", "_"), None
-        return op or "=", _literal(text), None
-    if isinstance(node, Num):
-        return "=", float(node.value), None
-    if isinstance(node, Bool):
-        return "=", node.value, None
-    if isinstance(node, Binary) and node.op == "&" and isinstance(node.left, Str) and node.left.value in ("=", "<>", "<", ">", "<=", ">="):
-        return node.left.value, None, node.right
+    """(operator, literal, None) for a fixed criterion, (operator, None, expression) for one that differs by row.
+
+    A text may begin with an operator, blanks around it aside; without one, * and ? are wildcards. An operator joined to an
+    expression by & compares with its value.
+    """
+    match node:
+        case Num(v):
+            return "=", float(v), None
+        case Bool(v):
+            return "=", v, None
+        case Str(text):
+            op = next((o for o in OPERATORS if text.lstrip().startswith(o)), None)
+            if op:
+                return op, _literal(text.lstrip()[len(op) :]), None
+            return ("like", _pattern(text), None) if {"*", "?"} & set(text) else ("=", _literal(text), None)
+        case Binary("&", Str(op), right) if op.strip() in OPERATORS:
+            return op.strip(), None, right
     return "=", None, node
 
 
+def _pattern(text: str) -> str:
+    """A LIKE pattern with escape character \\."""
+    return "".join({"*": "%", "?": "_"}.get(c) or (f"\\{c}" if c in "%_\\" else c) for c in text)
+
+
 def _literal(text: str) -> object:
-    try:
-        return float(text)
-    except ValueError:
-        return text
+    """A number where the text is one."""
+    number = re.fullmatch(r"\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*", text)
+    return float(text) if number else text

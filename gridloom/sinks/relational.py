@@ -6,12 +6,14 @@ A SQLite file is written by one process, so rows stream to the driver a partitio
 from __future__ import annotations
 
 import sqlite3
-from dataclasses import dataclass, field
+from collections.abc import Callable
+from dataclasses import asdict, dataclass, field
 from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.operators.coerce import lost, typed
 from gridloom.operators.profile import ForeignKey
 
 #: Rows of one insert.
@@ -20,6 +22,20 @@ BATCH = 1000
 SQL_TYPES = {"integer": "BIGINT", "float": "FLOAT", "boolean": "BOOLEAN", "date": "DATE", "datetime": "TIMESTAMP", "text": "TEXT"}
 
 
+@dataclass(frozen=True)
+class Problem:
+    level: str
+    code: str
+    message: str
+
+
+def validate(kinds: dict[str, dict[str, str]], names: list[str] | None = None) -> list[Problem]:
+    """What keeps tables from being created. names: the tables as declared, where they may repeat."""
+    listed = [n.lower() for n in names or list(kinds)]
+    out = [Problem("error", "duplicate_table", f"{n} is there twice") for n in dict.fromkeys(listed) if listed.count(n) > 1]
+    return out + [Problem("error", "no_columns", f"{t} has no columns") for t, cs in kinds.items() if not cs]
+
+
 @dataclass
 class Plan:
     #: Tables in loading order, the foreign keys that stand in CREATE TABLE, those added afterwards, and why others are left out.
@@ -30,7 +46,7 @@ class Plan:
 
 
 def plan(kinds: dict[str, dict[str, str]], keys: dict[str, str | None], links: list[ForeignKey]) -> Plan:
-    """kinds: table to column to kind. What a table refers to loads before it; a cycle is broken at the table declared last."""
+    """kinds: table to column to kind. What a table refers to loads before it; see load_order() for cycles."""
     good, issues = [], []
     for k in links:
         if k.target not in kinds or keys.get(k.target) != k.key:
@@ -39,22 +55,45 @@ def plan(kinds: dict[str, dict[str, str]], keys: dict[str, str | None], links: l
             issues.append(("fk_skipped", f"{k.table}.{k.column}: its kind differs from {k.target}.{k.key}"))
         else:
             good.append(k)
-    place = {t: i for i, t in enumerate(kinds)}
-    waits = {t: {k.target for k in good if k.table == t} - {t} for t in kinds}
+    order, deferred = load_order(list(kinds), [k for k in good if k.table != k.target])
+    issues += [("fk_cycle", f"{k.table}.{k.column} -> {k.target}.{k.key} is added after loading") for k in deferred]
+    later = [k for k in good if k.table == k.target or k in deferred]
+    return Plan(order, [k for k in good if k not in later], later, issues)
+
+
+def load_order(tables: list[str], links: list[ForeignKey]) -> tuple[list[str], list[ForeignKey]]:
+    """Tables, each after those it refers to, else as declared; and the keys that close a cycle, which are left out for that.
+
+    Where no table is free, only a table that refers to itself through others can lose a key, and the one declared last does:
+    its keys into its own cycle are left out, and no others.
+    """
+    waits: dict[str, list[ForeignKey]] = {t: [k for k in links if k.table == t] for t in tables}
     order: list[str] = []
+    late: list[ForeignKey] = []
+
+    def reached(start: str) -> set[str]:
+        seen, todo = set(), [start]
+        while todo:
+            for k in waits[todo.pop()]:
+                if k.target not in seen:
+                    seen.add(k.target)
+                    todo.append(k.target)
+        return seen
+
     while waits:
         ready = next((t for t in waits if not waits[t]), None)
         if ready is None:
-            stuck = max((t for t in waits if any(t in w for w in waits.values())), key=place.__getitem__)
-            issues.append(("fk_cycle", f"{stuck}: its foreign keys are added after loading"))
-            waits[stuck] = set()
+            far = {t: reached(t) for t in waits}
+            stuck = [t for t in waits if t in far[t]][-1]
+            gone = [k for k in waits[stuck] if stuck in far[k.target]]
+            late += gone
+            waits[stuck] = [k for k in waits[stuck] if k not in gone]
             continue
         order.append(ready)
         del waits[ready]
-        for w in waits.values():
-            w.discard(ready)
-    at = {t: i for i, t in enumerate(order)}
-    return Plan(order, [k for k in good if at[k.target] < at[k.table]], [k for k in good if at[k.target] >= at[k.table]], issues)
+        for t in waits:
+            waits[t] = [k for k in waits[t] if k.target != ready]
+    return order, [k for k in links if k in late]
 
 
 def quoted(name: str) -> str:
@@ -73,7 +112,9 @@ def ddl(kinds: dict[str, dict[str, str]], keys: dict[str, str | None], planned:
 
 
 def write_sqlite(path: str, frames: dict[str, DataFrame], kinds: dict[str, dict[str, str]], keys: dict[str, str | None], links: list[ForeignKey]) -> dict[str, int | str]:
-    """A new SQLite file; for each table its number of rows or, where it failed and was rolled back, the error. Deferred keys aren't created."""
+    """A new SQLite file; for each table its number of rows or, where a value isn't of its kind or the load failed and was rolled back, the error. Deferred keys aren't created."""
+    if any(i.level == "error" for i in validate(kinds)):
+        raise ValueError("; ".join(i.message for i in validate(kinds) if i.level == "error"))
     planned = plan(kinds, keys, links)
     Path(path).unlink(missing_ok=True)
     done: dict[str, int | str] = {}
@@ -82,7 +123,10 @@ def write_sqlite(path: str, frames: dict[str, DataFrame], kinds: dict[str, dict[
             if statement.startswith("CREATE"):
                 db.execute(statement)
         for t in planned.order:
-            df = frames[t].select(*[F.col(f"`{c}`").cast("string") if k in ("date", "datetime") else F.col(f"`{c}`") for c, k in kinds[t].items()])
+            if bad := lost(frames[t], kinds[t]):
+                done[t] = "; ".join(f"{c}: {n} values aren't {kinds[t][c]}" for c, n in bad.items())
+                continue
+            df = typed(frames[t], kinds[t]).select(*[F.col(f"`{c}`").cast("string") if k in ("date", "datetime") else F.col(f"`{c}`") for c, k in kinds[t].items()])
             insert, batch, n = f"INSERT INTO {quoted(t)} VALUES ({', '.join('?' * len(kinds[t]))})", [], 0
             db.execute("BEGIN")
             try:
@@ -101,22 +145,49 @@ def write_sqlite(path: str, frames: dict[str, DataFrame], kinds: dict[str, dict[
     return done
 
 
+def report(kinds: dict[str, dict[str, str]], keys: dict[str, str | None], links: list[ForeignKey], rows: dict[str, int], bulk: int | None = None, limits: Callable = validate) -> dict:
+    """What a load would do: problems, DDL, order, and for each table its rows and how they go in. bulk: rows from over which they are copied."""
+    planned = plan(kinds, keys, links)
+    tables = [{"table": t, "rows": rows.get(t, 0), "columns": len(kinds[t]), "strategy": "copy" if bulk is not None and rows.get(t, 0) > bulk else f"insert {BATCH} at a time"} for t in planned.order]
+    return {"problems": [asdict(p) for p in limits(kinds)], "issues": planned.issues, "tables": tables, "ddl": ddl(kinds, keys, planned), "deferred": [f"{k.table}.{k.column}" for k in planned.deferred]}
+
+
 #: Foreign keys below this confidence are drawn dashed.
 TENTATIVE = 0.9
 
 
-def erd(kinds: dict[str, dict[str, str]], keys: dict[str, str | None], links: list[ForeignKey]) -> str:
-    """Mermaid text of an entity-relationship diagram."""
-    ids = {t: t if t.isascii() and t.isidentifier() else f"t{i}" for i, t in enumerate(kinds)}
+#: Words for kinds in diagrams.
+ERD_TYPES = {"integer": "int", "float": "float", "boolean": "boolean", "date": "date", "datetime": "datetime", "text": "string"}
+
+
+def _ids(names: list[str], letter: str) -> dict[str, str]:
+    """A plain word for each name: itself where it is one, else one that no name has."""
+    plain = {n for n in names if n.isascii() and n.isidentifier()}
+    out, i = {}, 0
+    for n in names:
+        while n not in plain and f"{letter}{i}" in plain:
+            i += 1
+        out[n] = n if n in plain else f"{letter}{i}"
+        i += n not in plain
+    return out
+
+
+def erd(kinds: dict[str, dict[str, str]], keys: dict[str, str | None], links: list[ForeignKey], notes: dict[tuple[str, str], str] | None = None) -> str:
+    """Mermaid text of an entity-relationship diagram. notes: a comment for a (table, column), as what it is derived from."""
+    ids = _ids(list(kinds), "t")
+    said = lambda x: x.replace('"', "'")
     lines = ["erDiagram"]
     for t, columns in kinds.items():
-        lines.append(f"  {ids[t]} {{" if ids[t] == t else f'  {ids[t]}["{t}"] {{')
-        for i, (c, k) in enumerate(columns.items()):
+        lines.append(f"  {ids[t]} {{" if ids[t] == t else f'  {ids[t]}["{said(t)}"] {{')
+        words = _ids(list(columns), "c")
+        for c, k in columns.items():
             marks = ", ".join(m for m, yes in (("PK", keys.get(t) == c), ("FK", any((x.table, x.column) == (t, c) for x in links))) if yes)
-            safe = c if c.isascii() and c.isidentifier() else f"c{i}"
-            lines.append(f"    {k} {safe}{' ' + marks if marks else ''}" + ("" if safe == c else f' "{c}"'))
+            comment = "; ".join(x for x in (c if words[c] != c else "", (notes or {}).get((t, c), "")) if x)
+            lines.append(f"    {ERD_TYPES[k]} {words[c]}{' ' + marks if marks else ''}" + (f' "{said(comment)}"' if comment else ""))
         lines.append("  }")
     for k in links:
         if k.table in ids and k.target in ids:
-            lines.append(f"  {ids[k.table]} }}o{'--' if k.confidence >= TENTATIVE else '..'}{'||' if k.confidence >= TENTATIVE else 'o|'} {ids[k.target]} : {k.column}")
+            sure = k.confidence >= TENTATIVE
+            label = said(k.column) if sure else f"{said(k.column)} ({k.confidence:g}?)"
+            lines.append(f"  {ids[k.table]} }}o{'--||' if sure else '..o|'} {ids[k.target]} : " + (label if label.isidentifier() and label.isascii() else f'"{label}"'))
     return "\n".join(lines) + "\n"

@@ -20,6 +20,7 @@ from xml.etree import ElementTree
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.operators.coerce import coerced
 from gridloom.operators.profile import BOOLEAN_WORDS
 from gridloom.plans.formula import column_index, column_letters
 
@@ -134,6 +135,29 @@ def cells(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return files.repartition("path").mapInPandas(parse, CELLS)
 
 
+def books(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """file, place (1, 2, ...) and book of the workbooks that each file's formulas call [1], [2] and so on."""
+    files = spark.read.format("binaryFile").load(path).where(F.lower("path").rlike(r"\.xls[xm]$")).select("path", "content")
+
+    def parse(batches):
+        import pandas as pd
+
+        for batch in batches:
+            rows = []
+            for where, content in zip(batch["path"], batch["content"], strict=True):
+                with zipfile.ZipFile(io.BytesIO(bytes(content))) as z:
+                    rows += [(unquote(posixpath.basename(where)), i, b) for i, b in enumerate(external_books(z), 1)]
+            yield pd.DataFrame(rows, columns=["file", "place", "book"])
+
+    return files.mapInPandas(parse, "file string, place int, book string")
+
+
+def file_names(spark: SparkSession, path: str | list[str]) -> list[str]:
+    """Names of all files under the paths, other kinds too; contents aren't read."""
+    found = spark.read.format("binaryFile").load(path).select("path").collect()
+    return sorted(unquote(posixpath.basename(r["path"])) for r in found)
+
+
 def identifier(raw: object, fallback: str) -> str:
     """A lower-case name of word characters; letters of any script stay."""
     name = re.sub(r"_+", "_", re.sub(r"\W", "_", unicodedata.normalize("NFKC", str(raw or "")))).strip("_").lower() or fallback
@@ -164,19 +188,8 @@ class Sheet:
     issues: list[str] = field(default_factory=list)
 
 
-_CASTS = {"integer": "bigint", "float": "double", "boolean": "boolean", "date": "date", "datetime": "timestamp_ntz", "text": "string"}
-
-
-def _typed(c, kind: str):
-    if kind == "integer":
-        return c.try_cast("double").try_cast("bigint")
-    if kind == "boolean":
-        return F.lower(F.trim(c)).isin("true", "yes", "y", "t") if c is not None else c
-    return c.try_cast(_CASTS[kind])
-
-
 def tables(found: DataFrame) -> list[Sheet]:
-    """A table for each sheet with a header; sheets without one are left out. found: cells, read more than once."""
+    """A table for each sheet with a header; sheets without one are left out. found: cells, read more than once, so kept by the caller."""
     filled = F.col("value").isNotNull() & (F.trim("value") != "")
     key = ["file", "sheet"]
     width = found.groupBy(*key).agg((F.max("col") + 1).alias("width"))
@@ -205,6 +218,6 @@ def tables(found: DataFrame) -> list[Sheet]:
         own = below.where((F.col("file") == at[0]) & (F.col("sheet") == at[1]) & (F.col("col") <= last))
         # A row's cells are at most as many as the sheet has columns.
         wide = own.where(filled).groupBy("row").agg(*[F.max(F.when(F.col("col") == c, F.col("value"))).alias(f"c{c}") for c in range(last + 1)])
-        df = wide.select("row", *[_typed(F.col(f"c{c}"), k).alias(columns[c]) for c, k in enumerate(types)])
+        df = wide.select("row", *[coerced(F.col(f"c{c}"), "text", k).alias(columns[c]) for c, k in enumerate(types)])
         out.append(Sheet(name, *at, r["header"], columns, types, df, ["blank_header"] if any((*at, c) not in titles for c in range(last + 1)) else []))
     return out
