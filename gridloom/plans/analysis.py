@@ -188,14 +188,14 @@ class Analysis:
         return cls(tables, [ForeignKey(**k) for k in d["keys"]], [Issue(**i) for i in d["issues"]], [Shape(**s) for s in d["shapes"]], d["books"])
 
     def save(self, spark: SparkSession, folder: str) -> None:
-        """The schema as JSON text and each table as Parquet with columns by their places, in any store that Spark writes to."""
-        spark.createDataFrame([(self.to_json(),)], "value string").coalesce(1).write.mode("overwrite").option("lineSep", "\0").text(f"{folder}/schema")
+        """The schema as JSON in one row, and each table with columns by their places, as Parquet in any store that Spark writes to."""
+        spark.createDataFrame([(self.to_json(),)], "value string").coalesce(1).write.mode("overwrite").parquet(f"{folder}/schema")
         for i, t in enumerate(self.tables):
             self.frames[t.name].toDF(*[f"c{j}" for j in range(len(t.columns))], ROW).write.mode("overwrite").parquet(f"{folder}/data/t{i}")
 
     @classmethod
     def load(cls, spark: SparkSession, folder: str) -> Analysis:
-        out = cls.from_json(spark.read.option("wholetext", True).text(f"{folder}/schema").first()[0].rstrip("\0"))
+        out = cls.from_json(spark.read.parquet(f"{folder}/schema").first()[0])
         for i, t in enumerate(out.tables):
             out.frames[t.name] = spark.read.parquet(f"{folder}/data/t{i}").toDF(*[c.name for c in t.columns], ROW)
         return out

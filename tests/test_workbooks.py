@@ -68,6 +68,11 @@ def clean(tmp_path_factory):
     return str(path)
 
 
+@pytest.fixture(scope="module")
+def analysed(spark, clean):
+    return analyze(spark, clean)
+
+
 @pytest.fixture(scope="module")
 def across(tmp_path_factory):
     folder = tmp_path_factory.mktemp("across")
@@ -83,8 +88,8 @@ def across(tmp_path_factory):
     return folder
 
 
-def test_clean_workbook(spark, clean):
-    a = analyze(spark, clean)
+def test_clean_workbook(analysed):
+    a = analysed
     assert {t.name: t.row_count for t in a.tables} == {"customers": 25, "orders": 60, "order_items": 150}
     assert {i.code for i in a.issues} == {"formula_cache_empty"}
     kinds = {f"{t.name}.{c.name}": c.kind for t in a.tables for c in t.columns}
@@ -92,14 +97,14 @@ def test_clean_workbook(spark, clean):
     assert kinds["orders.ordered_at"] == "datetime" and kinds["orders.customer_name"] == "text"
     assert {t.name: t.key() for t in a.tables} == {"customers": "customer_id", "orders": "order_id", "order_items": "item_id"}
     assert set(a.keys) == {ForeignKey("orders", "customer_id", "customers", "customer_id", 0.98), ForeignKey("order_items", "order_id", "orders", "order_id", 0.98)}
-    assert [f"{t.name}.{c.name}" for t in a.tables for c in t.columns if c.derived] == ["orders.customer_name", "order_items.line_total", "order_items.order_status"] or {f"{t.name}.{c.name}" for t in a.tables for c in t.columns if c.derived} == {"orders.customer_name", "order_items.line_total", "order_items.order_status"}
+    assert {f"{t.name}.{c.name}" for t in a.tables for c in t.columns if c.derived} == {"orders.customer_name", "order_items.line_total", "order_items.order_status"}
     assert a.function_totals() == {"XLOOKUP": 150, "VLOOKUP": 60} and list(a.by_file()) == ["clean.xlsx"]
     assert len(a.shapes) == 3, "formulas that differ by rows only are one shape"
     assert a.table("orders").columns[4].null_ratio == pytest.approx(0.7)
 
 
-def test_clean_workbook_in_sqlite(spark, clean, tmp_path):
-    a = analyze(spark, clean)
+def test_clean_workbook_in_sqlite(spark, analysed, tmp_path):
+    a = analysed
     done = migrate(spark, a, "sqlite", str(tmp_path / "x.db"), ["orders.customer_name", "order_items.line_total", "order_items.order_status"])
     assert done.tables == {"customers": 25, "orders": 60, "order_items": 150} and not done.failed and sorted(done.views) == ["order_items_v", "orders_v"]
     w = a.without(["orders.customer_name", "order_items.line_total", "order_items.order_status"]).workbook(spark)
@@ -169,7 +174,9 @@ def test_headers_and_other_files(spark, tmp_path):
     assert {i.code for i in a.issues} == {"blank_header", "no_header", "unsupported_file"}
 
 
-def test_command_line(spark, clean, tmp_path, capsys):
+def test_command_line(spark, analysed, tmp_path, capsys, monkeypatch):
+    clean = "clean.xlsx"
+    monkeypatch.setattr(cli, "analyze", lambda _, paths: analysed if paths == [clean] else analyze(spark, paths))
     assert cli.main(["analyze", clean], spark) == 0 and json.loads(capsys.readouterr().out)["tables"][0]["name"]
     assert cli.main(["erd", clean], spark) == 0 and "orders }o--|| customers : customer_id" in capsys.readouterr().out
     assert cli.main(["formulas", clean], spark) == 0 and capsys.readouterr().out.startswith("XLOOKUP 150\nVLOOKUP 60")
@@ -199,13 +206,13 @@ def test_dump_and_limits(spark, tmp_path):
     df = spark.createDataFrame([(1, "it's\ta\\b", True, 1.5), (2, None, None, None)], "id long, x string, ok boolean, f double")
     kinds = {"t": {"id": "integer", "x": "text", "ok": "boolean", "f": "float"}}
     assert [r.value for r in postgres.inserts(df, "t", kinds["t"]).orderBy("value").collect()] == ["INSERT INTO \"t\" (\"id\", \"x\", \"ok\", \"f\") VALUES (1, 'it''s\ta\\b', TRUE, 1.5);", 'INSERT INTO "t" ("id", "x", "ok", "f") VALUES (2, NULL, NULL, NULL);']
-    assert [r.v for r in df.select(postgres.copy_line(kinds["t"]).alias("v")).collect()] == ["1\tit's\\ta\\\\b\ttrue\t1.5", "2\\tx".replace("\\tx", "") + "\t\\N\t\\N\t\\N"]
+    assert [r.v for r in df.select(postgres.copy_line(kinds["t"]).alias("v")).collect()] == ["1\tit's\\ta\\\\b\ttrue\t1.5", "2\t\\N\t\\N\t\\N"]
     big = spark.range(12000).selectExpr("id", "id / 2 AS value")
     done = postgres.dump(spark, str(tmp_path / "d"), {"t": df, "big": big}, kinds | {"big": {"id": "integer", "value": "float"}}, {"t": "id", "big": "id"}, [])
     assert done == {"t": 2, "big": 12000} and "\\copy \"big\"" in "".join(r.value + "\n" for r in spark.read.text(str(tmp_path / "d" / "load.sql")).collect())
     assert spark.read.text(str(tmp_path / "d" / "data" / "big")).count() == 12000
     problems = postgres.validate({"t" * 64: {"select": "text"}, "none": {}}, ["a", "A"])
-    assert [p.code for p in problems] == ["duplicate_table", "no_columns", "identifier_too_long", "reserved_word"] or {p.code for p in problems} == {"duplicate_table", "no_columns", "identifier_too_long", "reserved_word"}
+    assert {p.code for p in problems} == {"duplicate_table", "no_columns", "identifier_too_long", "reserved_word"}
     assert [t["strategy"] for t in postgres.report({"big": {"id": "integer"}}, {}, [], {"big": 12000})["tables"]] == ["copy"]
     assert postgres.jdbc("postgresql://u:p%40@h/db") == ("jdbc:postgresql://h:5432/db", {"user": "u", "password": "p@", "driver": "org.postgresql.Driver"})
     with pytest.raises(ValueError, match="address"):
@@ -298,7 +305,7 @@ def test_diagram_names():
     assert 't1["über"] {' in text and 'text' not in text and 'string c0 FK "ref no"' in text and 't0 }o..o| t1 : "ref no (0.7?)"' in text and "gone" not in text
 
 
-def test_dump_plan(spark, clean):
-    a = analyze(spark, clean)
+def test_dump_plan(analysed):
+    a = analysed
     report = plan(a, "postgres")
     assert report["problems"] == [] and [t["table"] for t in report["tables"]] == ["customers", "orders", "order_items"] and len(report["ddl"]) == 3
