@@ -133,12 +133,17 @@ def resolve(items: DataFrame, media: DataFrame, digest_col: str = "digest") -> D
     return keyed.join(media.withColumnRenamed(digest_col, "_key"), "_key", "left").drop("_key")
 
 
-def interleaved(pages: DataFrame, media: DataFrame, id_col: str, html_col: str = "html") -> DataFrame:
+def interleaved(pages: DataFrame, media: DataFrame, id_col: str, html_col: str = "html", row_col: str | None = None) -> DataFrame:
     """id_col and items for each row of pages: its sequence of texts and media in order, each media item with the columns of media for its digest (null where there are none).
 
-    Rows of pages may repeat an id; each has a sequence of its own. A page's items are all that meets in one task.
+    Rows of pages may repeat an id; each has a sequence of its own. A page's items are all that meets in one task. Sequences are
+    saved with a row id, unless row_col names a distinct long of saved pages; then they are parsed twice.
     """
-    parsed = save(with_row_id(sequences(pages, id_col, html_col), "row"), "sequences")
+    if row_col is None:
+        parsed = save(with_row_id(sequences(pages, id_col, html_col), "row"), "sequences")
+    else:
+        both = pages.select(F.struct(column(row_col).alias("row"), column(id_col).alias("id")).alias("both"), column(html_col).alias("html"))
+        parsed = sequences(both, "both").select(F.col("both.id").alias(id_col), "items", F.col("both.row").alias("row"))
     each = parsed.select("row", F.explode("items").alias("item"))
     wanted = each.where("item.kind = 'media'").select("row", "item.position", "item.digest")
     facts = [c for c in media.columns if c != "digest"]
@@ -162,7 +167,7 @@ def to_png(payload: bytes) -> bytes:
     """A grey 8-bit image of the payload, whose length is a multiple of the width; every sample is a byte."""
     rows = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH)
     lines = np.concatenate((np.zeros((len(rows), 1), np.uint8), rows), axis=1).tobytes()
-    return SIGNATURE + _chunk(b"IHDR", struct.pack(">IIBBBBB", WIDTH, len(rows), 8, 0, 0, 0, 0)) + _chunk(b"IDAT", zlib.compress(lines, 1)) + _chunk(b"IEND", b"")
+    return SIGNATURE + _chunk(b"IHDR", struct.pack(">IIBBBBB", WIDTH, len(rows), 8, 0, 0, 0, 0)) + _chunk(b"IDAT", zlib.compress(lines, 6)) + _chunk(b"IEND", b"")
 
 
 def from_png(data: bytes) -> np.ndarray:
@@ -199,7 +204,7 @@ def preview_of(payload: bytes) -> bytes:
 
 
 def as_pages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Saved: key (id and n_bytes), html (a page that shows the text's image with a caption between two paragraphs, and a preview after them), and media, an array of the images with their digests."""
+    """Saved: row, key (id and n_bytes), html (a page that shows the text's image with a caption between two paragraphs, and a preview after them), and media, an array of the images with their digests."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def make():
@@ -219,7 +224,7 @@ def as_pages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         return one
 
     rows = map_batches(docs.select(column(id_col), column(text_col).cast("string")), make, f"key struct<id:{kind},n_bytes:bigint>, html string, media array<struct<digest:string,media:binary>>")
-    return save(rows, "media", "uncompressed")  # images are compressed already
+    return save(with_row_id(rows, "row"), "media")
 
 
 def read_back(media: DataFrame) -> DataFrame:
@@ -247,8 +252,8 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sequence is the page's whole sequence as JSON: position, kind, text, digest, caption and the media columns of every item.
     """
     stored = as_pages(docs, id_col, text_col)
-    facts = save(read_back(stored.select(F.inline("media"))), "facts")
-    items = interleaved(stored, facts, "key").select("key", "items", F.filter("items", lambda x: (x["kind"] == "media") & x["caption"].startswith("document "))[0].alias("item"))
+    facts = read_back(stored.select(F.inline("media")))
+    items = interleaved(stored, facts, "key", row_col="row").select("key", "items", F.filter("items", lambda x: (x["kind"] == "media") & x["caption"].startswith("document "))[0].alias("item"))
     m = F.col("item.media")
     columns = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
     return items.select(F.col("key.id").alias(id_col), F.col("key.n_bytes").alias("n_bytes"), *[m[c].alias(c) for c in columns], "item.position", "item.caption", F.size("items").cast("long").alias("n_items"), F.to_json("items").alias("sequence"))
