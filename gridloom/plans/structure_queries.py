@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +13,19 @@ from gridloom.plans.queries import TABLES, workbook
 
 #: Foreign keys of the tables: column to table and key.
 _LINKS = {("nation", "n_regionkey"): ("region", "r_regionkey"), ("customer", "c_nationkey"): ("nation", "n_nationkey"), ("orders", "o_custkey"): ("customer", "c_custkey"), ("lineitem", "l_orderkey"): ("orders", "o_orderkey"), ("lineitem", "l_partkey"): ("part", "p_partkey"), ("part", "p_size"): ("supplier", "s_suppkey")}
-_KINDS = {"customer": "c_custkey:i c_name:s c_nationkey:i c_acctbal:f c_mktsegment:s", "orders": "o_orderkey:i o_custkey:i o_orderstatus:s o_totalprice:f o_orderdate:t o_orderpriority:s"}
+#: Lookups that formulas make; no column is named as a table of these.
+_LOOKED_UP = {("orders", "o_custkey", "customer")}
+#: Columns of the tables with their kinds: i and f are numbers, s texts, t times.
+_KINDS = {
+    "region": "r_regionkey:i r_name:s",
+    "nation": "n_nationkey:i n_name:s n_regionkey:i",
+    "customer": "c_custkey:i c_name:s c_nationkey:i c_acctbal:f c_mktsegment:s",
+    "supplier": "s_suppkey:i s_name:s s_nationkey:i s_acctbal:f",
+    "part": "p_partkey:i p_name:s p_brand:s p_type:s p_size:i p_retailprice:f",
+    "orders": "o_orderkey:i o_custkey:i o_orderstatus:s o_totalprice:f o_orderdate:t o_orderpriority:s",
+    "lineitem": "l_orderkey:i l_partkey:i l_suppkey:i l_linenumber:i l_quantity:f l_extendedprice:f l_discount:f l_tax:f l_returnflag:s l_linestatus:s l_shipdate:t",
+    "events": "event_id:i ts:t user_id:i event_type:s value:f props:s",
+}
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -19,7 +33,8 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def profile_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p.profile(_read(spark, sf_dir, "customer")).unionByName(p.profile(_read(spark, sf_dir, "orders")))
+    profiles = [p.profile(_read(spark, sf_dir, t)) for t in _KINDS]
+    return reduce(DataFrame.unionByName, profiles)
 
 
 def unique_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,9 +54,9 @@ def key_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def inferred_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tables = {t: _read(spark, sf_dir, t) for t in ("region", "nation", "customer", "orders")}
+    tables = {t: _read(spark, sf_dir, t) for t in _KINDS}
     keys = {t: p.primary_key(df) for t, df in tables.items()}
-    links = p.foreign_keys(tables, keys, {("orders", "o_custkey", "customer")})
+    links = p.foreign_keys(tables, keys, _LOOKED_UP)
     return spark.createDataFrame([(t, k, None, None) for t, k in keys.items()] + [(k.table, k.column, f"{k.target}.{k.key}", k.confidence) for k in links], "name string, key string, target string, confidence double")
 
 
@@ -77,8 +92,29 @@ def _profiled(table: str, column: str, kind: str) -> str:
     return f"SELECT '{column}' AS name, {whole} AS kind, count(*) FILTER ({blank}) / count(*) AS null_ratio, count(*) FILTER ({blank}) > 0 AS nullable, {size} AS max_length FROM {table}"
 
 
+def _inferred() -> str:
+    """Keys of all tables (their first columns, where unique) and for each other number its best target, of equal ones the first."""
+    cols = {t: [c.split(":") for c in cs.split()] for t, cs in _KINDS.items()}
+    first = {t: cs[0][0] for t, cs in cols.items()}
+    own = " UNION ALL ".join(f"SELECT '{t}' AS t, CASE WHEN count(*) > 0 AND count(DISTINCT {k}) = count(*) THEN '{k}' END AS k FROM {t}" for t, k in first.items())
+    pairs = [(t, c, o, k, at) for t, cs in cols.items() for c, kind in cs if kind in "if" for at, (o, k) in enumerate(first.items()) if o != t]
+    met = " UNION ALL ".join(
+        f"""SELECT '{t}' AS t, '{c}' AS c, '{o}' AS o, '{k}' AS k, {at} AS place, {(t, c, o) in _LOOKED_UP} AS looked,
+            (SELECT count(*) FILTER ({c} IN (SELECT {k} FROM {o})) / nullif(count({c}), 0) FROM {t}) AS contained,
+            (SELECT count(DISTINCT {k}) FILTER ({k} IN (SELECT {c} FROM {t})) / nullif(count(DISTINCT {k}), 0) FROM {o}) AS covered"""
+        for t, c, o, k, at in pairs
+    )
+    return f"""WITH own AS ({own}), met AS ({met}),
+        scored AS (SELECT met.*, CASE WHEN looked THEN {p.LOOKUP_ONLY} WHEN contained >= {p.CONTAINED} AND covered >= {p.COVERED} THEN {p.VALUES_ONLY} ELSE 0 END AS confidence
+            FROM met JOIN own AS target ON target.t = met.o AND target.k IS NOT NULL LEFT JOIN own AS self ON self.t = met.t AND self.k = met.c WHERE self.t IS NULL),
+        best AS (SELECT *, row_number() OVER (PARTITION BY t, c ORDER BY confidence DESC, place) AS n FROM scored WHERE confidence > 0)
+        SELECT t AS name, k AS key, CAST(NULL AS VARCHAR) AS target, CAST(NULL AS DOUBLE) AS confidence FROM own
+        UNION ALL SELECT t, c, o || '.' || k, CAST(confidence AS DOUBLE) FROM best WHERE n = 1"""
+
+
 ORACLE_SQL = {
     "profile_columns": " UNION ALL ".join(_profiled(t, *c.split(":")) for t, cs in _KINDS.items() for c in cs.split()),
+    "inferred_keys": _inferred(),
     "unique_columns": " UNION ".join(f"SELECT '{t}.{c}' AS name, count(*) = count(DISTINCT {c}) AND count(*) > 0 AS is_unique FROM {t}" for t, c in [(t, k[0]) for t, k in TABLES.items()] + list(_LINKS)),
     "key_overlap": " UNION ALL ".join(f"SELECT '{t}.{c}' AS name, (SELECT avg(CASE WHEN {c} IN (SELECT {k} FROM {o}) THEN 1.0 ELSE 0.0 END) FROM {t} WHERE {c} IS NOT NULL) AS contained, (SELECT count(DISTINCT {k}) FILTER ({k} IN (SELECT {c} FROM {t})) / count(DISTINCT {k}) FROM {o}) AS covered" for (t, c), (o, k) in _LINKS.items()),
     "lineage_columns": """SELECT source, target, op, CASE WHEN target LIKE 'customer%' THEN (SELECT count(*) FROM customer) ELSE (SELECT count(*) FROM orders) END AS weight FROM (VALUES

@@ -135,3 +135,16 @@ def test_queries_match_sql(spark, name):
     columns = [c[0] for c in found.description]
     shown = lambda row: [round(v, 9) if isinstance(v, float) else v for v in row]
     assert sorted(map(str, map(shown, found.fetchall()))) == sorted(map(str, map(shown, QUERIES[name](spark, DATA).select(*columns).collect())))
+
+
+def test_inferred_keys_equal_their_sql(spark):
+    import duckdb
+
+    from gridloom.plans import structure_queries as q
+
+    folder = "/root/testdata/sf0.001"
+    duck = duckdb.connect()
+    for t in q._KINDS:
+        duck.sql(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    got = sorted(map(str, map(tuple, q.inferred_keys(spark, folder).collect())))
+    assert got == sorted(map(str, duck.sql(q.ORACLE_SQL["inferred_keys"]).fetchall()))
