@@ -228,7 +228,7 @@ def as_pages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def read_back(media: DataFrame) -> DataFrame:
-    """media: digest and media. One row for each digest, from the stored bytes: payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature."""
+    """media: digest and media. One row for each digest, from the stored bytes: payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature; digests as bytes."""
 
     def make():
         def one(batch):
@@ -236,13 +236,13 @@ def read_back(media: DataFrame) -> DataFrame:
             for data in batch.column(1).to_pylist():
                 samples = from_png(data)
                 payload = samples.tobytes()
-                for c, x in (("payload_bytes", len(payload)), ("payload_sha256", hashlib.sha256(payload).hexdigest()), ("tail_crc32", zlib.crc32(payload[-16:])), ("media_bytes", len(data)), ("media_sha256", hashlib.sha256(data).hexdigest()), ("feature", features(samples))):
+                for c, x in (("payload_bytes", len(payload)), ("payload_sha256", hashlib.sha256(payload).digest()), ("tail_crc32", zlib.crc32(payload[-16:])), ("media_bytes", len(data)), ("media_sha256", hashlib.sha256(data).digest()), ("feature", features(samples))):
                     out[c].append(x)
             return out
 
         return one
 
-    read = map_batches(media.select("digest", "media"), make, "digest string, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
+    read = map_batches(media.select("digest", "media"), make, "digest string, payload_bytes bigint, payload_sha256 binary, tail_crc32 bigint, media_bytes bigint, media_sha256 binary, feature string")
     return read.groupBy("digest").agg(*[F.first(c).alias(c) for c in read.columns if c != "digest"])
 
 
@@ -253,7 +253,9 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     stored = as_pages(docs, id_col, text_col)
     facts = read_back(stored.select(F.inline("media")))
-    items = interleaved(stored, facts, "key", row_col="row").select("key", "items", F.filter("items", lambda x: (x["kind"] == "media") & x["caption"].startswith("document "))[0].alias("item"))
-    m = F.col("item.media")
     columns = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    written = lambda m: F.when(m.isNotNull(), F.struct(*[(F.lower(F.hex(m[c])) if c.endswith("sha256") else m[c]).alias(c) for c in columns]))
+    items = interleaved(stored, facts, "key", row_col="row").select("key", F.transform("items", lambda x: x.withField("media", written(x["media"]))).alias("items"))
+    items = items.withColumn("item", F.filter("items", lambda x: (x["kind"] == "media") & x["caption"].startswith("document "))[0])
+    m = F.col("item.media")
     return items.select(F.col("key.id").alias(id_col), F.col("key.n_bytes").alias("n_bytes"), *[m[c].alias(c) for c in columns], "item.position", "item.caption", F.size("items").cast("long").alias("n_items"), F.to_json("items").alias("sequence"))
