@@ -30,6 +30,8 @@ from gridloom.llm.shared import map_batches, save, slices
 
 #: An archive is closed after so many bytes of payload or records.
 ARCHIVE_BYTES, ARCHIVE_RECORDS = 4 << 20, 1024
+#: Bytes of an archive that are unpacked at once.
+STEP = 16 << 10
 DATE = "2024-01-01T00:00:00Z"
 #: Fixed value of the WARC standard.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -65,10 +67,17 @@ def revisit(name: str, page: int | None, url: str, size: int, digest: str, origi
 
 
 def records(content: bytes) -> Iterator[tuple[dict[str, str], dict[str, str], bytes]]:
-    """Headers, HTTP headers and payload of each record of an archive."""
-    while content:
-        unpacker = zlib.decompressobj(31)
-        raw, content = unpacker.decompress(content), unpacker.unused_data
+    """Headers, HTTP headers and payload of each record of an archive. It is stepped through by offset: what follows a record is never copied whole."""
+    whole, at = memoryview(content), 0
+    while at < len(whole):
+        unpacker, parts = zlib.decompressobj(31), []
+        while not unpacker.eof:
+            step = whole[at : at + STEP]
+            if not step:
+                raise ValueError("an archive ends inside a record")
+            parts.append(unpacker.decompress(step))
+            at += len(step) - len(unpacker.unused_data)
+        raw = b"".join(parts)
         head, _, rest = raw.partition(b"\r\n\r\n")
         version, *lines = head.decode().split("\r\n")
         fields = dict(x.split(": ", 1) for x in lines)

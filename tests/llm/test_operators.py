@@ -182,6 +182,11 @@ def test_warc(spark, tmp_path):
     assert {r.record_type for r in warc.read(warc.deduplicate(warc.write_captures(pages), 1)).where("payload_bytes = 0").collect()} == {"response"}
     assert sum(1 for name in warc.export(stored, str(tmp_path)) for _ in warc.records(open(name, "rb").read())) == len(rows)
     assert warc.read(warc.deduplicate(warc.write_captures(pages.limit(0)))).count() == 0
+    noise = np.random.default_rng(5).bytes(3 * warc.STEP)
+    archive = b"".join(warc.response(f"r{i}", i, "u", noise[:n], warc.payload_digest(noise[:n])) for i, n in enumerate((0, 1, warc.STEP, 3 * warc.STEP, 2)))
+    assert [len(payload) for _, _, payload in warc.records(archive)] == [0, 1, warc.STEP, 3 * warc.STEP, 2]
+    with pytest.raises(ValueError):
+        list(warc.records(archive[:-3]))
 
 
 def test_licenses(docs, none):
