@@ -82,8 +82,8 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
         case "analyze":
             print(a.to_json())
         case "erd":
-            derived = {(t.name, c.name): f"derived {c.formula}" for t in a.tables for c in t.columns if c.derived}
-            print(erd({t.name: t.kinds() for t in a.tables}, {t.name: t.key() for t in a.tables}, a.keys, derived), end="")
+            said = {(t.name, c.name): ", ".join(x for x, yes in (("derived", c.derived), ("not null", not c.nullable and not c.primary_key)) if yes) for t in a.tables for c in t.columns}
+            print(erd({t.name: t.kinds() for t in a.tables}, {t.name: t.key() for t in a.tables}, a.keys, said), end="")
         case "formulas":
             print(json.dumps({"functions": a.function_totals(), "files": a.by_file()}, ensure_ascii=False, indent=1) if o.json else _formulas(a))
         case "lineage":

@@ -58,17 +58,27 @@ def migrate(spark: SparkSession, a: Analysis, target: str, out: str, exclude: li
         report.tables = relational.write_sqlite(out, a.frames, kinds, keys, links)
         late = relational.plan(kinds, keys, links).deferred
         report.issues += [Issue("info", "fk_not_created", f"{k.table}.{k.column}: SQLite can't add a key afterwards") for k in late]
-        _create_views(out, text, report)
+        if not _skipped(report, text):
+            _create_views(out, text, report)
     elif target == "postgres":
         report.tables = postgres.write(out, a.frames, kinds, keys, links)
     elif target == "dump":
         report.tables = postgres.dump(spark, out, a.frames, kinds, keys, links, text)
-        report.views = [f"{t}_v" for t in sqltext.view_order(w)] if with_views else []
+        if not _skipped(report, text):
+            report.views = [f"{t}_v" for t in sqltext.view_order(w)] if with_views else []
     else:
         raise ValueError("a target is sqlite, postgres or dump")
     return report
 
 
+def _skipped(report: Report, text: str) -> bool:
+    """Views stand on all tables, so none is created where one failed."""
+    failed = [t for t, n in report.tables.items() if isinstance(n, str)]
+    if failed and text:
+        report.issues.append(Issue("warning", "views_skipped", f"not loaded: {', '.join(failed)}"))
+    return bool(failed)
+
+
 def _create_views(path: str, text: str, report: Report) -> None:
     statements = ["CREATE VIEW" + s for s in ("\n" + "\n".join(x for x in text.splitlines() if not x.startswith("-- "))).split("\nCREATE VIEW")[1:]]
     with sqlite3.connect(path) as db:

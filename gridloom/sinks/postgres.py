@@ -66,30 +66,51 @@ def copy_line(kinds: dict[str, str]) -> Column:
     return F.concat_ws("\t", *out)
 
 
-def dump(spark: SparkSession, folder: str, frames: dict[str, DataFrame], kinds: dict[str, dict[str, str]], keys: dict[str, str | None], links: list[ForeignKey], views: str = "") -> dict[str, int | str]:
-    """schema.sql, one folder of COPY files or INSERT statements for each table, load.sql and views.sql under folder; rows, or why a table is left out.
-
-    Tables of over COPY_ROWS rows are COPY text, the others statements.
+def _write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A file of its own, not a folder of parts, in any store that Spark writes to."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def dump(
+    spark: SparkSession,
+    folder: str,
+    frames: dict[str, DataFrame],
+    kinds: dict[str, dict[str, str]],
+    keys: dict[str, str | None],
+    links: list[ForeignKey],
+    views: str = "",
+) -> dict[str, int | str]:
+    """schema.sql, views.sql, load.sql (which psql runs, in the folder) and a folder of rows for each table; rows, or why a table is left out.
+
+    Tables of over COPY_ROWS rows are COPY text, the others statements. All is one transaction but the views, which are
+    left out where a table is.
     """
     if errors := [p.message for p in validate(kinds) if p.level == "error"]:
         raise ValueError("; ".join(errors))
     planned, done, load = plan(kinds, keys, links), {}, []
+    places = relational.plain_words(list(kinds))
     for t in planned.order:
         if bad := lost(frames[t], kinds[t]):
             done[t] = "; ".join(f"{c}: {n} values aren't {kinds[t][c]}" for c, n in bad.items())
             continue
-        done[t] = n = frames[t].count()
-        if n > COPY_ROWS:
-            typed(frames[t], kinds[t]).select(copy_line(kinds[t]).alias("value")).write.mode("overwrite").text(f"{folder}/data/{t}")
-            load.append(f"\\copy {quoted(t)} FROM PROGRAM 'cat data/{t}/part-*'")
+        done[t], place = frames[t].count(), f"data/{places[t]}"
+        if done[t] > COPY_ROWS:
+            typed(frames[t], kinds[t]).select(copy_line(kinds[t]).alias("value")).write.mode("overwrite").text(f"{folder}/{place}")
+            load.append(f"\\copy {quoted(t)} FROM PROGRAM 'cat {place}/part-*'")
         else:
-            inserts(frames[t], t, kinds[t]).write.mode("overwrite").text(f"{folder}/data/{t}")
-            load.append(f"\\! cat data/{t}/part-* > data/{t}.sql\n\\i data/{t}.sql")
+            inserts(frames[t], t, kinds[t]).write.mode("overwrite").text(f"{folder}/{place}")
+            load.append(f"\\! cat {place}/part-* > {place}.sql\n\\i {place}.sql")
     made = ddl(kinds, keys, planned)
+    drops = [f"DROP TABLE IF EXISTS {quoted(t)} CASCADE" for t in reversed(planned.order)]
     create, alter = [x for x in made if x.startswith("CREATE")], [x for x in made if not x.startswith("CREATE")]
-    scripts = {"schema.sql": ";\n".join(create) + ";\n", "load.sql": "\n".join(["\\i schema.sql", "BEGIN;", *load, "COMMIT;", *[f"{x};" for x in alter], "\\i views.sql"]) + "\n", "views.sql": views}
-    for name, text in scripts.items():
-        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/{name}")
+    whole = all(isinstance(n, int) for n in done.values())
+    script = ["\\set ON_ERROR_STOP on", "BEGIN;", "\\i schema.sql", *load, *[f"{x};" for x in alter], "COMMIT;", *(["\\i views.sql"] if whole and views else [])]
+    _write_text(spark, f"{folder}/schema.sql", ";\n".join(drops + create) + ";\n")
+    _write_text(spark, f"{folder}/views.sql", views if whole else "")
+    _write_text(spark, f"{folder}/load.sql", "\n".join(script) + "\n")
     return done
 
 

@@ -5,9 +5,11 @@ A SQLite file is written by one process, so rows stream to the driver a partitio
 
 from __future__ import annotations
 
+import re
 import sqlite3
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
+from itertools import chain, count
 from pathlib import Path
 
 from pyspark.sql import DataFrame
@@ -154,40 +156,40 @@ def report(kinds: dict[str, dict[str, str]], keys: dict[str, str | None], links:
 
 #: Foreign keys below this confidence are drawn dashed.
 TENTATIVE = 0.9
+#: Words for kinds in diagrams, labels of relations, and the name of what has no letters or digits.
+ERD_TYPES = {"integer": "int", "float": "float", "boolean": "boolean", "date": "date", "datetime": "datetime", "text": "text"}
+SURE_LABEL, TENTATIVE_LABEL = "{column} -> {key}", "{column} -> {key} (tentative {confidence:.2f})"
+NAMELESS = "table"
 
 
-#: Words for kinds in diagrams.
-ERD_TYPES = {"integer": "int", "float": "float", "boolean": "boolean", "date": "date", "datetime": "datetime", "text": "string"}
-
-
-def _ids(names: list[str], letter: str) -> dict[str, str]:
-    """A plain word for each name: itself where it is one, else one that no name has."""
-    plain = {n for n in names if n.isascii() and n.isidentifier()}
-    out, i = {}, 0
+def plain_words(names: list[str]) -> dict[str, str]:
+    """An ASCII word for each name, no two alike: other characters are underscores, a first digit follows t_, and a repeated word is numbered from 2."""
+    out: dict[str, str] = {}
     for n in names:
-        while n not in plain and f"{letter}{i}" in plain:
-            i += 1
-        out[n] = n if n in plain else f"{letter}{i}"
-        i += n not in plain
+        word = re.sub("[^A-Za-z0-9_]", "_", n).strip("_") or NAMELESS
+        word = f"t_{word}" if word[0].isdigit() else word
+        tries = chain([word], (f"{word}_{i}" for i in count(2)))
+        out[n] = next(w for w in tries if w not in out.values())
     return out
 
 
 def erd(kinds: dict[str, dict[str, str]], keys: dict[str, str | None], links: list[ForeignKey], notes: dict[tuple[str, str], str] | None = None) -> str:
-    """Mermaid text of an entity-relationship diagram. notes: a comment for a (table, column), as what it is derived from."""
-    ids = _ids(list(kinds), "t")
-    said = lambda x: x.replace('"', "'")
+    """Mermaid text of an entity-relationship diagram. notes: a comment for a (table, column), as that it is derived. A name that isn't a word is an entity's alias, or in a column's comment."""
+    ids = plain_words(list(kinds))
+    said = lambda x: '"' + x.replace('"', "'") + '"'
     lines = ["erDiagram"]
     for t, columns in kinds.items():
-        lines.append(f"  {ids[t]} {{" if ids[t] == t else f'  {ids[t]}["{said(t)}"] {{')
-        words = _ids(list(columns), "c")
-        for c, k in columns.items():
-            marks = ", ".join(m for m, yes in (("PK", keys.get(t) == c), ("FK", any((x.table, x.column) == (t, c) for x in links))) if yes)
-            comment = "; ".join(x for x in (c if words[c] != c else "", (notes or {}).get((t, c), "")) if x)
-            lines.append(f"    {ERD_TYPES[k]} {words[c]}{' ' + marks if marks else ''}" + (f' "{said(comment)}"' if comment else ""))
-        lines.append("  }")
+        lines.append(f"    {ids[t]}{'' if ids[t] == t else f'[{said(t)}]'} {{")
+        words = plain_words(list(columns))
+        for c, kind in columns.items():
+            marks = [m for m, yes in (("PK", keys.get(t) == c), ("FK", any((x.table, x.column) == (t, c) for x in links))) if yes]
+            comment = ", ".join(x for x in (c if words[c] != c else "", (notes or {}).get((t, c), "")) if x)
+            parts = [ERD_TYPES[kind], words[c], ",".join(marks), said(comment) if comment else ""]
+            lines.append("        " + " ".join(x for x in parts if x))
+        lines.append("    }")
     for k in links:
         if k.table in ids and k.target in ids:
             sure = k.confidence >= TENTATIVE
-            label = said(k.column) if sure else f"{said(k.column)} ({k.confidence:g}?)"
-            lines.append(f"  {ids[k.table]} }}o{'--||' if sure else '..o|'} {ids[k.target]} : " + (label if label.isidentifier() and label.isascii() else f'"{label}"'))
+            label = (SURE_LABEL if sure else TENTATIVE_LABEL).format(column=k.column, key=k.key, confidence=k.confidence)
+            lines.append(f"    {ids[k.table]} {'}o--||' if sure else '}o..o|'} {ids[k.target]} : {said(label)}")
     return "\n".join(lines) + "\n"

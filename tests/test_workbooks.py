@@ -13,7 +13,7 @@ from gridloom.migrate import migrate, plan
 from gridloom.operators.coerce import coerced, lost
 from gridloom.operators.profile import ForeignKey
 from gridloom.plans import sqltext
-from gridloom.plans.analysis import ROW, Analysis, analyze, evidence, lineage
+from gridloom.plans.analysis import ROW, Analysis, ColumnInfo, TableInfo, analyze, evidence, lineage
 from gridloom.plans.formula import column_letters
 from gridloom.plans.lineage import classify
 from gridloom.plans.workbook import Workbook
@@ -178,7 +178,10 @@ def test_command_line(spark, analysed, tmp_path, capsys, monkeypatch):
     clean = "clean.xlsx"
     monkeypatch.setattr(cli, "analyze", lambda _, paths: analysed if paths == [clean] else analyze(spark, paths))
     assert cli.main(["analyze", clean], spark) == 0 and json.loads(capsys.readouterr().out)["tables"][0]["name"]
-    assert cli.main(["erd", clean], spark) == 0 and "orders }o--|| customers : customer_id" in capsys.readouterr().out
+    assert cli.main(["erd", clean], spark) == 0
+    lines = capsys.readouterr().out.splitlines()
+    assert {"    customers {", "        int customer_id PK", '    orders }o--|| customers : "customer_id -> customer_id"', '    order_items }o--|| orders : "order_id -> order_id"'} <= set(lines)
+    assert any(x.startswith('        text customer_name "derived') for x in lines) and not any("tentative" in x for x in lines)
     assert cli.main(["formulas", clean], spark) == 0 and capsys.readouterr().out.startswith("XLOOKUP 150\nVLOOKUP 60")
     assert cli.main(["lineage", clean, "--level", "sheet"], spark) == 0 and "join ×" in capsys.readouterr().out
     assert cli.main(["translate", clean], spark) == 0 and capsys.readouterr().out.startswith("3 ok, 0 partial, 0 unsupported")
@@ -209,7 +212,8 @@ def test_dump_and_limits(spark, tmp_path):
     assert [r.v for r in df.select(postgres.copy_line(kinds["t"]).alias("v")).collect()] == ["1\tit's\\ta\\\\b\ttrue\t1.5", "2\t\\N\t\\N\t\\N"]
     big = spark.range(12000).selectExpr("id", "id / 2 AS value")
     done = postgres.dump(spark, str(tmp_path / "d"), {"t": df, "big": big}, kinds | {"big": {"id": "integer", "value": "float"}}, {"t": "id", "big": "id"}, [])
-    assert done == {"t": 2, "big": 12000} and "\\copy \"big\"" in "".join(r.value + "\n" for r in spark.read.text(str(tmp_path / "d" / "load.sql")).collect())
+    assert done == {"t": 2, "big": 12000} and "\\copy \"big\"" in (tmp_path / "d" / "load.sql").read_text()
+    assert (tmp_path / "d" / "schema.sql").read_text().startswith('DROP TABLE IF EXISTS "big" CASCADE;\nDROP TABLE IF EXISTS "t" CASCADE;\nCREATE TABLE "t"')
     assert spark.read.text(str(tmp_path / "d" / "data" / "big")).count() == 12000
     problems = postgres.validate({"t" * 64: {"select": "text"}, "none": {}}, ["a", "A"])
     assert {p.code for p in problems} == {"duplicate_table", "no_columns", "identifier_too_long", "reserved_word"}
@@ -301,8 +305,20 @@ def test_row_aggregates_skip_blanks(spark):
 
 
 def test_diagram_names():
-    text = relational.erd({"über": {"id": "integer"}, "t0": {"ref no": "text"}}, {"über": "id"}, [ForeignKey("t0", "ref no", "über", "id", 0.7), ForeignKey("t0", "x", "gone", "id", 0.9)])
-    assert 't1["über"] {' in text and 'text' not in text and 'string c0 FK "ref no"' in text and 't0 }o..o| t1 : "ref no (0.7?)"' in text and "gone" not in text
+    text = relational.erd({"고객 목록": {"id": "integer"}, "orders": {"ref no": "text", "1st": "date"}}, {"고객 목록": "id"}, [ForeignKey("orders", "ref no", "고객 목록", "id", 0.7), ForeignKey("orders", "x", "gone", "id", 0.9)])
+    assert '    table["고객 목록"] {' in text and '        text ref_no FK "ref no"' in text and '        date t_1st "1st"' in text
+    assert '    orders }o..o| table : "ref no -> id (tentative 0.70)"' in text and "gone" not in text
+    assert relational.plain_words(["a b", "a_b", "é", "ü", "a_b_2"]) == {"a b": "a_b", "a_b": "a_b_2", "é": "table", "ü": "table_2", "a_b_2": "a_b_2_2"}
+
+
+def test_views_are_skipped_where_a_table_failed(spark, tmp_path):
+    df = spark.createDataFrame([(1, "x")], "a long, b string")
+    bad = TableInfo("bad", "f.xlsx", "Bad", 1, 1, [ColumnInfo("a", "integer"), ColumnInfo("b", "integer"), ColumnInfo("c", "integer", derived=True, formula="=A2*2", include=False)])
+    a = Analysis([bad], frames={"bad": df.withColumn("c", df.a).withColumn(ROW, df.a)})
+    for target, out in (("sqlite", tmp_path / "x.db"), ("dump", tmp_path / "d")):
+        report = migrate(spark, a, target, str(out))
+        assert report.failed and report.views == [] and [i.code for i in report.issues] == ["views_skipped"]
+    assert (tmp_path / "d" / "views.sql").read_text() == "" and "views" not in (tmp_path / "d" / "load.sql").read_text()
 
 
 def test_dump_plan(analysed):
