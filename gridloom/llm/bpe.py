@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 import unicodedata
 from array import array
@@ -32,6 +33,8 @@ from gridloom.llm.shared import map_batches
 
 #: Words and pairs that a worker remembers at most, beside those of one batch.
 REMEMBER = 1 << 20
+#: Words that the tokenizers library encodes at once.
+WORDS = 4096
 #: White space to Python's patterns, but not to the library's.
 ODD_SPACES = re.compile("[\x1c-\x1f]")
 #: Characters that Python, its regex module and the library class alike (a test compares them one by one).
@@ -317,12 +320,16 @@ class Encoder:
 
 
 class LibraryEncoder(Encoder):
-    """The same, with the words' ids from the tokenizers library, for those who need ids and not the method; a light vocabulary will do."""
+    """The same, with the words' ids from the tokenizers library, for those who need ids and not the method; a light vocabulary will do.
+
+    The library gets WORDS words at a time and no threads of its own: a task has the core that Spark gave it.
+    """
 
     remember = REMEMBER >> 1
 
     def __init__(self, vocabulary: Vocabulary, *options):
         super().__init__(vocabulary, *options)
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.whole = Tokenizer.from_str(vocabulary.text)
@@ -331,8 +338,11 @@ class LibraryEncoder(Encoder):
         self.whole.encode_special_tokens = True
 
     def encode_words(self, words: Iterable[str]) -> dict[str, list[int]]:
-        listed = list(words)
-        return {w: e.ids for w, e in zip(listed, self.whole.encode_batch(listed, add_special_tokens=False), strict=True)}
+        listed, out = list(words), {}
+        for at in range(0, len(listed), WORDS):
+            some = listed[at : at + WORDS]
+            out |= {w: e.ids for w, e in zip(some, self.whole.encode_batch(some, add_special_tokens=False), strict=True)}
+        return out
 
 
 def library_packed(vocabulary: Vocabulary, kind: str = "<u4") -> Encoder:
