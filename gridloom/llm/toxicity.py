@@ -155,7 +155,7 @@ class Chain:
 
     def rows(self, texts: Iterable[set[str]]) -> Rows:
         get = self.index.get
-        found = [np.fromiter((i for i in map(get, expand(t)) if i is not None), np.int32) for t in texts]
+        found = [np.sort(np.fromiter((i for i in map(get, expand(t)) if i is not None), np.int32)) for t in texts]  # a set's order would change sums
         return Rows(np.concatenate([np.zeros(0, np.int32), *found]), np.concatenate(([0], np.cumsum([len(f) for f in found]))).astype(np.int64))
 
     def score(self, texts: Sequence[set[str]]) -> np.ndarray:
