@@ -117,6 +117,8 @@ def test_toxicity_on_held_out_rows(spark, docs, none):
     got = {r.doc_id: r.toxic for r in toxicity.score(all_docs, chain).collect()}
     assert np.mean([got[i] == (i % 5 == 0) for i in range(600, 900)]) > 0.97
     assert chain.models[1].before.shape == (1,) and chain.out_of_fold.shape == (600, 2)
+    several = chain.rows([set(r[1].split()) for r in rows[:50]])
+    assert all((np.diff(several.at[a:b]) > 0).all() for a, b in zip(several.bounds, several.bounds[1:])), "in order, whatever the set's"
     scored = toxicity.score(docs, chain, keep=["doc_id"])
     assert scored.count() == docs.count() and scored.columns == ["doc_id", "p_low_quality", "p_toxic", "toxic"]
     empty = toxicity.train_on(none, known, {"toxic": "toxic = 1"})
