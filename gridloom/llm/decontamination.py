@@ -95,7 +95,7 @@ class Index:
         lo, hi = lo.copy(), hi.copy()
         while (open_ := lo < hi).any():
             mid = (lo + hi) // 2
-            there = self.key[self.sa[np.where(open_, mid, 0)] + skip]
+            there = self.key[np.where(open_, self.sa[np.where(open_, mid, 0)] + skip, 0)]
             up = open_ & ((there <= key) if right else (there < key))
             lo, hi = np.where(up, mid + 1, lo), np.where(open_ & ~up, mid, hi)
         return lo

@@ -88,6 +88,13 @@ def test_leaks_against_brute_force(spark, monkeypatch, slice_bytes):
             assert own[m.word : m.word + m.length] in [w[m.item_word : m.item_word + m.length] for w in whole[m.item]]
 
 
+def test_a_shard_that_ends_with_its_first_suffix():
+    """Suffixes that are no longer looked at are not read beyond the end of the shard."""
+    items = decontamination.Items([("1", [b"a", b"b"] * 6), ("2", [b"c"] * 12)], 10)
+    docs = [items.numbered(w) for w in ([b"c"] * 11, [b"b", b"a"] * 6, [b"a"])]
+    assert [(s, i) for s, i, _ in items.search(docs)] == [([(0, 11)], {"2"}), ([(0, 12)], {"1"}), ([], set())]
+
+
 def test_decontaminate_keeps_clean_rows_as_they_are(spark):
     rows, items = leaky(1)
     docs = spark.createDataFrame([(*r, 1, "x") for r in rows], SCHEMA + ", n_words int, spans string").repartition(2)
