@@ -75,5 +75,13 @@ def comparable(left: tuple[Column, str], right: tuple[Column, str]) -> tuple[Col
     return a, b
 
 
+def met_as(left: str, right: str) -> str:
+    """The kind that comparable() makes of both sides; numbers of either kind meet as they are."""
+    kinds = {left, right}
+    if kinds <= {*NUMERIC, "null"}:
+        return "number"
+    return "float" if kinds & set(NUMERIC) and len(kinds) > 1 else common_kind([left, right])
+
+
 def concat_text(values: list[tuple[Column, str]]) -> Column:
     return reduce(lambda a, b: F.concat(a, b), [as_kind(c, k, "text") for c, k in values])

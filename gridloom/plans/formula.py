@@ -7,7 +7,7 @@ to three letters is a column; longer names that no ( follows, array constants an
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 
 class ParseError(ValueError):
@@ -36,7 +36,7 @@ class Empty:
 
 @dataclass(frozen=True)
 class Ref:
-    """A cell, column or range. Columns are 0-based; rows are None for whole columns."""
+    """A cell, column or range. Columns are 0-based; rows are None for whole columns, and fixed where a $ stands before them."""
 
     first: int
     last: int
@@ -45,6 +45,8 @@ class Ref:
     sheet: str | None = None
     book: str | None = None
     is_range: bool = False
+    top_fixed: bool = field(default=False, compare=False)
+    bottom_fixed: bool = field(default=False, compare=False)
 
 
 @dataclass(frozen=True)
@@ -99,9 +101,9 @@ def column_letters(index: int) -> str:
     return out
 
 
-def _cell(text: str) -> tuple[int, int | None]:
-    letters, digits = re.fullmatch(r"\$?([A-Za-z]+)\$?(\d*)", text).groups()
-    return column_index(letters), int(digits) if digits else None
+def _cell(text: str) -> tuple[int, int | None, bool]:
+    letters, fixed, digits = re.fullmatch(r"\$?([A-Za-z]+)(\$?)(\d*)", text).groups()
+    return column_index(letters), int(digits) if digits else None, bool(fixed)
 
 
 def _reference(m: re.Match) -> Ref:
@@ -109,9 +111,9 @@ def _reference(m: re.Match) -> Ref:
     book = None
     if sheet and (found := re.match(r"\[([^\]]+)\](.*)", sheet)):
         book, sheet = found.groups()
-    (c1, r1), (c2, r2) = _cell(m["a"]), _cell(m["b"] or m["a"])
-    rows = [r for r in (r1, r2) if r is not None]
-    return Ref(min(c1, c2), max(c1, c2), min(rows, default=None), max(rows, default=None), sheet, book, bool(m["b"]))
+    (c1, *end1), (c2, *end2) = _cell(m["a"]), _cell(m["b"] or m["a"])
+    rows = sorted([e for e in (end1, end2) if e[0] is not None], key=lambda e: e[0]) or [[None, False]]
+    return Ref(min(c1, c2), max(c1, c2), rows[0][0], rows[-1][0], sheet, book, bool(m["b"]), rows[0][1], rows[-1][1])
 
 
 def tokens(text: str) -> list[tuple[str, object]]:

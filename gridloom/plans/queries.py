@@ -27,14 +27,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def formulas(name: str, table: str, keep: str, columns: dict[str, str], sql: str, others: dict[str, dict[str, str]] | None = None) -> None:
-    """A query of the columns keep and the formula columns, beside what SQL says it is (None: no SQL)."""
+def formulas(name: str, table: str, keep: str, columns: dict[str, str], sql: str, others: dict[str, dict[str, str]] | None = None, row: int | None = None) -> None:
+    """A query of the columns keep and the formula columns, beside what SQL says it is (None: no SQL). row: where the formulas stand."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         w = workbook(spark, sf_dir)
         for t, more in ({**(others or {}), table: columns}).items():
             for c, f in more.items():
-                w.derive(t, c, f)
+                w.derive(t, c, f, row=row)
         return w.recompute(table).select(*keep.split(), *columns)
 
     query.__name__ = name
@@ -113,6 +113,20 @@ formulas("sumif_range_criterion", "customer", "c_custkey", {"dearer": '=COUNTIF(
          "SELECT c_custkey, count(p_partkey) FILTER (p_retailprice > c_acctbal) AS dearer, coalesce(sum(p_size) FILTER (p_retailprice <= c_acctbal), 0)::BIGINT AS total, avg(p_size) FILTER (p_retailprice < c_acctbal) AS mean FROM customer CROSS JOIN part GROUP BY 1")
 formulas("sumifs_range_by_key", "part", "p_partkey", {"n": '=COUNTIFS(lineitem!B:B,A2,lineitem!E:E,">="&E2)', "low": '=MINIFS(lineitem!F:F,lineitem!B:B,A2,lineitem!E:E,">="&E2)', "high": '=MAXIFS(lineitem!F:F,lineitem!B:B,A2,lineitem!E:E,">="&E2)', "others": '=COUNTIFS(lineitem!B:B,A2,lineitem!D:D,"<>"&E2)'},
          "SELECT p_partkey, count(l_partkey) FILTER (l_quantity >= p_size) AS n, min(l_extendedprice) FILTER (l_quantity >= p_size) AS low, max(l_extendedprice) FILTER (l_quantity >= p_size) AS high, count(l_partkey) FILTER (l_linenumber <> p_size) AS others FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY 1")
+formulas("sumifs_between", "customer", "c_custkey", {"n": '=COUNTIFS(orders!D:D,">="&D2,orders!D:D,"<="&D2+50000)', "total": '=ROUND(SUMIFS(orders!D:D,orders!D:D,">"&D2,orders!D:D,"<"&D2+50000),2)', "mean": '=ROUND(AVERAGEIFS(orders!D:D,orders!D:D,">"&D2,orders!D:D,"<"&D2+50000),2)', "low": '=MINIFS(orders!A:A,orders!D:D,">"&D2,orders!D:D,"<"&D2+50000)', "high": '=MAXIFS(orders!A:A,orders!D:D,">"&D2,orders!D:D,"<"&D2+50000)', "none": '=COUNTIFS(orders!D:D,">"&D2,orders!D:D,"<"&D2)'},
+         "SELECT c_custkey, count(o_orderkey) FILTER (p >= b AND p <= b + 50000) AS n, round(coalesce(sum(p) FILTER (p > b AND p < b + 50000), 0) * 100) / 100 AS total, round(avg(p) FILTER (p > b AND p < b + 50000) * 100) / 100 AS mean, min(o_orderkey) FILTER (p > b AND p < b + 50000) AS low, max(o_orderkey) FILTER (p > b AND p < b + 50000) AS high, CAST(0 AS BIGINT) AS \"none\" FROM (SELECT c_custkey, c_acctbal AS b, o_orderkey, o_totalprice AS p FROM customer CROSS JOIN orders) GROUP BY 1")
+formulas("sumifs_two_columns", "part", "p_partkey", {"n": '=COUNTIFS(lineitem!E:E,"<="&E2,lineitem!F:F,">"&F2*20)', "total": '=ROUND(SUMIFS(lineitem!F:F,lineitem!E:E,"<"&E2,lineitem!F:F,">="&F2*10,lineitem!F:F,"<"&F2*30,lineitem!I:I,"R"),2)', "others": '=COUNTIFS(lineitem!D:D,"<>"&MOD(E2,7),lineitem!E:E,">"&E2)'},
+         "SELECT p_partkey, count(x) FILTER (q <= s AND x > r * 20) AS n, round(coalesce(sum(x) FILTER (q < s AND x >= r * 10 AND x < r * 30 AND f = 'R'), 0) * 100) / 100 AS total, count(x) FILTER (l <> s % 7 AND q > s) AS others FROM (SELECT p_partkey, p_size AS s, p_retailprice AS r, l_quantity AS q, l_extendedprice AS x, l_returnflag AS f, l_linenumber AS l FROM part CROSS JOIN lineitem) GROUP BY 1")
+formulas("sumifs_between_by_key", "part", "p_partkey", {"n": '=COUNTIFS(lineitem!B:B,A2,lineitem!E:E,">="&E2,lineitem!E:E,"<="&E2+10)', "total": '=ROUND(SUMIFS(lineitem!F:F,lineitem!B:B,A2,lineitem!E:E,">="&E2,lineitem!E:E,"<="&E2+10),2)', "high": '=MAXIFS(lineitem!F:F,lineitem!B:B,A2,lineitem!E:E,"<"&E2,lineitem!G:G,">"&0.02)'},
+         "SELECT p_partkey, count(l_partkey) FILTER (l_quantity BETWEEN p_size AND p_size + 10) AS n, round(coalesce(sum(l_extendedprice) FILTER (l_quantity BETWEEN p_size AND p_size + 10), 0) * 100) / 100 AS total, max(l_extendedprice) FILTER (l_quantity < p_size AND l_discount > 0.02) AS high FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY 1")
+formulas("rows_above_below", "part", "p_partkey", {"step": "=IFERROR(E2-E1,0)", "next": "=IFERROR(E3,0)", "name_before": "=B1", "far": "=IFERROR(E9,-1)", "first": "=E$2", "share": '=IF(E1>E2,"down",E2/E$3)'},
+         "SELECT p_partkey, CAST(coalesce(p_size - lag(p_size) OVER w, 0) AS BIGINT) AS step, CAST(coalesce(lead(p_size) OVER w, 0) AS BIGINT) AS next, lag(p_name) OVER w AS name_before, CAST(coalesce(lead(p_size, 7) OVER w, -1) AS BIGINT) AS far, first_value(p_size) OVER w AS first, CASE WHEN lag(p_size) OVER w > p_size THEN 'down' ELSE CAST(p_size / (SELECT p_size FROM part ORDER BY p_partkey LIMIT 1 OFFSET 1) AS VARCHAR) END AS share FROM part WINDOW w AS (ORDER BY p_partkey)", row=2)
+formulas("rows_running", "part", "p_partkey", {"total": "=SUM(E$2:E2)", "before": "=SUM(E$2:E1)", "left": "=SUM(E2:E$1048576)", "n": "=COUNT(E$2:E2)", "high": "=MAX(E$4:E2)", "block": "=SUM(E$3:E$6)", "every": "=AVERAGE(E:E)"},
+         "SELECT p_partkey, CAST(sum(p_size) OVER w AS BIGINT) AS total, CAST(coalesce(sum(p_size) OVER (ORDER BY p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), p_size) AS BIGINT) AS before, CAST(sum(p_size) OVER (ORDER BY p_partkey DESC) AS BIGINT) AS left, count(p_size) OVER w AS n, CASE WHEN i > 2 THEN max(CASE WHEN i > 2 THEN p_size END) OVER w ELSE max(CASE WHEN i < 4 THEN p_size END) OVER (ORDER BY p_partkey DESC) END AS high, CAST(sum(CASE WHEN i BETWEEN 2 AND 5 THEN p_size END) OVER () AS BIGINT) AS block, avg(p_size) OVER () AS every FROM (SELECT *, row_number() OVER (ORDER BY p_partkey) AS i FROM part) WINDOW w AS (ORDER BY p_partkey)".replace(" AS left", " AS \"left\""), row=2)
+formulas("rows_sliding", "part", "p_partkey", {"mean": "=AVERAGE(E2:E8)", "high": "=MAX(E2:E8)", "around": "=SUM(E1:E3)", "low_back": "=MIN(F1:F2)", "wide": "=SUM(E2:E501)", "n": "=COUNT(E4:E9)"},
+         "SELECT p_partkey, avg(p_size) OVER (w ROWS BETWEEN CURRENT ROW AND 6 FOLLOWING) AS mean, max(p_size) OVER (w ROWS BETWEEN CURRENT ROW AND 6 FOLLOWING) AS high, CAST(sum(p_size) OVER (w ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS BIGINT) AS around, min(p_retailprice) OVER (w ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS low_back, CAST(sum(p_size) OVER (w ROWS BETWEEN CURRENT ROW AND 499 FOLLOWING) AS BIGINT) AS wide, count(p_size) OVER (w ROWS BETWEEN 2 FOLLOWING AND 7 FOLLOWING) AS n FROM part WINDOW w AS (ORDER BY p_partkey)", row=2)
+formulas("rows_balance", "part", "p_partkey", {"stock": "=G1+E2-MOD(A2,9)", "faded": "=0.5*H1+E2", "moved": "=IFERROR(G1*2,0)"},
+         "WITH RECURSIVE p AS (SELECT p_partkey, p_size, row_number() OVER (ORDER BY p_partkey) AS i FROM part), f AS (SELECT i, p_partkey, CAST(p_size AS DOUBLE) AS faded FROM p WHERE i = 1 UNION ALL SELECT p.i, p.p_partkey, 0.5 * f.faded + p.p_size FROM f JOIN p ON p.i = f.i + 1), s AS (SELECT p_partkey, CAST(sum(p_size - p_partkey % 9) OVER (ORDER BY p_partkey) AS BIGINT) AS stock FROM part) SELECT s.p_partkey, stock, faded, CAST(coalesce(lag(stock) OVER (ORDER BY s.p_partkey) * 2, 0) AS BIGINT) AS moved FROM s JOIN f USING (p_partkey)", row=2)
 formulas("column_totals", "region", "r_regionkey", {"total": "=SUM(orders!D:D)", "mean": "=AVERAGE(orders!D2:D999)", "low": "=MIN(orders!D:D)", "high": "=MAX(orders!D:D)", "n": "=COUNT(orders!D:D)"},
          "SELECT r_regionkey, total, mean, low, high, n FROM region CROSS JOIN (SELECT sum(o_totalprice) AS total, avg(o_totalprice) AS mean, min(o_totalprice) AS low, max(o_totalprice) AS high, count(o_totalprice) AS n FROM orders)")
 formulas("share_of_total", "orders", "o_orderkey", {"share": "=D2/SUM($D$2:$D$6)"}, "SELECT o_orderkey, o_totalprice / sum(o_totalprice) OVER () AS share FROM orders")

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from graphlib import CycleError, TopologicalSorter
 
 from gridloom.functions.kinds import Unsupported, kind_of
-from gridloom.plans.formula import Binary, Bool, Call, Empty, Node, Num, ParseError, Ref, Str, Unary, parse
+from gridloom.plans.formula import Binary, Bool, Call, Empty, Node, Num, ParseError, Ref, Str, Unary, parse, walk
 from gridloom.plans.workbook import CONDITIONAL, DYNAMIC, LOOKUPS, PLACE, RANGES, Table, Workbook, criterion
 
 DIALECTS = ("sqlite", "postgres")
@@ -41,7 +41,12 @@ class _Text:
             self.notes.append(f"{self.t.name}.{self.column} depends on itself")
             return "NULL"
         try:
-            return self.sql(parse(self.t.formulas[self.column].formula))
+            f = self.t.formulas[self.column]
+            node = parse(f.formula)
+            if f.row is not None and any(isinstance(n, Ref) and n.sheet is None and n.top is not None and (n.top_fixed or n.bottom_fixed or {n.top, n.bottom} != {f.row}) for n in walk(node)):
+                self.notes.append("other rows are read by the Spark plans only")
+                return "NULL"
+            return self.sql(node)
         except ParseError as e:
             self.notes.append(str(e))
             return "NULL"

@@ -1,7 +1,9 @@
 """A workbook of tables: formula columns are resolved, lowered to join steps and columns, and recomputed in dependency order.
 
 Each table is a DataFrame whose columns have letters in their order; formula columns follow, in the order they are declared.
-A formula of one row holds for all: cells of the own table mean this row, row numbers and the bounds of ranges mean nothing.
+A formula of one row holds for all. By default cells of the own table mean this row, and row numbers and the bounds of ranges mean
+nothing; a note says so where a formula's rows differ. A formula that is derived with its row is read as it stands: cells rows
+above or below, ranges that run from a fixed row, slide or lie fixed, and its own cell above, by which it is a balance.
 Parts that have no relational meaning become null with a note; the rest of the formula still works.
 """
 
@@ -15,9 +17,10 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.functions.kinds import Unsupported, as_kind, comparable, concat_text, kind_of, number, unify
+from gridloom.functions.kinds import Unsupported, as_kind, comparable, concat_text, kind_of, met_as, number, unify
 from gridloom.functions.scalar import FUNCTIONS
-from gridloom.operators.steps import Aggregate, Criterion, Lookup
+from gridloom.operators.rows import Balance, Cell, Neighbours, Stretch
+from gridloom.operators.steps import Aggregate, Criterion, Lookup, Ordered
 from gridloom.plans.formula import Binary, Bool, Call, Empty, Node, Num, ParseError, Ref, Str, Unary, column_letters, parse, walk
 
 DYNAMIC = ("INDIRECT", "OFFSET")
@@ -34,6 +37,8 @@ class FormulaColumn:
     #: Included columns keep their stored values, which other formulas read, and get a twin <name>_calc; others are the formula's.
     included: bool = False
     suffix: str = "_calc"
+    #: The row of the sheet that the formula was read from; None if rows mean nothing.
+    row: int | None = None
 
 
 @dataclass
@@ -46,6 +51,8 @@ class Table:
     sheet: str
     formulas: dict[str, FormulaColumn] = field(default_factory=dict)
     books: list[str] = field(default_factory=list)
+    #: The row of the sheet that the first row of the table stands in.
+    first_row: int = 2
     dropped: set[str] = field(default_factory=set)
 
     @cached_property
@@ -79,10 +86,11 @@ class Translation:
 @dataclass
 class _Lowered:
     value: Value
-    steps: list[tuple[str, object]]
     translation: Translation
-    #: Columns that each step reads from its table.
-    reads: list[set[str]]
+
+
+#: By what makes steps the same: the table that a step reads (None: the own rows), the step, and the columns it reads there.
+Steps = dict[tuple, tuple[str | None, object, set[str]]]
 
 
 class Workbook:
@@ -98,17 +106,18 @@ class Workbook:
         self._circles: dict[tuple[str, str], bool] = {}
         self._quantiles: dict[tuple, dict] = {}
 
-    def add(self, name: str, df: DataFrame | Callable[[], DataFrame], order_by: list[str] | None = None, file: str = "", sheet: str | None = None, books: list[str] | None = None) -> Table:
+    def add(self, name: str, df: DataFrame | Callable[[], DataFrame], order_by: list[str] | None = None, file: str = "", sheet: str | None = None, books: list[str] | None = None, first_row: int = 2) -> Table:
         """df: a frame, or a function that opens it when a formula first names the table. order_by: what makes a row first (all columns if not given)."""
-        t = self.tables[name] = Table(name, df, order_by, file, sheet or name, books=books or [])
+        t = self.tables[name] = Table(name, df, order_by, file, sheet or name, books=books or [], first_row=first_row)
         self._changed()
         return t
 
-    def derive(self, table: str, column: str, formula: str, included: bool = False) -> None:
+    def derive(self, table: str, column: str, formula: str, included: bool = False, row: int | None = None) -> None:
+        """row: the row of the sheet that the formula stands in, if its references to other rows of the table are to be followed."""
         t = self.tables[table]
         if "columns" in t.__dict__ and column not in t.columns:
             t.columns.append(column)
-        t.formulas[column] = FormulaColumn(formula, included)
+        t.formulas[column] = FormulaColumn(formula, included, row=row)
         self._changed()
 
     def drop(self, table: str, *columns: str) -> None:
@@ -143,14 +152,23 @@ class Workbook:
         """The table's stored columns and the formula columns of need, each computed after those that it reads. measure: see Aggregate.apply."""
         t = self.tables[table]
         df, done = t.df, ()
-        for column in self.order(t, need):
-            done = (*done, column)
+        for columns in self.stages(t, need):
+            done = (*done, *columns)
             key = (table, done, measure)
             if key not in self._frames:
-                self._frames[key] = self._applied(_Lowering(self, t, column, df, measure).run(), df, t.output(column), measure)
+                steps: Steps = {}
+                lowered = [_Lowering(self, t, c, df, steps).run() for c in columns]
+                self._frames[key] = self._applied(lowered, steps, df, [t.output(c) for c in columns], measure)
             df = self._frames[key]
         return df
 
+    def stages(self, t: Table, need: set[str]) -> list[list[str]]:
+        """order() in groups: a column is in the first group after all that it reads, and the columns of a group share their steps."""
+        at: dict[str, int] = {}
+        for c in self.order(t, need):
+            at[c] = 1 + max((at[r] for r in self._reads(t, c) if r in at and not t.formulas[r].included), default=-1)
+        return [[c for c in at if at[c] == i] for i in range(max(at.values(), default=-1) + 1)]
+
     def order(self, t: Table, need: set[str]) -> list[str]:
         """Formula columns of need and those that they read in their own table, what is read first; in a cycle, as declared."""
         out: list[str] = []
@@ -178,7 +196,8 @@ class Workbook:
                 node = parse(t.formulas[column].formula)
             except ParseError:
                 node = Empty()
-            self._needed[key] = {found for ref in _refs(node) for found in self._named(ref, t)}
+            above = t.formulas[column].row
+            self._needed[key] = {found for ref in _refs(node) for found in self._named(ref, t) if not (found == key and is_above(ref, above))}
         return self._needed[key]
 
     def _named(self, ref: Ref, here: Table) -> list[tuple[str, str]]:
@@ -209,13 +228,11 @@ class Workbook:
             self._circles[key] = key in seen and self._computed(*key)
         return self._circles[key]
 
-    def _applied(self, lowered: _Lowered, df: DataFrame, output: str, measure: bool) -> DataFrame:
-        plain = [c for c in df.columns if c != output]
-        for (table, step), reads in zip(lowered.steps, lowered.reads, strict=True):
-            right = self.frame(table, reads, measure)
-            df = step.apply(df, right, measure) if isinstance(step, Aggregate) else step.apply(df, right)
-        value, kind = lowered.value
-        return df.select(*plain, (value.cast("string") if kind == "null" else value).alias(output))
+    def _applied(self, lowered: list[_Lowered], steps: Steps, df: DataFrame, outputs: list[str], measure: bool) -> DataFrame:
+        plain, base = [c for c in df.columns if c not in outputs], df
+        for table, step, reads in steps.values():
+            df = step.apply(df, df if table is None else self.frame(table, reads, measure), measure, base)
+        return df.select(*plain, *[(x.value[0].cast("string") if x.value[1] == "null" else x.value[0]).alias(o) for x, o in zip(lowered, outputs, strict=True)])
 
     def recompute(self, table: str) -> DataFrame:
         """The view of a table: its columns, formula columns in place of what they replace, and twins of included ones last."""
@@ -240,10 +257,15 @@ class Workbook:
         for t in self.tables.values():
             for column in t.formulas:
                 base = self.frame(t.name, {c for c in self.order(t, {column}) if c != column}, measure=False)
-                out.append(_Lowering(self, t, column, base, False).run().translation)
+                out.append(_Lowering(self, t, column, base).run().translation)
         return out
 
 
+def is_above(ref: Ref, row: int | None) -> bool:
+    """Whether a reference is to the cell in the row before."""
+    return row is not None and not ref.is_range and not ref.top_fixed and ref.top == row - 1
+
+
 def _refs(node: Node) -> list[Ref]:
     """References of a formula; a VLOOKUP's range as its first column and the one returned."""
     out, passed = [], set()
@@ -258,29 +280,34 @@ def _refs(node: Node) -> list[Ref]:
 
 
 class _Lowering:
-    """Lowers one formula. Unsupported parts are caught where they are, one sub-expression at a time."""
+    """Lowers one formula. Unsupported parts are caught where they are, one sub-expression at a time.
+
+    steps: those of other formulas of the table over the same frame; a step that is already there gets what this formula wants of it.
+    """
 
-    def __init__(self, book: Workbook, table: Table, column: str, df: DataFrame, measure: bool):
-        self.book, self.t, self.column, self.df, self.measure = book, table, column, df, measure
-        self.steps: dict[tuple, tuple[str, object, set[str]]] = {}
+    def __init__(self, book: Workbook, table: Table, column: str, df: DataFrame, steps: Steps | None = None):
+        self.book, self.t, self.column, self.df = book, table, column, df
+        self.steps: Steps = {} if steps is None else steps
         self.report = Translation(table.name, column, table.formulas[column].formula, table.output(column))
+        self.row = table.formulas[column].row
         self.failed = False
 
     def run(self) -> _Lowered:
         if self.book.circular(self.t, self.column):
             self.report.status = "unsupported"
             self.note(f"{self.t.name}.{self.column} depends on itself")
-            return _Lowered((F.lit(None), "null"), [], self.report, [])
+            return _Lowered((F.lit(None), "null"), self.report)
         try:
             node = parse(self.report.formula)
         except ParseError as e:
             self.report.status = "unsupported"
             self.report.notes.append(str(e))
-            return _Lowered((F.lit(None), "null"), [], self.report, [])
-        value = self.value(node)
+            return _Lowered((F.lit(None), "null"), self.report)
+        self.rows_apart(node)
+        value = self.balance(node) if any(isinstance(n, Ref) and self.is_own(n) and is_above(n, self.row) for n in walk(node)) else self.value(node)
         if self.failed:
             self.report.status = "unsupported" if value[1] == "null" else "partial"
-        return _Lowered(value, [(n, s) for n, s, _ in self.steps.values()], self.report, [r for _, _, r in self.steps.values()])
+        return _Lowered(value, self.report)
 
     def note(self, text: str) -> None:
         if text not in self.report.notes:
@@ -290,6 +317,104 @@ class _Lowering:
         if (t is not self.t or column in t.formulas) and f"{t.name}.{column}" not in self.report.depends_on:
             self.report.depends_on.append(f"{t.name}.{column}")
 
+    def said(self, node: Node) -> str:
+        """What makes values of formulas the same; where rows are followed, they count from the formula's own."""
+        return repr(node) if self.row is None else f"{self.row} {node!r}"
+
+    # other rows
+
+    def is_own(self, ref: Ref) -> bool:
+        """Whether a reference is to the column that the formula fills."""
+        try:
+            return self.book.locate(ref, self.t) is self.t and self.t.columns[ref.first : ref.last + 1] == [self.column]
+        except Unsupported:
+            return False
+
+    def rows_apart(self, node: Node) -> None:
+        """Notes for rows that aren't followed."""
+        if self.row is not None:
+            return
+        cells, ranges = set(), False
+        for n in walk(node):
+            if isinstance(n, Ref) and n.top is not None and n.sheet is None:
+                if n.is_range and (n.top != n.bottom or n.top_fixed != n.bottom_fixed):
+                    ranges |= not (n.top_fixed and n.bottom_fixed)
+                else:
+                    cells.add((n.top, n.top_fixed))
+        if len(cells) > 1:
+            self.note("cells of other rows are read as cells of this row")
+        if ranges:
+            self.note("bounds of ranges are left out")
+
+    def neighbours(self, *more: object) -> tuple[Neighbours, tuple]:
+        signature = ("rows", self.t.name, *more)
+        if self.t.first_by is None:
+            raise Unsupported(f"rows of {self.t.name} have no order")
+        if signature not in self.steps:
+            self.steps[signature] = (None, Neighbours(self.t.order_by, edges=self.book._quantiles.setdefault((self.t.name, "order"), {})), set())
+        return self.steps[signature][1], signature
+
+    def other_row(self, wanted: object, *more: object) -> str:
+        step, signature = self.neighbours(*more)
+        return step.wanted.setdefault(wanted, f"__s{self.column}_{list(self.steps).index(signature)}_{len(step.wanted)}")
+
+    def stretch(self, f: str, ref: Ref) -> Stretch:
+        column = self.t.columns[ref.first]
+        self.own(column)
+        ends = [(r - self.t.first_row, True) if fixed else (r - self.row, False) for r, fixed in ((ref.top, ref.top_fixed), (ref.bottom, ref.bottom_fixed))]
+        (first, first_fixed), (last, last_fixed) = sorted(ends, key=lambda e: not e[1])
+        return Stretch(f, column, first, last, first_fixed, last_fixed)
+
+    def balance(self, node: Node) -> Value:
+        """A formula of its own cell in the row above: factor times that cell and a term."""
+        try:
+            factor, term = self.affine(node)
+            step, signature = self.neighbours("balance", self.column)
+        except Unsupported as e:
+            self.failed = True
+            self.note(str(e))
+            return F.lit(None), "null"
+        names = [f"__s{self.column}_{list(self.steps).index(signature)}_{x}" for x in ("factor", "term")]
+        whole = factor is None and term[1] == "integer"
+        step.made[names[1]] = number(*term)
+        if factor is not None:
+            step.made[names[0]] = number(*factor)
+        hidden = step.wanted.setdefault(Balance(None if factor is None else names[0], names[1]), f"{names[0]}_out")
+        return F.col(hidden), "integer" if whole else "float"
+
+    def affine(self, node: Node) -> tuple[Value | None, Value]:
+        """(factor, term) of the cell above; a factor of None is 1."""
+        above = lambda n: any(isinstance(x, Ref) and self.is_own(x) and is_above(x, self.row) for x in walk(n))
+        zero, one = (F.lit(0).cast("bigint"), "integer"), (F.lit(1).cast("bigint"), "integer")
+        match node:
+            case Ref() if above(node):
+                return None, zero
+            case Unary("%", x) if above(node):
+                return self.affine(Binary("/", x, Num(100.0)))
+            case Unary(op, x) if above(node):
+                return self.affine(x) if op == "+" else self.affine(Binary("*", Num(-1.0), x))
+            case Binary("+" | "-" as op, x, y) if above(node):
+                (a, c), (b, d) = [self.affine(n) if above(n) else (zero, self.zero(n)) for n in (x, y)]
+                if a is None and not above(y):
+                    return None, self.arithmetic(op, c, d)
+                if b is None and not above(x) and op == "+":
+                    return None, self.arithmetic(op, c, d)
+                return self.arithmetic(op, a or one, b or one), self.arithmetic(op, c, d)
+            case Binary("*" | "/" as op, x, y) if above(node) and not (above(x) and above(y)) and not (op == "/" and above(y)):
+                inner, outer = (x, y) if above(x) else (y, x)
+                a, c = self.affine(inner)
+                k = self._value(outer)
+                return self.arithmetic(op, a or one, k), self.arithmetic(op, c, k)
+        raise Unsupported(f"{self.column} depends on its cell above in another way than a factor and a term")
+
+    def zero(self, node: Node) -> Value:
+        """A term of a balance; blanks count as 0."""
+        c, kind = self._value(node)
+        return F.coalesce(number(c, kind), F.lit(0)), kind if kind == "integer" else "float"
+
+    def arithmetic(self, op: str, left: Value, right: Value) -> Value:
+        return self.binary(op, left, right)
+
     def value(self, node: Node) -> Value:
         try:
             return self._value(node)
@@ -327,7 +452,13 @@ class _Lowering:
             raise Unsupported("a range of several cells stands where one value is needed")
         if t is not self.t:
             raise Unsupported(f"a cell of {t.name} is read without a key")
-        return self.own(t.columns[ref.first])
+        column = t.columns[ref.first]
+        if self.row is None or ref.top is None or (ref.top == self.row and not ref.top_fixed):
+            return self.own(column)
+        kind = self.own(column)[1]
+        if ref.top_fixed:
+            return F.col(self.other_row(self.stretch("ANY", Ref(ref.first, ref.last, ref.top, ref.top, is_range=True, top_fixed=True, bottom_fixed=True)))), kind
+        return F.col(self.other_row(Cell(column, ref.top - self.row))), kind
 
     def own(self, column: str) -> Value:
         """A column of this row, computed first if a formula's."""
@@ -424,7 +555,7 @@ class _Lowering:
                 self.note("MATCH: an approximate match is taken as exact")
         value = self._value(key)
         self.depends(t, returned)
-        signature = ("lookup", t.name, found, repr(key))
+        signature = ("lookup", t.name, found, self.said(key))
         if signature not in self.steps:
             self.steps[signature] = (t.name, Lookup(value, found, t.order_by), {found})
         _, step, reads = self.steps[signature]
@@ -468,20 +599,52 @@ class _Lowering:
             else:
                 criteria.append(Criterion(column, op, None, len(dynamic)))
                 dynamic.append(self._value(node))
-                reprs.append(repr(node))
+                reprs.append(self.said(node))
             self.depends(t, column)
         if measure:
             self.depends(t, measure[1])
-        return self.aggregate(t, criteria, dynamic, reprs, f, measure[1] if measure else None)
+        column = measure[1] if measure else None
+        if bounds := self.ordered_by(t, criteria, dynamic, f, column):
+            return self.bounded(t, criteria, dynamic, reprs, f, column, *bounds)
+        return self.aggregate(t, criteria, dynamic, reprs, f, column)
+
+    def ordered_by(self, t: Table, criteria: list[Criterion], dynamic: list[Value], f: str, column: str | None) -> tuple[Criterion | None, Criterion | None] | None:
+        """The lower and upper bound that running totals answer: one of them, or both on one column where differences of totals are exact."""
+        uneven = [c for c in criteria if c.value is not None and c.op != "="]
+        lower, upper = [c for c in uneven if c.op in (">", ">=")], [c for c in uneven if c.op in ("<", "<=")]
+        if len(uneven) == 1 and len(lower + upper) == 1:
+            return (lower or [None])[0], (upper or [None])[0]
+        if len(uneven) == 2 and len(lower) == len(upper) == 1 and lower[0].column == upper[0].column:
+            kinds = {met_as(dynamic[c.value][1], self.target_kind(t, c.column)) for c in uneven}
+            if len(kinds) == 1 and Ordered.exact(f, "integer" if column is None else self.target_kind(t, column)):
+                return lower[0], upper[0]
+        return None
+
+    def bounded(self, t: Table, criteria, dynamic, reprs, f: str, column: str | None, lower: Criterion | None, upper: Criterion | None) -> Value:
+        by = (lower or upper).column
+        kind = met_as(dynamic[(lower or upper).value][1], self.target_kind(t, by))
+        fixed, equal = [c for c in criteria if c.value is None], [c for c in criteria if c.value is not None and c.op == "="]
+        signature = ("ordered", t.name, tuple(fixed), tuple((c.column, reprs[c.value]) for c in equal), by, kind)
+        if signature not in self.steps:
+            known = self.book._quantiles.setdefault((t.name, tuple(fixed)), {})
+            self.steps[signature] = (t.name, Ordered(fixed, [(c.column, dynamic[c.value]) for c in equal], by, quantiles=known), {c.column for c in criteria})
+        _, step, reads = self.steps[signature]
+        for c in (lower, upper):
+            if c is not None:
+                step.bounds.setdefault(reprs[c.value], dynamic[c.value])
+        return self.measure(signature, step, reads, t, f, column, (f, column, *[c and (c.op, reprs[c.value]) for c in (lower, upper)]))
 
     def aggregate(self, t: Table, criteria, dynamic, reprs, f: str, column: str | None) -> Value:
         signature = ("aggregate", t.name, tuple(criteria), tuple(reprs))
         if signature not in self.steps:
             self.steps[signature] = (t.name, Aggregate(criteria, dynamic, quantiles=self.book._quantiles.setdefault((t.name, tuple(c for c in criteria if c.value is None)), {})), {c.column for c in criteria})
         _, step, reads = self.steps[signature]
+        return self.measure(signature, step, reads, t, f, column, (f, column))
+
+    def measure(self, signature: tuple, step: Aggregate | Ordered, reads: set[str], t: Table, f: str, column: str | None, key: tuple) -> Value:
         if column:
             reads.add(column)
-        hidden = step.measures.setdefault((f, column), f"__s{self.column}_{list(self.steps).index(signature)}_{len(step.measures)}")
+        hidden = step.measures.setdefault(key, f"__s{self.column}_{list(self.steps).index(signature)}_{len(step.measures)}")
         if f in ("COUNT", "COUNTA"):
             return F.col(hidden), "integer"
         kind = self.target_kind(t, column)
@@ -490,7 +653,20 @@ class _Lowering:
             kind = "float"
         return F.col(hidden), "float" if f == "AVERAGE" else kind
 
+    def rows_of(self, name: str, ref: Ref) -> Value:
+        """A range of rows of one column of the own table."""
+        column = self.t.columns[ref.first]
+        f, kind = "COUNTA" if name == "COUNT" else name, self.own(column)[1]
+        hidden = F.col(self.other_row(self.stretch(f, ref)))
+        if kind in ("text", "boolean") and f != "COUNTA":
+            self.note(f"{f}: {column} is read as numbers")
+            kind = "float"
+        return hidden, "integer" if f == "COUNTA" else "float" if f == "AVERAGE" else kind
+
     def ranged(self, name: str, args: tuple[Node, ...]) -> Value:
+        if self.row is not None and len(args) == 1 and isinstance(r := args[0], Ref) and r.is_range and r.first == r.last and r.top is not None and self.book.locate(r, self.t) is self.t:
+            if (r.top, r.bottom, r.top_fixed, r.bottom_fixed) != (self.row, self.row, False, False):
+                return self.rows_of(name, r)
         if len(args) == 1 and isinstance(args[0], Ref) and args[0].is_range and args[0].first == args[0].last and (args[0].top is None or args[0].top != args[0].bottom):
             t, column = self.one(args[0])
             self.depends(t, column)
@@ -536,6 +712,8 @@ def criterion(node: Node) -> tuple[str, object, Node | None]:
             if op:
                 return op, _literal(text.lstrip()[len(op) :]), None
             return ("like", _pattern(text), None) if {"*", "?"} & set(text) else ("=", _literal(text), None)
+        case Binary("&", Str(op), Num(v)) if op.strip() in OPERATORS:
+            return op.strip(), float(v), None
         case Binary("&", Str(op), right) if op.strip() in OPERATORS:
             return op.strip(), None, right
     return "=", None, node
