@@ -3,10 +3,14 @@
 Each source is a queue of tokens: its documents one after another. A round is a window's worth of tokens. In each round a
 queue's credit grows by its target share of the window; it serves the whole tokens that the credit covers, cutting documents
 where needed, and keeps the rest, its deficit, for the next round, across windows and partitions. A queue whose share is
-under LEAST tokens saves its credit for several rounds, so its pieces aren't crumbs. A queue that runs dry leaves its share
+under a token saves its credit for several rounds; such queues' turns are spread over the rounds. (Whoever doesn't want pieces of a
+few tokens has every queue save up `least`; windows then hold the mixture only on average.) A queue that runs dry leaves its share
 to the others in proportion. Rounds follow one another, the queues of a round in turn, as one stream that is cut every 2048
 tokens: all sequences are full but the last, and each holds every source in proportion up to a token or two.
 
+Sources beyond the MAX_QUEUES with most tokens, unless they have a weight of their own, share one queue, in the order of the
+tasks that read them: each of those has less than half a token of a window.
+
 No pass over the windows is needed: with P(v) the tokens that all queues have served when each has had credit for v tokens
 of weight one, P is a line between the points where a queue runs dry, and round r ends where P is 2048 * r. So what a queue
 has served by then follows from its weight and total, and so does the place of any token in the stream. A document
@@ -28,7 +32,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -42,8 +46,8 @@ from gridloom.llm.shared import column, map_batches, save
 
 SEQUENCE, END_ID = 2048, 1
 #: A queue's credit grows until it covers so many tokens before it serves.
-LEAST = 32
-#: Sources with a queue of their own, those with the most tokens; the others share one. Figures of so many reach the driver.
+LEAST = 1
+#: Sources with a queue of their own, those with the most tokens, beside those with a given weight; the others share one. Figures of so many reach the driver.
 MAX_QUEUES = 4096
 #: Sums of partitions and queues that are broadcast; more are joined by a shuffle.
 MAX_BROADCAST_SUMS = 1_000_000
@@ -167,11 +171,13 @@ class Plan:
         return out
 
 
-def _queues(tokens: DataFrame) -> tuple[DataFrame, dict[str, int]]:
-    """Sums by part and source with the queue of the source, saved; and the queues' totals."""
+def _queues(tokens: DataFrame, named: Collection[str]) -> tuple[DataFrame, dict[str, int]]:
+    """Sums by part and source with the queue of the source, saved; and the queues' totals. named: sources with a given weight."""
     sums = save(tokens.groupBy("part", "source").agg(F.sum("n").alias("n")), "sums")
-    totals = sums.groupBy("source").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "source").limit(MAX_QUEUES + 1).collect()
-    own = {r["source"]: r["n"] for r in totals[:MAX_QUEUES]}
+    whole = sums.groupBy("source").agg(F.sum("n").alias("n"))
+    given = F.col("source").isin(list(named)) if named else F.lit(False)
+    totals = whole.where(~given).orderBy(F.desc("n"), "source").limit(MAX_QUEUES + 1).collect()
+    own = {r["source"]: r["n"] for r in [*totals[:MAX_QUEUES], *(whole.where(given).collect() if named else [])]}
     if len(totals) <= MAX_QUEUES:
         return sums.withColumn("queue", F.col("source")), own
     # Rare sources are served one after another in a queue of their own, whose name no source has.
@@ -182,9 +188,9 @@ def _queues(tokens: DataFrame) -> tuple[DataFrame, dict[str, int]]:
     return sums.withColumn("queue", F.when(F.col("source").isin(list(own)), F.col("source")).otherwise(other)), own | {other: whole - sum(own.values())}
 
 
-def placed(tokens: DataFrame) -> tuple[DataFrame, dict[str, int]]:
+def placed(tokens: DataFrame, named: Collection[str] = ()) -> tuple[DataFrame, dict[str, int]]:
     """tokens with queue and before, the tokens of the queue ahead of the row; and the queues' totals."""
-    sums, totals = _queues(tokens)
+    sums, totals = _queues(tokens, named)
     earlier = Window.partitionBy("queue").orderBy("part", "source").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part and source
     bases = save(sums.select("part", "source", "queue", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base")), "bases")
     side = F.broadcast(bases) if bases.count() <= MAX_BROADCAST_SUMS else bases.hint("merge")
@@ -194,8 +200,8 @@ def placed(tokens: DataFrame) -> tuple[DataFrame, dict[str, int]]:
 def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: dict[str, float] | None = None, sequence: int = SEQUENCE, end_id: int = END_ID, least: int = LEAST) -> DataFrame:
     """Pieces: id_col, start, length, ids (32-bit little-endian), doc_tokens, sequence_id, offset, queue, round, sequence_tokens, padded_tokens."""
     kind = docs.schema[id_col].dataType.simpleString()
-    tokens, totals = placed(tokenized(docs, path, id_col, text_col, source_col, end_id))
-    shared = docs.sparkSession.sparkContext.broadcast(Plan.of(totals, weights, sequence, least) if totals else None)  # MAX_QUEUES + 1 rows
+    tokens, totals = placed(tokenized(docs, path, id_col, text_col, source_col, end_id), list(weights or ()))
+    shared = docs.sparkSession.sparkContext.broadcast(Plan.of(totals, weights, sequence, least) if totals else None)  # MAX_QUEUES + 1 rows and those of the given weights
 
     def make():
         forget_encoders()

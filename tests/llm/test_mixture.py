@@ -131,3 +131,32 @@ def test_more_sources_than_queues(spark, monkeypatch):
     place = sorted((p.sequence_id * 64 + p.offset, p.length) for p in pieces)
     assert all(a + n == b for (a, n), (b, _) in zip(place, place[1:], strict=False))
     assert sum(p.length for p in pieces) == sum(6 + i for i in range(60))
+
+
+def window_distances(totals, window=2048):
+    """Total variation of each full window of the whole stream, by the plan alone."""
+    plan = packing.Plan.of(totals, None, window)
+    stream = np.full(plan.total, -1, np.int32)
+    for q, k in enumerate(plan.names):
+        _, _, length, at, _ = plan.pieces(np.array([q]), np.array([0]), np.array([totals[k]]))
+        for a, n in zip(at.tolist(), length.tolist(), strict=True):
+            stream[a : a + n] = q
+    assert (stream >= 0).all()
+    target = np.array([totals[k] for k in plan.names]) / plan.total
+    return [abs(np.bincount(stream[w : w + window], minlength=len(target)) / window - target).sum() / 2 for w in range(0, plan.total - window + 1, window)]
+
+
+@pytest.mark.parametrize("sizes", [[2000] * 65, [400] * 200, [40000 // (i + 1) for i in range(200)]])
+def test_windows_of_many_sources_hold_the_mixture(sizes):
+    """All full windows: to within 0.01 and a token a queue."""
+    found = window_distances({f"s{i:03d}": n for i, n in enumerate(sizes)})
+    assert len(found) > 30 and max(found) < 0.01 + len(sizes) / 2048 and np.mean(found) < 0.01 + len(sizes) / 4096
+
+
+def test_weights_count_for_sources_beyond_the_queues(spark, monkeypatch):
+    monkeypatch.setattr(packing, "MAX_QUEUES", 3)
+    docs = spark.createDataFrame([(i, "word " * (20 if i % 9 else 60), "en", f"s{i % 9}", 0) for i in range(300)], SCHEMA).repartition(4)
+    pieces = packing.pack(docs, PATH, sequence=64, weights={"s5": 0.25}).collect()
+    assert "s5" in {p.queue for p in pieces} and len({p.queue for p in pieces}) == 5
+    early = [p for p in pieces if p.sequence_id < 20]
+    assert abs(sum(p.length for p in early if p.queue == "s5") / sum(p.length for p in early) - 0.25) < 0.02
