@@ -11,7 +11,7 @@ sys.path.insert(0, str(ROOT))
 os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"
 
 #: Headline queries: lookups, conditional aggregates, row expressions, and chains of them.
-HEADLINE = ["customer_activity", "row_arithmetic", "vlookup_exact", "lookup_nested", "lookup_first_match", "sumif", "sumifs", "sumif_range_criterion", "share_of_total", "recompute_chain"]
+HEADLINE = ["customer_activity", "row_arithmetic", "vlookup_exact", "lookup_nested", "lookup_first_match", "sumif", "sumifs", "sumif_range_criterion", "sumifs_between", "share_of_total", "recompute_chain"]
 
 
 def main() -> None:

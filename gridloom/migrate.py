@@ -51,19 +51,25 @@ def migrate(spark: SparkSession, a: Analysis, target: str, out: str, exclude: li
     if any(p.level == "error" for p in found):
         report.issues.append(Issue("warning", "views_skipped", "tables can't be created"))
         return report
-    report.issues += [Issue("warning", code, message) for code, message in relational.plan(kinds, keys, links).issues]
+    checked = relational.broken_keys(a.frames, kinds, keys, links)
+    broken = checked[1]
+    report.issues += [Issue("warning", code, message) for code, message in relational.plan(kinds, keys, links, broken).issues]
     w = a.workbook(spark)
     text = sqltext.views(w, "sqlite" if target == "sqlite" else "postgres") if with_views else ""
     if target == "sqlite":
-        report.tables = relational.write_sqlite(out, a.frames, kinds, keys, links)
-        late = relational.plan(kinds, keys, links).deferred
+        report.tables = relational.write_sqlite(out, a.frames, kinds, keys, links, checked)
+        late = relational.plan(kinds, keys, links, broken).deferred
         report.issues += [Issue("info", "fk_not_created", f"{k.table}.{k.column}: SQLite can't add a key afterwards") for k in late]
         if not _skipped(report, text):
             _create_views(out, text, report)
     elif target == "postgres":
-        report.tables = postgres.write(out, a.frames, kinds, keys, links)
+        told = lambda view, why: report.issues.append(Issue("warning", "view_not_created", f"{view}: {why}"))
+        report.tables = postgres.write(out, a.frames, kinds, keys, links, text, checked, told)
+        if not _skipped(report, text):
+            missing = {i.message.partition(":")[0] for i in report.issues if i.code == "view_not_created"}
+            report.views = [v for t in sqltext.view_order(w) if (v := f"{t}_v") not in missing] if with_views else []
     elif target == "dump":
-        report.tables = postgres.dump(spark, out, a.frames, kinds, keys, links, text)
+        report.tables = postgres.dump(spark, out, a.frames, kinds, keys, links, text, checked)
         if not _skipped(report, text):
             report.views = [f"{t}_v" for t in sqltext.view_order(w)] if with_views else []
     else:
@@ -80,7 +86,7 @@ def _skipped(report: Report, text: str) -> bool:
 
 
 def _create_views(path: str, text: str, report: Report) -> None:
-    statements = ["CREATE VIEW" + s for s in ("\n" + "\n".join(x for x in text.splitlines() if not x.startswith("-- "))).split("\nCREATE VIEW")[1:]]
+    statements = postgres.view_statements(text)
     with sqlite3.connect(path) as db:
         for s in statements:
             name = s.split('"')[1]

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from gridloom.operators.profile import ForeignKey, foreign_keys, primary_key, profile
 from gridloom.plans.formula import Call, ParseError, Ref, column_letters, parse, walk
 from gridloom.plans.lineage import DERIVED, classify, function_names, sources
-from gridloom.plans.workbook import DYNAMIC, Workbook
+from gridloom.plans.workbook import DYNAMIC, Variant, Workbook
 from gridloom.sources import xlsx
 
 #: Functions whose arguments show that a column looks another sheet up.
@@ -69,7 +69,7 @@ class TableInfo:
 
 @dataclass
 class Shape:
-    """Formulas of one column that differ by row numbers only: the first of them and their number."""
+    """Formulas of one column that differ by row numbers and by constants only: the first of them and their number."""
 
     table: str
     file: str
@@ -78,6 +78,9 @@ class Shape:
     column: str
     formula: str
     cells: int
+    #: What the formulas have in common, and which of their numbers (from 0) differ from cell to cell.
+    text: str = ""
+    varies: list[int] = field(default_factory=list)
 
 
 @dataclass
@@ -88,6 +91,13 @@ class Analysis:
     shapes: list[Shape] = field(default_factory=list)
     books: dict[str, list[str]] = field(default_factory=dict)
     frames: dict[str, DataFrame] = field(default_factory=dict, repr=False)
+    #: The cells that were read, for columns whose formulas differ; None where the analysis was loaded.
+    cells: DataFrame | None = field(default=None, repr=False)
+
+    def close(self) -> None:
+        """Let go of the cells and sheets that Spark keeps."""
+        for df in [*self.frames.values(), *([self.cells] if self.cells is not None else [])]:
+            df.unpersist()
 
     def table(self, name: str) -> TableInfo:
         return next(t for t in self.tables if t.name == name)
@@ -169,13 +179,32 @@ class Analysis:
         """The tables with their derived columns; those left out are computed, those kept are read and get a twin."""
         w = Workbook(spark)
         for t in self.tables:
-            w.add(t.name, self.frames[t.name], [ROW], t.file, t.sheet, self.books.get(t.file, []))
-            w.drop(t.name, ROW, *[c.name for c in t.columns if not c.include and not c.derived])
+            mixed = {c.name: own for c in t.columns if c.derived and self.cells is not None and ((own := [s for s in self.shapes if (s.table, s.column) == (t.name, c.name)])[1:] or any(s.varies for s in own))}
+            frame, hidden = self._marked(t, mixed)
+            w.add(t.name, frame, [ROW], t.file, t.sheet, self.books.get(t.file, []), t.header_row + 1)
+            w.drop(t.name, ROW, *hidden, *[c.name for c in t.columns if not c.include and not c.derived])
             for c in t.columns:
                 if c.derived and c.formula:
-                    w.derive(t.name, c.name, c.formula, included=c.include)
+                    variants = [Variant(f"__shape_{s.col}", i, s.formula, {k: f"__number_{s.col}_{k}" for k in s.varies}) for i, s in enumerate(mixed.get(c.name, []))]
+                    w.derive(t.name, c.name, c.formula, included=c.include, variants=variants)
         return w
 
+    def _marked(self, t: TableInfo, mixed: dict[str, list[Shape]]) -> tuple[DataFrame, list[str]]:
+        """The table's rows with the shape (its place in the list) of each mixed column's formula and the numbers in which it differs."""
+        frame, hidden = self.frames[t.name], []
+        if not mixed:
+            return frame, hidden
+        own = with_shapes(self.cells.where((F.col("file") == t.file) & (F.col("sheet") == t.sheet)))
+        marks = []
+        for shapes in mixed.values():
+            here = F.col("col") == shapes[0].col
+            at = F.coalesce(*[F.when(F.col("shape") == s.text, i) for i, s in enumerate(shapes)])
+            marks.append(F.max(F.when(here, at)).alias(f"__shape_{shapes[0].col}"))
+            marks += [F.max(F.when(here, F.get("numbers", F.lit(k)).cast("double"))).alias(f"__number_{shapes[0].col}_{k}") for k in sorted({k for s in shapes for k in s.varies})]
+        by_row = own.groupBy(F.col("row").alias("__at")).agg(*marks)
+        hidden = by_row.columns[1:]
+        return frame.join(by_row, F.col(ROW) == F.col("__at"), "left").select(*frame.columns, *hidden), hidden
+
     # artifacts
 
     def to_json(self) -> str:
@@ -206,6 +235,7 @@ def analyze(spark: SparkSession, path: str | list[str], infer_keys: bool = True)
     found = xlsx.cells(spark, path).persist(StorageLevel.MEMORY_AND_DISK)
     files = xlsx.file_names(spark, path)
     issues = [Issue("warning", "unsupported_file", f"{f} isn't a workbook", f) for f in files if not f.lower().endswith((".xlsx", ".xlsm"))]
+    issues += [Issue("error", "unreadable_file", f"{r['file']}: {r['why']}", r["file"]) for r in xlsx.damaged(spark, path).orderBy("file").collect()]
     books: dict[str, list[str]] = {}
     for r in sorted(xlsx.books(spark, path).collect(), key=lambda r: (r["file"], r["place"])):
         books.setdefault(r["file"], []).append(r["book"])
@@ -223,6 +253,7 @@ def analyze(spark: SparkSession, path: str | list[str], infer_keys: bool = True)
         out.tables.append(TableInfo(s.name, s.file, s.sheet, s.header_row, rows, columns))
         out.frames[s.name] = frame
         out.issues += [Issue("warning", x, f"a column of {s.sheet} has no title", s.file, s.sheet, s.name) for x in s.issues]
+    out.cells = found
     out.shapes = _shapes(found, out)
     _mark(out)
     if infer_keys:
@@ -230,19 +261,37 @@ def analyze(spark: SparkSession, path: str | list[str], infer_keys: bool = True)
     return out
 
 
+#: A number that is a constant of a formula, and how many numbers a formula may have for them to be told apart from its shape.
+NUMBER = r"(?<![A-Za-z0-9_$.:!])(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][+-]?\d+)?(?![A-Za-z0-9_.!(])"
+MOST_NUMBERS = 8
+
+
+def with_shapes(found: DataFrame) -> DataFrame:
+    """Cells that hold formulas, with shape (the formula without row numbers and constants) and numbers (the constants, as texts).
+
+    Formulas with texts or quoted names, or with very many numbers, keep their constants in the shape.
+    """
+    # A # in place of each row number, and one after each text or quoted name, whose digits stay.
+    rows = F.regexp_replace("formula", r"""("[^"]*"|'[^']*')|(?<=[A-Za-z$])\d+(?![\dA-Za-z_.!])""", "$1#")
+    numbers = F.when(~F.col("formula").rlike("[\"']"), F.regexp_extract_all("formula", F.lit(NUMBER), F.lit(0)))
+    cells = found.where(F.col("formula").startswith("=")).withColumn("numbers", numbers)
+    lifted = F.size("numbers").between(1, MOST_NUMBERS)
+    return cells.withColumn("shape", F.when(lifted, F.regexp_replace(rows, NUMBER, "?")).otherwise(rows)).withColumn("numbers", F.when(lifted, F.col("numbers")))
+
+
 def _shapes(found: DataFrame, out: Analysis) -> list[Shape]:
-    """Formulas below the headers, by column and shape."""
-    shape = F.regexp_replace("formula", r"(?<=[A-Za-z$])\d+", "#")
-    rows = found.where(F.col("formula").startswith("=")).groupBy("file", "sheet", "col", shape.alias("shape"), "row").agg(F.first("formula").alias("formula"))
+    """Formulas below the headers, by column and shape. What reaches the driver is a row for each shape, however many constants there are."""
+    rows = with_shapes(found).groupBy("file", "sheet", "col", "shape", "row").agg(F.first("formula").alias("formula"), F.first("numbers").alias("numbers"))
     heads = {(t.file, t.sheet): t for t in out.tables}
     spark = found.sparkSession
     if not heads:
         return []
     header = spark.createDataFrame([(*k, t.header_row, len(t.columns)) for k, t in heads.items()], "file string, sheet string, header int, width int")
     below = rows.join(F.broadcast(header), ["file", "sheet"]).where((F.col("row") > F.col("header")) & (F.col("col") < F.col("width")))  # a row for each sheet
-    got = below.groupBy("file", "sheet", "col", "shape").agg(F.min_by("formula", "row").alias("formula"), F.min("row").alias("row"), F.count("*").alias("n")).collect()
+    differs = [F.coalesce(F.min(F.get("numbers", F.lit(k))) != F.max(F.get("numbers", F.lit(k))), F.lit(False)).alias(f"v{k}") for k in range(MOST_NUMBERS)]
+    got = below.groupBy("file", "sheet", "col", "shape").agg(F.min_by("formula", "row").alias("formula"), F.min("row").alias("row"), F.count("*").alias("n"), *differs).collect()
     got.sort(key=lambda r: (r["file"], r["sheet"], r["col"], r["row"]))
-    return [Shape((t := heads[r["file"], r["sheet"]]).name, r["file"], r["sheet"], r["col"], t.columns[r["col"]].name, r["formula"], r["n"]) for r in got]
+    return [Shape((t := heads[r["file"], r["sheet"]]).name, r["file"], r["sheet"], r["col"], t.columns[r["col"]].name, r["formula"], r["n"], r["shape"], [k for k in range(MOST_NUMBERS) if r[f"v{k}"]]) for r in got]
 
 
 def _books(a: Analysis, s: Shape) -> list[str]:
@@ -261,6 +310,9 @@ def _mark(a: Analysis) -> None:
         column.derived, column.formula = r["derived"], r["sample"]
     for t in a.tables:
         own = [s for s in a.shapes if s.table == t.name]
+        for c in t.columns:
+            if c.derived and (n := len([s for s in own if s.column == c.name])) > 1:
+                a.issues.append(Issue("info", "mixed_formulas", f"{c.name} has formulas of {n} kinds", t.file, t.sheet, t.name, c.name))
         empty = [c for c in t.columns if c.derived and c.null_ratio == 1.0]
         a.issues += [Issue("info", "formula_cache_empty", f"{c.name} has no cached values", t.file, t.sheet, t.name, c.name) for c in empty]
         for book in dict.fromkeys(b for s in own for b in _books(a, s) if b not in files):

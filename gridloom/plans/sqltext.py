@@ -43,6 +43,8 @@ class _Text:
         try:
             f = self.t.formulas[self.column]
             node = parse(f.formula)
+            if f.variants[1:] or any(v.numbers for v in f.variants):
+                self.notes.append("rows differ in their formulas: the first one's is written here; the Spark plans follow each")
             if f.row is not None and any(isinstance(n, Ref) and n.sheet is None and n.top is not None and (n.top_fixed or n.bottom_fixed or {n.top, n.bottom} != {f.row}) for n in walk(node)):
                 self.notes.append("other rows are read by the Spark plans only")
                 return "NULL"
@@ -170,13 +172,37 @@ class _Text:
             "MID": lambda x, i, n: f"SUBSTR({s(x)}, {s(i)}, {s(n)})",
             "CONCAT": joined, "CONCATENATE": joined,
             "TEXT": lambda x, *_: self.text(x),
-            "VALUE": lambda x: f"CAST({s(x)} AS {'REAL' if lite else 'NUMERIC'})",
+            "VALUE": lambda x: self.number(s(x)),
             "SUBSTITUTE": lambda x, a, b, *_: f"REPLACE({s(x)}, {s(a)}, {s(b)})",
             "FIND": at, "SEARCH": at,
             "TODAY": lambda: "CURRENT_DATE", "NOW": lambda: "CURRENT_TIMESTAMP",
             "YEAR": part("%Y", "YEAR"), "MONTH": part("%m", "MONTH"), "DAY": part("%d", "DAY"),
         }
 
+    def number(self, sql: str) -> str:
+        """A text as a number; NULL where it isn't one, which neither dialect's CAST says."""
+        text = f"TRIM(CAST({sql} AS TEXT))"
+        if self.dialect != "sqlite":
+            return f"CASE WHEN {text} ~ '^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$' THEN CAST({text} AS DOUBLE PRECISION) END"
+        plain = f"{text} GLOB '*[0-9]*' AND {text} GLOB '[0-9.+-]*' AND SUBSTR({text}, 2) NOT GLOB '*[^0-9.]*' AND {text} NOT GLOB '*.*.*'"
+        return f"CASE WHEN {plain} OR (JSON_VALID({text}) AND JSON_TYPE({text}) IN ('integer', 'real')) THEN CAST({text} AS REAL) END"
+
+    def measured(self, t: Table, column: str, sql: str, f: str) -> str:
+        """A column that an aggregate adds up or compares: texts are read as numbers."""
+        kind = kind_of(t.df.schema[column].dataType) if column in t.df.columns else "float"
+        return self.number(sql) if kind == "text" and f != "COUNT" else sql
+
+    def in_order(self, t: Table, source: str, x: str) -> str:
+        """ORDER BY of a table's first rows: by its order where that is stored, else by the order of loading."""
+        if t.first_by and all(c in t.df.columns and c not in t.dropped for c in t.first_by):
+            return f" ORDER BY {', '.join(f'{x}.{quoted(c)}' for c in t.first_by)}"
+        if not source.startswith(quoted(t.name + "_v")):
+            return f" ORDER BY {x}.{'rowid' if self.dialect == 'sqlite' else 'ctid'}"
+        note = f"the first match in {t.name}_v has no order"
+        if note not in self.notes:
+            self.notes.append(note)
+        return ""
+
     def lookup(self, name: str, args: tuple[Node, ...]) -> str:
         default = None
         if name == "VLOOKUP" and len(args) > 2 and isinstance(args[1], Ref) and isinstance(args[2], Num):
@@ -194,7 +220,7 @@ class _Text:
         if name != "VLOOKUP" and other is not t:
             raise Unsupported(f"{name}: both ranges must be in one table")
         source, x = self.source(t, [found, returned])
-        order = f" ORDER BY {x}.rowid" if self.dialect == "sqlite" and not source.startswith(quoted(t.name + "_v")) else ""
+        order = self.in_order(t, source, x)
         got = f"(SELECT {x}.{quoted(returned)} FROM {source} WHERE {x}.{quoted(found)} = {self._sql(key)}{order} LIMIT 1)"
         return got if default is None else f"COALESCE({got}, {self.sql(default)})"
 
@@ -215,12 +241,14 @@ class _Text:
         for (_, column), (_, crit) in zip(places, pairs, strict=True):
             op, value, node = criterion(crit)
             left = f"{x}.{quoted(column)}"
-            if op == "like":
+            if op == "like" and self.dialect == "sqlite":  # its LIKE doesn't tell case
+                tests.append(f"CAST({left} AS TEXT) GLOB {string(_glob(value))}")
+            elif op == "like":
                 tests.append(f"CAST({left} AS TEXT) LIKE {string(value)} ESCAPE '\\'")
             else:
                 fixed = ("TRUE" if value else "FALSE") if isinstance(value, bool) else self.sql(Num(value)) if isinstance(value, float) else string(str(value))
                 tests.append(f"{left} {op} {self._sql(node) if node is not None else fixed}")
-        what = "COUNT(*)" if f == "COUNT" else f"{'AVG' if f == 'AVERAGE' else f}({x}.{quoted(measure[1])})"
+        what = "COUNT(*)" if f == "COUNT" else f"{'AVG' if f == 'AVERAGE' else f}({self.measured(t, measure[1], f'{x}.{quoted(measure[1])}', f)})"
         return f"(SELECT {'COALESCE(' + what + ', 0)' if f == 'SUM' else what} FROM {source} WHERE {' AND '.join(tests)})"
 
     def ranged(self, name: str, args: tuple[Node, ...]) -> str:
@@ -228,7 +256,7 @@ class _Text:
         if len(args) == 1 and isinstance(a, Ref) and a.is_range and a.first == a.last and (a.top is None or a.top != a.bottom):
             t, column = self.one(a)
             source, x = self.source(t, [column])
-            what = f"{'AVG' if name == 'AVERAGE' else name}({x}.{quoted(column)})"
+            what = f"{'AVG' if name == 'AVERAGE' else name}({self.measured(t, column, f'{x}.{quoted(column)}', name)})"
             return f"(SELECT {'COALESCE(' + what + ', 0)' if name == 'SUM' else what} FROM {source})"
         cells: list[str] = []
         for a in args:
@@ -252,6 +280,15 @@ class _Text:
         return total if name == "SUM" else f"({total} * 1.0 / {len(cells)})"
 
 
+def _glob(pattern: str) -> str:
+    """A LIKE pattern with escape character \\ as a GLOB pattern."""
+    out, chars = [], iter(pattern)
+    for c in chars:
+        plain = next(chars, "") if c == "\\" else c
+        out.append({"%": "*", "_": "?"}.get(c) or {"[": "[[]", "*": "[*]", "?": "[?]"}.get(plain, plain))
+    return "".join(out)
+
+
 def view_order(w: Workbook) -> list[str]:
     """Tables with formulas, each after those whose computed columns it reads; those of a cycle as they were added."""
     wait = {t.name: {name for c in t.formulas for name, x in w.needs(t, c) if name != t.name and w._computed(name, x)} for t in w.tables.values() if t.formulas}

@@ -38,11 +38,34 @@ def profile_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unique_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = None
-    for table, column in [(t, k[0]) for t, k in TABLES.items()] + list(_LINKS):
-        one = p.is_unique(_read(spark, sf_dir, table), column).select(F.lit(f"{table}.{column}").alias("name"), "is_unique")
-        out = one if out is None else out.unionByName(one)
-    return out.distinct()
+    """All columns of all tables."""
+    found = {t: p.unique_among(df, df.columns) for t, df in ((t, _read(spark, sf_dir, t)) for t in _KINDS)}
+    return spark.createDataFrame([(f"{t}.{c}", u) for t, columns in found.items() for c, u in columns.items()], "name string, is_unique boolean")
+
+
+#: Keys that hold, and some that don't.
+_REFERS = [("orders", "o_custkey", "customer", "c_custkey"), ("lineitem", "l_partkey", "part", "p_partkey"), ("lineitem", "l_linenumber", "region", "r_regionkey"), ("part", "p_size", "nation", "n_nationkey"), ("events", "user_id", "customer", "c_custkey"), ("events", "user_id", "supplier", "s_suppkey")]
+
+
+def orphans_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each foreign key that has any: values that aren't there, their rows, and the greatest as text."""
+    tables = {t: _read(spark, sf_dir, t) for t in _KINDS}
+    return p.orphans(tables, _REFERS).groupBy("table", "column", "target").agg(F.count("*").alias("values"), F.sum("rows").alias("rows"), F.max("value").alias("last"))
+
+
+def named_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Foreign keys of tables whose columns are named as keys: by name and values, by lookups of the same file and of another."""
+    d = {t: _read(spark, sf_dir, t) for t in ("nation", "customer", "orders", "lineitem")}
+    tables = {
+        "nations": d["nation"].select(F.col("n_nationkey").alias("id"), "n_name"),
+        "customers": d["customer"].select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("nation_id"), "c_name"),
+        "purchases": d["orders"].select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("customer_no"), F.col("o_custkey").alias("buyer"), "o_totalprice"),
+        "lines": d["lineitem"].select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("line_code"), F.col("l_orderkey").alias("purchase"), F.col("l_orderkey").alias("purchases_id")),
+    }
+    keys = {t: p.primary_key(df) for t, df in tables.items()}
+    looked = {("customers", "nation_id", "nations"), ("purchases", "buyer", "customers")}
+    links = p.foreign_keys(tables, keys, looked, {t: "other.xlsx" if t == "purchases" else "book.xlsx" for t in tables})
+    return spark.createDataFrame([(k.table, k.column, f"{k.target}.{k.key}", k.confidence) for k in links], "name string, key string, target string, confidence double")
 
 
 def key_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +105,7 @@ def formula_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lineage.function_totals(lineage.inventory(cells))
 
 
-QUERIES = {f.__name__: f for f in (profile_columns, unique_columns, key_overlap, inferred_keys, lineage_columns, lineage_tables, formula_functions)}
+QUERIES = {f.__name__: f for f in (profile_columns, unique_columns, orphans_per_key, named_keys, key_overlap, inferred_keys, lineage_columns, lineage_tables, formula_functions)}
 
 
 def _profiled(table: str, column: str, kind: str) -> str:
@@ -115,7 +138,14 @@ def _inferred() -> str:
 ORACLE_SQL = {
     "profile_columns": " UNION ALL ".join(_profiled(t, *c.split(":")) for t, cs in _KINDS.items() for c in cs.split()),
     "inferred_keys": _inferred(),
-    "unique_columns": " UNION ".join(f"SELECT '{t}.{c}' AS name, count(*) = count(DISTINCT {c}) AND count(*) > 0 AS is_unique FROM {t}" for t, c in [(t, k[0]) for t, k in TABLES.items()] + list(_LINKS)),
+    "unique_columns": " UNION ALL ".join(f"SELECT '{t}.{c}' AS name, count(*) > 0 AND count({x}) = count(*) AND count(DISTINCT {x}) = count(*) AS is_unique FROM {t}" for t, cs in _KINDS.items() for c, k in (y.split(":") for y in cs.split()) for x in (f"nullif(trim({c}), '')" if k == "s" else c,)),
+    "orphans_per_key": " UNION ALL ".join(f"SELECT '{t}' AS \"table\", '{c}' AS \"column\", '{o}' AS target, count(DISTINCT {c}) AS \"values\", count(*) AS rows, max(CAST({c} AS VARCHAR)) AS \"last\" FROM {t} WHERE {c} NOT IN (SELECT {k} FROM {o}) HAVING count(*) > 0" for t, c, o, k in _REFERS),
+    "named_keys": f"""WITH hits AS (SELECT (SELECT avg(CAST(o_custkey IN (SELECT c_custkey FROM customer) AS INT)) FROM orders) AS buyers, (SELECT avg(CAST(l_orderkey IN (SELECT o_orderkey FROM orders) AS INT)) FROM lineitem) AS orders)
+        SELECT DISTINCT 'customers' AS name, 'nation_id' AS key, 'nations.id' AS target, CAST({p.ALL_THREE} AS DOUBLE) AS confidence FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation)
+        UNION ALL SELECT 'purchases', 'buyer', 'customers.id', CAST({p.CROSS_FILE} AS DOUBLE) FROM hits
+        UNION ALL SELECT 'purchases', 'customer_no', 'customers.id', CAST({p.NAME_AND_VALUES} AS DOUBLE) FROM hits WHERE buyers >= {p.CONTAINED}
+        UNION ALL SELECT 'lines', 'purchase', 'purchases.id', CAST({p.NAME_AND_VALUES} AS DOUBLE) FROM hits WHERE orders >= {p.CONTAINED}
+        UNION ALL SELECT 'lines', 'purchases_id', 'purchases.id', CAST({p.NAME_AND_VALUES} AS DOUBLE) FROM hits WHERE orders >= {p.CONTAINED}""",
     "key_overlap": " UNION ALL ".join(f"SELECT '{t}.{c}' AS name, (SELECT avg(CASE WHEN {c} IN (SELECT {k} FROM {o}) THEN 1.0 ELSE 0.0 END) FROM {t} WHERE {c} IS NOT NULL) AS contained, (SELECT count(DISTINCT {k}) FILTER ({k} IN (SELECT {c} FROM {t})) / count(DISTINCT {k}) FROM {o}) AS covered" for (t, c), (o, k) in _LINKS.items()),
     "lineage_columns": """SELECT source, target, op, CASE WHEN target LIKE 'customer%' THEN (SELECT count(*) FROM customer) ELSE (SELECT count(*) FROM orders) END AS weight FROM (VALUES
         ('customer.c_nationkey', 'customer.nation', 'join'), ('nation.n_nationkey', 'customer.nation', 'join'), ('nation.n_name', 'customer.nation', 'join'), ('orders.o_custkey', 'customer.total', 'aggregate'), ('customer.c_custkey', 'customer.total', 'aggregate'),

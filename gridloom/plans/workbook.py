@@ -31,6 +31,16 @@ RANGES = ("SUM", "AVERAGE", "MIN", "MAX", "COUNT")
 Value = tuple[Column, str]
 
 
+@dataclass(frozen=True)
+class Variant:
+    """A formula that holds for the rows in which a stored column has a value; numbers of it (by place, from 0) that stored columns hold."""
+
+    column: str
+    value: int
+    formula: str
+    numbers: dict[int, str] = field(default_factory=dict, hash=False)
+
+
 @dataclass
 class FormulaColumn:
     formula: str
@@ -39,6 +49,8 @@ class FormulaColumn:
     suffix: str = "_calc"
     #: The row of the sheet that the formula was read from; None if rows mean nothing.
     row: int | None = None
+    #: Where not all rows have the same formula. Rows of none keep their stored value.
+    variants: list[Variant] = field(default_factory=list)
 
 
 @dataclass
@@ -112,12 +124,12 @@ class Workbook:
         self._changed()
         return t
 
-    def derive(self, table: str, column: str, formula: str, included: bool = False, row: int | None = None) -> None:
-        """row: the row of the sheet that the formula stands in, if its references to other rows of the table are to be followed."""
+    def derive(self, table: str, column: str, formula: str, included: bool = False, row: int | None = None, variants: list[Variant] | None = None) -> None:
+        """variants: the formulas of the rows where they differ. row: the row of the sheet that the formula stands in, if its references to other rows of the table are to be followed."""
         t = self.tables[table]
         if "columns" in t.__dict__ and column not in t.columns:
             t.columns.append(column)
-        t.formulas[column] = FormulaColumn(formula, included, row=row)
+        t.formulas[column] = FormulaColumn(formula, included, row=row, variants=variants or [])
         self._changed()
 
     def drop(self, table: str, *columns: str) -> None:
@@ -192,12 +204,15 @@ class Workbook:
         """Tables and columns that a formula reads, of all tables; of a VLOOKUP's range its first column and the one returned."""
         key = (t.name, column)
         if key not in self._needed:
-            try:
-                node = parse(t.formulas[column].formula)
-            except ParseError:
-                node = Empty()
-            above = t.formulas[column].row
-            self._needed[key] = {found for ref in _refs(node) for found in self._named(ref, t) if not (found == key and is_above(ref, above))}
+            f = t.formulas[column]
+            nodes = []
+            for text in dict.fromkeys([f.formula, *[v.formula for v in f.variants]]):
+                try:
+                    nodes.append(parse(text))
+                except ParseError:
+                    continue
+            above = f.row
+            self._needed[key] = {found for node in nodes for ref in _refs(node) for found in self._named(ref, t) if not (found == key and is_above(ref, above))}
         return self._needed[key]
 
     def _named(self, ref: Ref, here: Table) -> list[tuple[str, str]]:
@@ -261,6 +276,27 @@ class Workbook:
         return out
 
 
+def with_columns(node: Node, numbers: dict[int, int]) -> Node:
+    """A formula in which some of its numbers, counted from 0 in the order of the text, are cells of columns."""
+    seen = iter(range(10**9))
+
+    def made(n: Node) -> Node:
+        match n:
+            case Num():
+                k = next(seen)
+                return Ref(numbers[k], numbers[k], None, None) if k in numbers else n
+            case Unary(op, x):
+                return Unary(op, made(x))
+            case Binary(op, a, b):
+                left = made(a)
+                return Binary(op, left, made(b))
+            case Call(name, args):
+                return Call(name, tuple([made(a) for a in args]))
+        return n
+
+    return made(node) if numbers else node
+
+
 def is_above(ref: Ref, row: int | None) -> bool:
     """Whether a reference is to the cell in the row before."""
     return row is not None and not ref.is_range and not ref.top_fixed and ref.top == row - 1
@@ -297,6 +333,11 @@ class _Lowering:
             self.report.status = "unsupported"
             self.note(f"{self.t.name}.{self.column} depends on itself")
             return _Lowered((F.lit(None), "null"), self.report)
+        if variants := self.t.formulas[self.column].variants:
+            value = self.variants(variants)
+            if self.failed:
+                self.report.status = "unsupported" if value[1] == "null" else "partial"
+            return _Lowered(value, self.report)
         try:
             node = parse(self.report.formula)
         except ParseError as e:
@@ -309,6 +350,27 @@ class _Lowering:
             self.report.status = "unsupported" if value[1] == "null" else "partial"
         return _Lowered(value, self.report)
 
+    def variants(self, variants: list[Variant]) -> Value:
+        """Each row by its own formula; other rows as they are stored."""
+        values = []
+        for v in variants:
+            try:
+                node = with_columns(parse(v.formula), {k: self.t.columns.index(c) for k, c in v.numbers.items()})
+            except ParseError as e:
+                self.failed = True
+                self.note(str(e))
+                node = Empty()
+            self.rows_apart(node)
+            values.append(self.value(node))
+        cases, kind = unify(values)
+        if self.column in self.t.df.columns:  # a stored text where numbers are computed is null
+            own = (F.col(self.column), kind_of(self.t.df.schema[self.column].dataType))
+            cases, kind = (([*cases, own[0]], own[1]) if kind == "null" else ([*cases, as_kind(*own, kind)], kind))
+        whole = F.lit(None)
+        for v, c in zip(variants, cases, strict=False):
+            whole = F.when(F.col(v.column) == v.value, c) if v is variants[0] else whole.when(F.col(v.column) == v.value, c)
+        return (whole.otherwise(cases[-1]) if len(cases) > len(variants) else whole), kind
+
     def note(self, text: str) -> None:
         if text not in self.report.notes:
             self.report.notes.append(text)

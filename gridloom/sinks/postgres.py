@@ -5,6 +5,7 @@ Rows never pass through the driver: executors write them, to the server or to th
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from urllib.parse import unquote, urlsplit
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from gridloom.operators.coerce import lost, typed
 from gridloom.operators.profile import ForeignKey
-from gridloom.sinks import relational
+from gridloom.sinks import relational, staged
 from gridloom.sinks.relational import Problem, ddl, plan, quoted
 
 #: Bytes of a name, rows from over which a table is copied, words that are reserved.
@@ -82,15 +83,18 @@ def dump(
     keys: dict[str, str | None],
     links: list[ForeignKey],
     views: str = "",
+    checked: tuple | None = None,
 ) -> dict[str, int | str]:
     """schema.sql, views.sql, load.sql (which psql runs, in the folder) and a folder of rows for each table; rows, or why a table is left out.
 
     Tables of over COPY_ROWS rows are COPY text, the others statements. All is one transaction but the views, which are
-    left out where a table is.
+    left out where a table is. Keys that rows break are added NOT VALID, and the values that broke them are in a table fk_orphans.
+    checked: what relational.broken_keys() has found, if it was asked before.
     """
     if errors := [p.message for p in validate(kinds) if p.level == "error"]:
         raise ValueError("; ".join(errors))
-    planned, done, load = plan(kinds, keys, links), {}, []
+    lost_keys, broken = checked or relational.broken_keys(frames, kinds, keys, links)
+    planned, done, load = plan(kinds, keys, links, broken), {}, []
     places = relational.plain_words(list(kinds))
     for t in planned.order:
         if bad := lost(frames[t], kinds[t]):
@@ -104,7 +108,12 @@ def dump(
             inserts(frames[t], t, kinds[t]).write.mode("overwrite").text(f"{folder}/{place}")
             load.append(f"\\! cat {place}/part-* > {place}.sql\n\\i {place}.sql")
     made = ddl(kinds, keys, planned)
-    drops = [f"DROP TABLE IF EXISTS {quoted(t)} CASCADE" for t in reversed(planned.order)]
+    if broken:
+        name = relational.orphan_table(kinds)
+        made.insert(len(planned.order), f"CREATE TABLE {quoted(name)} ({', '.join(f'{quoted(c)} {k}' for c, k in relational.ORPHANS.items())})")
+        lost_keys.select(copy_line({c: "text" for c in relational.ORPHANS}).alias("value")).write.mode("overwrite").text(f"{folder}/data/{name}")
+        load.append(f"\\copy {quoted(name)} FROM PROGRAM 'cat data/{name}/part-*'")
+    drops = [f"DROP TABLE IF EXISTS {quoted(t)} CASCADE" for t in [*([relational.orphan_table(kinds)] if broken else []), *reversed(planned.order)]]
     create, alter = [x for x in made if x.startswith("CREATE")], [x for x in made if not x.startswith("CREATE")]
     whole = all(isinstance(n, int) for n in done.values())
     script = ["\\set ON_ERROR_STOP on", "BEGIN;", "\\i schema.sql", *load, *[f"{x};" for x in alter], "COMMIT;", *(["\\i views.sql"] if whole and views else [])]
@@ -123,16 +132,19 @@ def jdbc(dsn: str) -> tuple[str, dict[str, str]]:
     return f"jdbc:postgresql://{at.hostname}:{at.port or 5432}{at.path}", {k: v for k, v in found.items() if v} | {"driver": "org.postgresql.Driver"}
 
 
-def write(dsn: str, frames: dict[str, DataFrame], kinds: dict[str, dict[str, str]], keys: dict[str, str | None], links: list[ForeignKey]) -> dict[str, int | str]:
-    """Load over JDBC; the driver's jar must be on Spark's class path. Executors insert their own rows, in batches; constraints follow the rows."""
+def write(dsn: str, frames: dict[str, DataFrame], kinds: dict[str, dict[str, str]], keys: dict[str, str | None], links: list[ForeignKey], views: str = "", checked: tuple | None = None, failed: Callable[[str, str], None] = lambda view, why: None) -> dict[str, int | str]:
+    """Load over JDBC, staged by the executors and promoted in one transaction with keys and constraints, then the views; see staged.load().
+
+    The driver's jar must be on Spark's class path. Not run against a PostgreSQL server here; the same protocol is tested on another database.
+    """
     if errors := [p.message for p in validate(kinds) if p.level == "error"]:
         raise ValueError("; ".join(errors))
     url, properties = jdbc(dsn)
-    done: dict[str, int | str] = {}
-    for t in plan(kinds, keys, links).order:
-        if bad := lost(frames[t], kinds[t]):
-            done[t] = "; ".join(f"{c}: {n} values aren't {kinds[t][c]}" for c, n in bad.items())
-            continue
-        typed(frames[t], kinds[t]).write.mode("overwrite").option("batchsize", relational.BATCH).jdbc(url, quoted(t), properties=properties)
-        done[t] = frames[t].count()
-    return done
+    spark = next(iter(frames.values())).sparkSession
+    return staged.load(spark, url, properties, frames, kinds, keys, links, view_statements(views), staged.POSTGRES, checked, failed)
+
+
+def view_statements(text: str) -> list[str]:
+    """The CREATE VIEW statements of views as text, without comments."""
+    plain = "\n" + "\n".join(x for x in text.splitlines() if not x.startswith("-- "))
+    return ["CREATE VIEW" + s.rstrip().removesuffix(";") for s in plain.split("\nCREATE VIEW")[1:]]

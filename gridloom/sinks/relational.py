@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.operators.coerce import lost, typed
-from gridloom.operators.profile import ForeignKey
+from gridloom.operators.profile import ForeignKey, orphans
 
 #: Rows of one insert.
 BATCH = 1000
@@ -44,11 +44,13 @@ class Plan:
     order: list[str]
     inline: list[ForeignKey] = field(default_factory=list)
     deferred: list[ForeignKey] = field(default_factory=list)
+    #: Keys that rows break already: added afterwards for new rows only.
+    unchecked: list[ForeignKey] = field(default_factory=list)
     issues: list[tuple[str, str]] = field(default_factory=list)
 
 
-def plan(kinds: dict[str, dict[str, str]], keys: dict[str, str | None], links: list[ForeignKey]) -> Plan:
-    """kinds: table to column to kind. What a table refers to loads before it; see load_order() for cycles."""
+def plan(kinds: dict[str, dict[str, str]], keys: dict[str, str | None], links: list[ForeignKey], broken: dict[tuple[str, str], int] | None = None) -> Plan:
+    """kinds: table to column to kind. What a table refers to loads before it; see load_order() for cycles. broken: rows that break a key (table, column)."""
     good, issues = [], []
     for k in links:
         if k.target not in kinds or keys.get(k.target) != k.key:
@@ -59,8 +61,20 @@ def plan(kinds: dict[str, dict[str, str]], keys: dict[str, str | None], links: l
             good.append(k)
     order, deferred = load_order(list(kinds), [k for k in good if k.table != k.target])
     issues += [("fk_cycle", f"{k.table}.{k.column} -> {k.target}.{k.key} is added after loading") for k in deferred]
-    later = [k for k in good if k.table == k.target or k in deferred]
-    return Plan(order, [k for k in good if k not in later], later, issues)
+    unchecked = [k for k in good if (broken or {}).get((k.table, k.column))]
+    issues += [("fk_orphans", f"{k.table}.{k.column}: {broken[k.table, k.column]} rows refer to no {k.target}.{k.key}") for k in unchecked]
+    later = [k for k in good if (k.table == k.target or k in deferred) and k not in unchecked]
+    return Plan(order, [k for k in good if k not in later and k not in unchecked], later, unchecked, issues)
+
+
+def broken_keys(frames: dict[str, DataFrame], kinds: dict[str, dict[str, str]], keys: dict[str, str | None], links: list[ForeignKey]) -> tuple[DataFrame | None, dict[tuple[str, str], int]]:
+    """The values of foreign keys that their targets don't have, as they would be loaded, and the rows of each key that has any. One job for all keys."""
+    checked = [k for k in links if k.target in kinds and keys.get(k.target) == k.key and kinds[k.table][k.column] == kinds[k.target][k.key]]
+    if not checked:
+        return None, {}
+    used = {t for k in checked for t in (k.table, k.target)}
+    found = orphans({t: typed(frames[t], kinds[t]) for t in used}, [(k.table, k.column, k.target, k.key) for k in checked])
+    return found, {(r["table"], r["column"]): r["n"] for r in found.groupBy("table", "column").agg(F.sum("rows").alias("n")).collect()}
 
 
 def load_order(tables: list[str], links: list[ForeignKey]) -> tuple[list[str], list[ForeignKey]]:
@@ -102,22 +116,27 @@ def quoted(name: str) -> str:
     return '"' + name.replace('"', '""') + '"'
 
 
-def ddl(kinds: dict[str, dict[str, str]], keys: dict[str, str | None], planned: Plan) -> list[str]:
+def ddl(kinds: dict[str, dict[str, str]], keys: dict[str, str | None], planned: Plan, types: dict[str, str] = SQL_TYPES) -> list[str]:
+    """CREATE TABLE for each table in order, then the keys that are added afterwards."""
     out = []
     for t in planned.order:
-        lines = [f"{quoted(c)} {SQL_TYPES[k]}" for c, k in kinds[t].items()]
+        lines = [f"{quoted(c)} {types[k]}" for c, k in kinds[t].items()]
         if keys.get(t):
             lines.append(f"PRIMARY KEY ({quoted(keys[t])})")
         lines += [f"FOREIGN KEY ({quoted(k.column)}) REFERENCES {quoted(k.target)} ({quoted(k.key)})" for k in planned.inline if k.table == t]
         out.append(f"CREATE TABLE {quoted(t)} (\n  " + ",\n  ".join(lines) + "\n)")
-    return out + [f"ALTER TABLE {quoted(k.table)} ADD CONSTRAINT {quoted(f'fk_{k.table}_{k.column}'[:63])} FOREIGN KEY ({quoted(k.column)}) REFERENCES {quoted(k.target)} ({quoted(k.key)})" for k in planned.deferred]
+    return out + [f"ALTER TABLE {quoted(k.table)} ADD CONSTRAINT {quoted(f'fk_{k.table}_{k.column}'[:63])} FOREIGN KEY ({quoted(k.column)}) REFERENCES {quoted(k.target)} ({quoted(k.key)}){' NOT VALID' if k in planned.unchecked else ''}" for k in [*planned.deferred, *planned.unchecked]]
+
 
+def write_sqlite(path: str, frames: dict[str, DataFrame], kinds: dict[str, dict[str, str]], keys: dict[str, str | None], links: list[ForeignKey], checked: tuple | None = None) -> dict[str, int | str]:
+    """checked: what broken_keys() has found, if it was asked before. A new SQLite file; for each table its number of rows or, where a value isn't of its kind or the load failed and was rolled back, the error.
 
-def write_sqlite(path: str, frames: dict[str, DataFrame], kinds: dict[str, dict[str, str]], keys: dict[str, str | None], links: list[ForeignKey]) -> dict[str, int | str]:
-    """A new SQLite file; for each table its number of rows or, where a value isn't of its kind or the load failed and was rolled back, the error. Deferred keys aren't created."""
+    Deferred keys aren't created, nor those that rows break; the values that broke them are in a table fk_orphans.
+    """
     if any(i.level == "error" for i in validate(kinds)):
         raise ValueError("; ".join(i.message for i in validate(kinds) if i.level == "error"))
-    planned = plan(kinds, keys, links)
+    lost_keys, broken = checked or broken_keys(frames, kinds, keys, links)
+    planned = plan(kinds, keys, links, broken)
     Path(path).unlink(missing_ok=True)
     done: dict[str, int | str] = {}
     with sqlite3.connect(path, isolation_level=None) as db:
@@ -143,10 +162,26 @@ def write_sqlite(path: str, frames: dict[str, DataFrame], kinds: dict[str, dict[
             except sqlite3.Error as e:
                 db.execute("ROLLBACK")
                 done[t] = str(e)
+        if broken:
+            name = orphan_table(kinds)
+            db.execute(f"CREATE TABLE {quoted(name)} ({', '.join(f'{quoted(c)} {k}' for c, k in ORPHANS.items())})")
+            db.executemany(f"INSERT INTO {quoted(name)} VALUES ({', '.join('?' * len(ORPHANS))})", (tuple(r) for r in lost_keys.toLocalIterator()))
     db.close()
     return done
 
 
+#: Columns of the table of foreign keys' values that aren't there.
+ORPHANS = {"table": "TEXT", "column": "TEXT", "target": "TEXT", "key": "TEXT", "value": "TEXT", "rows": "BIGINT"}
+
+
+def orphan_table(kinds: dict[str, dict[str, str]]) -> str:
+    """A name that no table has."""
+    name = "fk_orphans"
+    while name.lower() in {t.lower() for t in kinds}:
+        name += "_"
+    return name
+
+
 def report(kinds: dict[str, dict[str, str]], keys: dict[str, str | None], links: list[ForeignKey], rows: dict[str, int], bulk: int | None = None, limits: Callable = validate) -> dict:
     """What a load would do: problems, DDL, order, and for each table its rows and how they go in. bulk: rows from over which they are copied."""
     planned = plan(kinds, keys, links)

@@ -125,6 +125,8 @@ def cells(spark: SparkSession, path: str | list[str]) -> DataFrame:
         for batch in batches:
             for where, content in zip(batch["path"], batch["content"], strict=True):
                 rows = []
+                if reads(bytes(content)):
+                    continue
                 for row in parse_cells(bytes(content), unquote(posixpath.basename(where))):
                     rows.append(row)
                     if len(rows) == _BATCH:
@@ -135,6 +137,37 @@ def cells(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return files.repartition("path").mapInPandas(parse, CELLS)
 
 
+def reads(content: bytes) -> str:
+    """Why a file can't be read as a workbook; empty if it can. Its parts' checksums are checked, and the text of each part of the workbook."""
+    try:
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            if bad := z.testzip():
+                return f"{bad} is damaged"
+            if "xl/workbook.xml" not in z.namelist():
+                return "it holds no workbook"
+            for name in z.namelist():
+                if name.startswith("xl/") and name.endswith((".xml", ".rels")):
+                    for _, element in ElementTree.iterparse(z.open(name)):
+                        element.clear()
+    except (zipfile.BadZipFile, zipfile.LargeZipFile, ElementTree.ParseError, EOFError, OSError, NotImplementedError, RuntimeError) as e:
+        return str(e) or type(e).__name__
+    return ""
+
+
+def damaged(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """file and why, for workbooks that can't be read; cells() and books() pass them over."""
+    files = spark.read.format("binaryFile").load(path).where(F.lower("path").rlike(r"\.xls[xm]$")).select("path", "content")
+
+    def parse(batches):
+        import pandas as pd
+
+        for batch in batches:
+            found = [(unquote(posixpath.basename(p)), reads(bytes(c))) for p, c in zip(batch["path"], batch["content"], strict=True)]
+            yield pd.DataFrame([x for x in found if x[1]], columns=["file", "why"])
+
+    return files.mapInPandas(parse, "file string, why string")
+
+
 def books(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """file, place (1, 2, ...) and book of the workbooks that each file's formulas call [1], [2] and so on."""
     files = spark.read.format("binaryFile").load(path).where(F.lower("path").rlike(r"\.xls[xm]$")).select("path", "content")
@@ -145,6 +178,8 @@ def books(spark: SparkSession, path: str | list[str]) -> DataFrame:
         for batch in batches:
             rows = []
             for where, content in zip(batch["path"], batch["content"], strict=True):
+                if reads(bytes(content)):
+                    continue
                 with zipfile.ZipFile(io.BytesIO(bytes(content))) as z:
                     rows += [(unquote(posixpath.basename(where)), i, b) for i, b in enumerate(external_books(z), 1)]
             yield pd.DataFrame(rows, columns=["file", "place", "book"])
