@@ -29,6 +29,8 @@ LOOKUPS = ("VLOOKUP", "XLOOKUP", "INDEX")
 CONDITIONAL = {"SUMIF": "SUM", "COUNTIF": "COUNT", "AVERAGEIF": "AVERAGE", "SUMIFS": "SUM", "COUNTIFS": "COUNT", "AVERAGEIFS": "AVERAGE", "MINIFS": "MIN", "MAXIFS": "MAX"}
 RANGES = ("SUM", "AVERAGE", "MIN", "MAX", "COUNT")
 Value = tuple[Column, str]
+#: A sheet's last row, and the row number that stands for the end of a table.
+LAST_ROW, END = 1 << 20, 1 << 60
 
 
 @dataclass(frozen=True)
@@ -423,7 +425,9 @@ class _Lowering:
     def stretch(self, f: str, ref: Ref) -> Stretch:
         column = self.t.columns[ref.first]
         self.own(column)
-        ends = [(r - self.t.first_row, True) if fixed else (r - self.row, False) for r, fixed in ((ref.top, ref.top_fixed), (ref.bottom, ref.bottom_fixed))]
+        # A range to a sheet's last row goes on to the table's end, however many rows it has.
+        at = lambda r: END if r == LAST_ROW and ref.top != ref.bottom else r - self.t.first_row
+        ends = [(at(r), True) if fixed else (r - self.row, False) for r, fixed in ((ref.top, ref.top_fixed), (ref.bottom, ref.bottom_fixed))]
         (first, first_fixed), (last, last_fixed) = sorted(ends, key=lambda e: not e[1])
         return Stretch(f, column, first, last, first_fixed, last_fixed)
 

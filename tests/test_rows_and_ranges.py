@@ -115,3 +115,15 @@ def test_balances_over_many_blocks(spark, monkeypatch):
     empty.derive("t", "b", "=C1*0.9+B2", row=2)
     empty.derive("t", "c", "=SUM(B$2:B2)", row=2)
     assert empty.recompute("t").count() == 0
+
+
+def test_a_range_to_the_last_row_of_a_sheet_reaches_the_end_of_a_longer_table(spark):
+    """The table begins six rows before a sheet's last one and has 20."""
+    w = Workbook(spark)
+    w.add("t", spark.createDataFrame([(i, i % 4) for i in range(20)], "id long, v long").repartition(3), ["id"])
+    w.tables["t"].first_row = 1048570
+    for name, f in (("left", "=SUM(B1048570:B$1048576)"), ("all", "=SUM(B$1048570:B$1048576)"), ("high", "=MAX(B1048571:B$1048576)"), ("n", "=COUNT(B$1048575:B$1048576)")):
+        w.derive("t", name, f, row=1048570)
+    v = [i % 4 for i in range(20)]
+    for i, r in enumerate(sorted(w.recompute("t").collect(), key=lambda r: r.id)):
+        assert (r.left, r["all"], r.high, r.n) == (sum(v[i:]), sum(v), max(v[min(i + 1, 19) :]), 15), i
