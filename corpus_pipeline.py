@@ -19,7 +19,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that pairs of similarity 0.8 over five words connect, that with the smallest id."""
+    """One document of each group that SimHash fingerprints within op10's radius or pairs of similarity 0.8, both over five words, connect, that with the smallest id."""
     return jaccard_dedup.drop_similar(docs)
 
 

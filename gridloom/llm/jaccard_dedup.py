@@ -1,6 +1,10 @@
-"""Near-duplicates by the Jaccard similarity of word shingles: a positional index of minima picks candidates, whole shingle sets confirm them.
+"""Near-duplicates by SimHash fingerprints and by the Jaccard similarity of word shingles.
 
-A text's fingerprint is 64 minima of its shingles, one for each position. As with the SimHash index, composite positions are
+Fingerprints over the same shingles go through op10's index of byte positions with its tally and its verification bit by bit,
+whose links hold as they are. They reach few texts of similarity 0.8, so a positional index of minima picks more candidates,
+which whole shingle sets confirm. All links make the components.
+
+For the second index a text's fingerprint is 64 minima of its shingles, one for each position. As with the SimHash index, composite positions are
 keys (16 bands of four), the positions that a pair shares are tallied, pairs under a minimum are dropped, and the rest are
 verified. Minima of a text of similarity 0.8 meet in some band with a chance of 0.9998, while its SimHash bits differ in
 ten of 64 on average, more than eight bytes can guarantee a match for. Texts of the same words are one node, so exact copies
@@ -25,6 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.llm import simhash_dedup
 from gridloom.llm.components import connected_components
 from gridloom.llm.shared import column, map_batches, save, slices, unused
 
@@ -79,18 +84,19 @@ def similarity(a: bytes, b: bytes) -> float:
 
 
 def _marked(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """id, raw (a hash of the text as it is), node and its minima (null if the text has no words), for each row of docs."""
+    """id, raw (a hash of the text as it is), node, its SimHash fp and its minima (null if the text has no words), for each row of docs."""
     kind = docs.schema[id_col].dataType.simpleString()
     text = column(text_col).cast("string")
 
     def make():
         def one(batch):
             read = [words_of(t) for t in batch.column(2).to_pylist()]
-            return {"id": batch.column(0), "raw": batch.column(1), "node": [node_of(w) for w in read], "minima": [minima(shingles(w, shingle)).tobytes() if w else None for w in read]}
+            hashes = [shingles(w, shingle) for w in read]
+            return {"id": batch.column(0), "raw": batch.column(1), "node": [node_of(w) for w in read], "fp": [simhash_dedup.majority(h) for h in hashes], "minima": [minima(h).tobytes() if len(h) else None for h in hashes]}
 
         return one
 
-    return map_batches(docs.select(column(id_col).alias("id"), F.xxhash64(text).alias("raw"), text.alias("text")), make, f"id {kind}, raw bigint, node bigint, minima binary")
+    return map_batches(docs.select(column(id_col).alias("id"), F.xxhash64(text).alias("raw"), text.alias("text")), make, f"id {kind}, raw bigint, node bigint, fp bigint, minima binary")
 
 
 def _keys(nodes: DataFrame) -> DataFrame:
@@ -262,16 +268,25 @@ def links(nodes: DataFrame, texts: DataFrame, least: float = SIMILARITY, shingle
     return found.unionByName(save(_rest(rest, texts, least, shingle, agree, block), "links"))
 
 
+def _by_fingerprint(nodes: DataFrame) -> DataFrame:
+    """nodes: saved node and fp. Links (a, b) of nodes whose fingerprints op10's operator links, one node standing for each fingerprint."""
+    leads = save(nodes.groupBy("fp").agg(F.min("node").alias("a")), "leads")
+    same = nodes.join(leads, "fp").where("node <> a").select("a", F.col("node").alias("b"))
+    near = simhash_dedup.links(leads.select("fp")).withColumnsRenamed({"a": "x", "b": "y"})
+    ends = near.join(leads.withColumnRenamed("fp", "x"), "x").join(leads.select(F.col("fp").alias("y"), F.col("a").alias("b")), "y")
+    return same.unionByName(ends.select("a", "b"))
+
+
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
-    """docs with one row of each component of texts as similar as least: that with the smallest id (nulls last), of repeated rows one.
+    """docs with one row of each component of texts within op10's radius or as similar as least: that with the smallest id (nulls last), of repeated rows one.
 
     docs is read again for the sets of candidates and for the result, so it must be the same each time, as a saved table is.
     Rows without a copy pass as they are read; only those that a fixed filter of the copies' hashes lets through are shuffled.
     """
     marked = save(_marked(docs, id_col, text_col, shingle), "marked")
-    nodes = save(marked.groupBy("node").agg(F.first("minima").alias("minima")), "nodes")
+    nodes = save(marked.groupBy("node").agg(F.first("minima").alias("minima"), F.first("fp").alias("fp")), "nodes")
     text = column(text_col).cast("string")
-    found = links(nodes, docs.select(text.alias("text")), least, shingle)
+    found = links(nodes.drop("fp"), docs.select(text.alias("text")), least, shingle).unionByName(_by_fingerprint(nodes.drop("minima")))
     roots = connected_components(found).select(F.col("id").alias("node"), "root")
     placed = marked.select("id", "raw", "node").join(roots, "node", "left").select("id", "raw", F.coalesce("root", "node").alias("c"))
     leads = placed.groupBy("c").agg(F.min(F.struct(F.col("id").isNull().alias("null"), "id", "raw")).alias("lead"), F.count("*").alias("n")).where("n > 1")

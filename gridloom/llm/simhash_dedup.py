@@ -30,6 +30,14 @@ POSTING_PAIRS = 64
 PAIRS = [(i, j) for i in range(4) for j in range(i + 1, 4)]
 
 
+def majority(hashes: np.ndarray) -> int:
+    """Signed 64-bit SimHash of shingle hashes: the bits that over half of them have; 0 of none."""
+    votes, hashes = np.zeros(64, np.int64), hashes.astype("<u8", copy=False)
+    for at in range(0, len(hashes), 65536):
+        votes += np.unpackbits(hashes[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * votes > len(hashes), bitorder="little").view(np.dtype("<i8"))[0])
+
+
 def fingerprint(text: str | None) -> int:
     """Signed 64-bit SimHash of the whole text's word shingles, repeats included."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII white space only
@@ -41,10 +49,7 @@ def fingerprint(text: str | None) -> int:
     digest = xxhash.xxh64_intdigest
     n = len(words) - k + 1
     hashes = np.fromiter((digest(line[s:e], SEED) for s, e in zip(starts[:n].tolist(), ends[k - 1 :].tolist(), strict=True)), np.dtype("<u8"), n)
-    votes = np.zeros(64, np.int64)
-    for at in range(0, n, 65536):
-        votes += np.unpackbits(hashes[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * votes > n, bitorder="little").view(np.dtype("<i8"))[0])
+    return majority(hashes)
 
 
 def with_fingerprints(docs: DataFrame, text_col: str, into: str, keep: list[str]) -> DataFrame:

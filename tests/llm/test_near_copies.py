@@ -58,3 +58,17 @@ def test_crowded_buckets_lose_no_component(spark):
     for a, b in found:
         group = {k: group[a] if v == group[b] else v for k, v in group.items()}
     assert len(set(group.values())) == len(_kept(texts)) and len(found) < 150 * 149 / 4
+
+
+def test_the_pipeline_takes_the_links_of_simhash_fingerprints(spark):
+    """A text that is one line many times over, with other words at the end: fingerprints within op10's radius, few shingles in common."""
+    import corpus_pipeline
+
+    line = "alpha beta gamma delta epsilon zeta eta "
+    ends = [" ".join(f"{x}{i}" for i in range(5)) for x in "uvw"]
+    texts = [line * 400 + e for e in ends] + [" ".join(f"other{i}" for i in range(30)), ends[0]]
+    fps = [simhash_dedup.majority(jaccard_dedup.shingles(jaccard_dedup.words_of(t))) for t in texts]
+    near = [[bin((a ^ b) & (2**64 - 1)).count("1") <= simhash_dedup.RADIUS for b in fps] for a in fps]
+    assert all(all(row[:3]) for row in near[:3]) and not any(any(row[3:]) for row in near[:3]) and len(_kept(texts)) == 5
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], SCHEMA).repartition(3)
+    assert sorted(r.doc_id for r in corpus_pipeline.STAGES[1][1](spark, docs, "").collect()) == [0, 3, 4]
