@@ -148,3 +148,14 @@ def test_inferred_keys_equal_their_sql(spark):
         duck.sql(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
     got = sorted(map(str, map(tuple, q.inferred_keys(spark, folder).collect())))
     assert got == sorted(map(str, duck.sql(q.ORACLE_SQL["inferred_keys"]).fetchall()))
+
+
+def test_whole_numbers_are_compared_as_numbers(spark):
+    from gridloom.operators import profile as p
+
+    """Fractions that no key has stay behind, and still count as filled."""
+    values = spark.createDataFrame([(1.0,), (2.5,), (None,), (-0.0,), (float(2**53),)], "x double")
+    kind, number, text = p._plain(values, "x")
+    assert kind == "number" and [tuple(r) for r in values.select(number, text).collect()][:2] + [tuple(values.select(number, text).collect()[4])] == [(1, ""), (0, "2.5"), (2**53, "")]
+    keys = spark.createDataFrame([(0,), (1,), (7,), (None,)], "id int")
+    assert p._overlaps({"a": values, "b": keys}, [("a", "x", "b", "id")]) == {("a", "x", "b"): (2 / 4, 2 / 3)}
