@@ -103,12 +103,13 @@ class Aggregate:
         found = found.withColumnsRenamed({k: f"{k}r" for k in keys})
         return left.join(found, reduce(lambda a, b: a & b, [F.col(k) == F.col(f"{k}r") for k in keys]), "left")
 
-    def _partials(self, slim: DataFrame, keys: list[str]) -> tuple[DataFrame, dict]:
-        """slim grouped by keys: __n rows, and of measure i the sum __s, count __n, least __lo and greatest __hi; and how each is added up."""
+    def _partials(self, slim: DataFrame, keys: list[str], every: bool = True) -> tuple[DataFrame, dict]:
+        """slim grouped by keys: __n rows, and of measure i the sum __s, count __n, least __lo and greatest __hi; and how each is added up. every: also those that no measure needs."""
         parts = {"s": F.sum, "n": F.count, "lo": F.min, "hi": F.max}
+        needed = [(p, i) for i, (f, _) in enumerate(self.measures) for p in parts if every or p in {"COUNT": [], "COUNTA": ["n"], "MIN": ["lo"], "MAX": ["hi"]}.get(f, ["s", "n"])]
         summed = lambda i: F.col(f"__m{i}") if isinstance(slim.schema[f"__m{i}"].dataType, NumericType) else F.lit(None).cast("double")
-        grouped = slim.groupBy(*keys).agg(F.count("*").alias("__n"), *[f(summed(i) if p == "s" else f"__m{i}").alias(f"__{p}{i}") for i in range(len(self.measures)) for p, f in parts.items()])
-        return grouped, {"__n": F.sum} | {f"__{p}{i}": {"s": F.sum, "n": F.sum, "lo": F.min, "hi": F.max}[p] for i in range(len(self.measures)) for p in parts}
+        grouped = slim.groupBy(*keys).agg(F.count("*").alias("__n"), *[parts[p](summed(i) if p == "s" else f"__m{i}").alias(f"__{p}{i}") for p, i in needed])
+        return grouped, {"__n": F.sum} | {f"__{p}{i}": {"s": F.sum, "n": F.sum, "lo": F.min, "hi": F.max}[p] for p, i in needed}
 
     def _unequal(self, wanted: DataFrame, slim: DataFrame, keys: list[str], at: int) -> DataFrame:
         """One <>: of a group, all rows less those of the equal value. Extremes are those of the best value, or of the next best where that is the one left out."""
@@ -137,10 +138,12 @@ class Aggregate:
         return met.select(*keys, *out)
 
     def _boxed(self, wanted: DataFrame, slim: DataFrame, moving: list[Criterion], keys: list[str], measure: bool) -> DataFrame:
-        """Several inequalities: bounds become ranks of the columns' distinct values, a range of ranks the blocks of 1, 2, 4, ... ranks it is made of.
+        """Several inequalities: bounds become ranks of the columns' distinct values, a range of ranks the blocks of 1, 8, 64, ... ranks it is made of.
 
-        Rows are grouped by their block of each size, so what a criterion asks for are equal keys: some 2 log(n) blocks for each
-        column. Nothing is subtracted, so sums of a few rows lose no digits and extremes work alike. A <> leaves two ranges.
+        Rows are grouped by their block of each size, so what a criterion asks for are equal keys: up to 14 blocks of a size for
+        each column. Blocks over FINE levels are made of those below, which are fewer where other columns have few values. Nothing
+        is subtracted, so sums of a few rows lose no digits and extremes work alike. A <> leaves two ranges. What is read more
+        than once (groups, ranks, what is asked for) is kept, so the table is read once and the plan doesn't double with each column.
         Under equal keys, groups of up to FEW rows (of distinct compared values) are met row by row instead. One column that has a
         single bound, that of most values, needs no blocks: it is the order of running totals within the others' blocks.
         """
@@ -151,33 +154,39 @@ class Aggregate:
                 dims.setdefault((c.column, slim.schema[k].dataType.simpleString()), []).append(i)
         own = {d: keys[at[0]] for d, at in dims.items()}
         wanted, slim = wanted.dropna(subset=keys), slim.dropna(subset=[*equal, *own.values()])
-        cells, combine = self._partials(slim, [*equal, *own.values()])
+        cells, combine = self._partials(slim, [*equal, *own.values()], every=False)
+        cells, wanted = kept(cells, measure), kept(wanted, measure)
         total = lambda met: met.groupBy(*keys).agg(*[f(c).alias(c) for c, f in combine.items()])
         asks, few = wanted, None
         if equal:
             named = lambda df, end: df.withColumnsRenamed({k: f"{k}{end}" for k in equal})
             on = lambda end: reduce(lambda a, b: a & b, [F.col(k) == F.col(f"{k}{end}") for k in equal])
-            sizes = named(cells.groupBy(*equal).agg(F.count("*").alias("__size")), "g")
+            sizes = kept(named(cells.groupBy(*equal).agg(F.count("*").alias("__size")), "g"), measure)
             sized = cells.join(sizes, on("g")).select(*cells.columns, "__size")
             one = named(sized.where(F.col("__size") <= FEW).drop("__size").withColumnsRenamed({x: f"{x}_x" for x in own.values()}), "_w")
             tests = [COMPARED[c.op](F.col(f"{own[d]}_x"), F.col(keys[i])) for d, at in dims.items() for i in at for c in (moving[i],)]
             few = total(wanted.join(one, reduce(lambda a, b: a & b, tests, on("_w"))))
+            large = sizes.where(F.col("__size") > FEW)
+            if measure and large.isEmpty():
+                return few.select(*keys, *self._results())
             cells = sized.where(F.col("__size") > FEW).drop("__size")
-            asks = wanted.join(sizes.where(F.col("__size") > FEW), on("g"), "left_semi")
-        points, compared = asks, cells
+            asks = wanted.join(large, on("g"), "left_semi")
         single = [d for d, at in dims.items() if len(at) == 1 and moving[at[0]].op != "<>"]
-        last = max(single, key=lambda d: self._distinct(slim, own[d], d[0], measure)) if single and len(dims) > 1 else None
+        last = max(single, key=lambda d: self._distinct(cells, own[d], d[0], measure)) if single and len(dims) > 1 else None
         dims = {d: at for d, at in dims.items() if d != last} | ({last: dims[last]} if last else {})
+        points, compared = asks, cells
         for j, ((column, _), at) in enumerate(dims.items()):
             x = keys[at[0]]
             values = reduce(DataFrame.unionByName, [points.select(F.col(keys[i]).alias("__x"), F.lit(0).alias("__c")) for i in at], compared.select(F.col(x).alias("__x"), F.lit(1).alias("__c")))
-            ranks = ranked(values, quantiles(self.quantiles, slim, x, column, measure))
-            cells = cells.join(ranks.select(F.col("__x").alias(f"__x{j}"), F.col("__before").alias(f"__r{j}"), F.col("__all").alias(f"__n{j}_all")), F.col(x) == F.col(f"__x{j}")).drop(f"__x{j}")
+            ranks = kept(ranked(values, quantiles(self.quantiles, compared, x, column, measure)), measure)
+            cells = cells.join(ranks.select(F.col("__x").alias(f"__x{j}"), F.col("__before").alias(f"__r{j}"), F.col("__all").alias(f"__n{j}_all")), F.col(x) == F.col(f"__x{j}")).drop(f"__x{j}", x)
             for i in at:
                 asks = asks.join(ranks.select(F.col("__x").alias(f"__x{j}"), F.col("__before").alias(f"__b{i}"), F.col("__there").alias(f"__t{i}"), F.col("__all").alias(f"__n{j}_{i}")), F.col(keys[i]) == F.col(f"__x{j}")).drop(f"__x{j}")
-            if (column, _) == last:
+        cells, asks = kept(cells, measure), kept(asks, measure)
+        for j, ((column, kind), at) in enumerate(dims.items()):
+            if (column, kind) == last:
                 break
-            cells = cells.withColumn(f"__l{j}", F.explode(F.expr(f"sequence(0, int(ceil(log2(__n{j}_all))))"))).withColumn(f"__o{j}", F.expr(f"shiftright(__r{j}, __l{j})")).drop(f"__n{j}_all")
+            cells = in_blocks(cells, j, combine)
             asks = asks.withColumn("__spans", F.array(F.struct(F.lit(0).cast("long").alias("lo"), F.col(f"__n{j}_{at[0]}").alias("hi"))))
             for i in at:
                 before, after = F.col(f"__b{i}"), F.col(f"__b{i}") + F.col(f"__t{i}")
@@ -185,15 +194,16 @@ class Aggregate:
                 lower = {">=": before, ">": after, "<>": after}.get(moving[i].op)
                 parts = [(a, b) for a, b in ((None, upper), (lower, None)) if a is not None or b is not None]
                 asks = asks.withColumn("__spans", F.flatten(F.transform("__spans", _cutter(parts))))
-            asks = asks.withColumn("__span", F.explode("__spans")).withColumn("__block", F.explode(F.expr(BLOCKS.format(n=f"__n{j}_{at[0]}"))))
-            asks = asks.select(*keys, *[c for c in asks.columns if c.startswith(("__l", "__o"))], F.col("__block.level").alias(f"__l{j}"), F.col("__block.node").alias(f"__o{j}"))
+            asks = asks.withColumn("__span", F.explode("__spans")).withColumn("__block", F.explode(F.expr(blocks("__span.lo", "__span.hi", f"__n{j}_{at[0]}"))))
+            asks = asks.drop("__spans", "__span", *[c for i in at for c in (f"__b{i}", f"__t{i}", f"__n{j}_{i}")]).withColumns({f"__l{j}": F.col("__block.level"), f"__o{j}": F.col("__block.node")}).drop("__block")
+        asks = kept(asks, measure)
         on = [*equal, *[f"__{c}{j}" for j in range(len(dims) - (last is not None)) for c in "lo"]]
         if last is not None:
             met = self._running(asks, cells, moving[dims[last][0]].op, dims[last][0], len(dims) - 1, on, keys, combine)
             found = total(met) if few is None else total(met).unionByName(few)
             return found.select(*keys, *self._results())
-        blocks = cells.groupBy(*on).agg(*[f(c).alias(c) for c, f in combine.items()])
-        met = asks.select(*keys, *[c for c in on if c not in keys]).join(blocks.withColumnsRenamed({c: f"{c}_w" for c in on}), reduce(lambda a, b: a & b, [F.col(c) == F.col(f"{c}_w") for c in on]))
+        whole = cells.groupBy(*on).agg(*[f(c).alias(c) for c, f in combine.items()])
+        met = asks.select(*keys, *[c for c in on if c not in keys]).join(whole.withColumnsRenamed({c: f"{c}_w" for c in on}), reduce(lambda a, b: a & b, [F.col(c) == F.col(f"{c}_w") for c in on]))
         found = total(met) if few is None else total(met).unionByName(few)
         return found.select(*keys, *self._results())
 
@@ -217,11 +227,11 @@ class Aggregate:
         cells = cells.withColumn("__r", F.col(f"__r{j}")).withColumn("__range", place("__r", f"__n{j}_all")).select(*on, "__range", "__r", *combine)
         spot = [*on, "__range", "__r"]
         rows = cells.unionByName(asks.select(*spot).distinct().withColumn("__asked", F.lit(True)), allowMissingColumns=True)
-        rows = rows.groupBy(*spot).agg(F.max("__asked").alias("__asked"), *[g(c).alias(c) for c, g in combine.items()])
+        rows = rows.repartition(*on, "__range").groupBy(*spot).agg(F.max("__asked").alias("__asked"), *[g(c).alias(c) for c, g in combine.items()])
         turn = Column.desc if down else Column.asc
         inside = Window.partitionBy(*on, "__range").orderBy(turn(F.col("__r"))).rowsBetween(Window.unboundedPreceding, Window.currentRow if down else -1)
         ahead = Window.partitionBy(*on).orderBy(turn(F.col("__range"))).rowsBetween(Window.unboundedPreceding, -1)
-        whole = rows.groupBy(*on, "__range").agg(*[g(c).alias(c) for c, g in combine.items()]).select(*[F.col(c).alias(f"{c}_w") for c in [*on, "__range"]], *[g(c).over(ahead).alias(f"{c}_b") for c, g in combine.items()])
+        whole = rows.groupBy(*on, "__range").agg(F.max("__asked").alias("__some"), *[g(c).alias(c) for c, g in combine.items()]).select("__some", *[F.col(c).alias(f"{c}_w") for c in [*on, "__range"]], *[g(c).over(ahead).alias(f"{c}_b") for c, g in combine.items()]).where("__some")
         here = rows.select(*spot, "__asked", *[g(c).over(inside).alias(c) for c, g in combine.items()]).where("__asked").join(whole, reduce(lambda a, b: a & b, [F.col(c) == F.col(f"{c}_w") for c in [*on, "__range"]]))
         both = {c: F.coalesce(F.col(c) + F.col(f"{c}_b"), F.col(c), F.col(f"{c}_b")) if g is F.sum else (F.least if g is F.min else F.greatest)(c, f"{c}_b") for c, g in combine.items()}
         here = here.select(*[F.col(c).alias(f"{c}_h") for c in [*on, "__r"]], *[v.alias(c) for c, v in both.items()])
@@ -230,10 +240,38 @@ class Aggregate:
 #: Rows of a group that criteria are compared with one by one.
 FEW = 256
 COMPARED = {"<>": lambda a, b: a != b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b}
-#: The blocks that make up a range of ranks, at most two of each size: those where the range, cut to whole blocks, begins or ends oddly.
-BLOCKS = """flatten(transform(sequence(0, int(ceil(log2({n})))), l -> filter(array(
-    if(shiftright(__span.lo + shiftleft(1L, l) - 1, l) < shiftright(__span.hi, l) AND shiftright(__span.lo + shiftleft(1L, l) - 1, l) % 2 = 1, named_struct('level', l, 'node', shiftright(__span.lo + shiftleft(1L, l) - 1, l)), NULL),
-    if(shiftright(__span.lo + shiftleft(1L, l) - 1, l) < shiftright(__span.hi, l) AND shiftright(__span.hi, l) % 2 = 1, named_struct('level', l, 'node', shiftright(__span.hi, l) - 1), NULL)), b -> b IS NOT NULL)))"""
+#: Bits of a rank by which blocks grow from one level to the next, and the levels that are made of the rows themselves.
+BITS, FINE = 3, 3
+
+
+def kept(df: DataFrame, measure: bool) -> DataFrame:
+    """What is read more than once, computed once: its rows stay with the executors for as long as the driver refers to them."""
+    return df.localCheckpoint() if measure else df
+
+
+def levels(n: str) -> str:
+    """SQL: the greatest level of blocks over n ranks."""
+    return f"int(ceil(log2({n}) / {BITS}))"
+
+
+def blocks(lo: str, hi: str, n: str) -> str:
+    """SQL: the blocks (level, node) that make up the ranks from lo to before hi, of n: of each level those that no block of the next one covers."""
+    up = lambda level: f"shiftright({lo} + shiftleft(1L, {BITS} * ({level})) - 1, {BITS} * ({level}))"
+    down = lambda level: f"shiftright({hi}, {BITS} * ({level}))"
+    first, end, above, beyond = up("l"), down("l"), f"shiftleft({up('l + 1')}, {BITS})", f"shiftleft({down('l + 1')}, {BITS})"
+    run = lambda a, b: f"if({a} < {b}, sequence({a}, {b} - 1), CAST(array() AS array<bigint>))"
+    nodes = f"if({above} < {beyond}, concat({run(first, above)}, {run(beyond, end)}), {run(first, end)})"
+    return f"flatten(transform(sequence(0, {levels(n)}), l -> transform({nodes}, o -> named_struct('level', l, 'node', o))))"
+
+
+def in_blocks(cells: DataFrame, j: int, combine: dict[str, Callable]) -> DataFrame:
+    """cells with their block of each level in column j (__l, __o) in place of the rank __r and the number of ranks __n_all. Coarse blocks are grouped before they are dealt to the levels above."""
+    rank, n, level, node = f"__r{j}", f"__n{j}_all", f"__l{j}", f"__o{j}"
+    fine = cells.withColumn(level, F.explode(F.expr(f"sequence(0, least({FINE - 1}, {levels(n)}))"))).withColumn(node, F.expr(f"shiftright({rank}, {BITS} * {level})"))
+    coarse = cells.where(F.expr(f"{levels(n)} >= {FINE}")).withColumn(rank, F.expr(f"shiftright({rank}, {BITS * FINE})"))
+    coarse = coarse.groupBy(*[c for c in cells.columns if c not in combine]).agg(*[f(c).alias(c) for c, f in combine.items()])
+    coarse = coarse.withColumn(level, F.explode(F.expr(f"sequence({FINE}, {levels(n)})"))).withColumn(node, F.expr(f"shiftright({rank}, {BITS} * ({level} - {FINE}))"))
+    return fine.unionByName(coarse).drop(rank, n)
 
 
 def asked(base: DataFrame, df: DataFrame, values: list[Column]) -> DataFrame:

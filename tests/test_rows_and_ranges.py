@@ -6,6 +6,7 @@ import pytest
 
 from gridloom.operators import rows as rows_module
 from gridloom.operators import steps
+from gridloom.plans.queries import QUERIES
 from gridloom.plans.workbook import Workbook
 
 
@@ -127,3 +128,19 @@ def test_a_range_to_the_last_row_of_a_sheet_reaches_the_end_of_a_longer_table(sp
     v = [i % 4 for i in range(20)]
     for i, r in enumerate(sorted(w.recompute("t").collect(), key=lambda r: r.id)):
         assert (r.left, r["all"], r.high, r.n) == (sum(v[i:]), sum(v), max(v[min(i + 1, 19) :]), 15), i
+
+
+def test_blocks_make_up_a_range_once(spark):
+    rng = random.Random(9)
+    spans = [(lo, rng.randrange(lo, n + 1), n) for n in (1, 2, 7, 8, 9, 64, 65, 5000) for lo in [0, n // 2, *[rng.randrange(n) for _ in range(6)]]] + [(0, n, n) for n in (1, 8, 512, 513)] + [(5, 3, 9)]
+    found = spark.createDataFrame(spans, "lo long, hi long, n long").selectExpr("lo", "hi", "n", f"{steps.blocks('lo', 'hi', 'n')} AS b").collect()
+    for r in found:
+        size = [1 << steps.BITS * x.level for x in r.b]
+        assert sorted(i for x, s in zip(r.b, size, strict=True) for i in range(x.node * s, (x.node + 1) * s)) == list(range(r.lo, r.hi))
+        assert all(size.count(s) <= 2 * ((1 << steps.BITS) - 1) for s in size)
+
+
+def test_several_inequalities_read_the_table_once(spark):
+    df = QUERIES["sumifs_two_columns"](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") <= 4 and plan.count("Exchange") <= 60, "164 scans and 441 exchanges when each column doubled the plan"
