@@ -144,7 +144,8 @@ class Aggregate:
         each column. Blocks over FINE levels are made of those below, which are fewer where other columns have few values. Nothing
         is subtracted, so sums of a few rows lose no digits and extremes work alike. A <> leaves two ranges. What is read more
         than once (groups, ranks, what is asked for) is kept, so the table is read once and the plan doesn't double with each column.
-        Under equal keys, groups of up to FEW rows (of distinct compared values) are met row by row instead. One column that has a
+        Under equal keys, groups of up to FEW rows (of distinct compared values) are met row by row instead, all at once where no
+        group has more rows. One column that has a
         single bound, that of most values, needs no blocks: it is the order of running totals within the others' blocks.
         """
         equal = [k for k, c in zip(keys, moving, strict=True) if c.op == "="]
@@ -154,6 +155,11 @@ class Aggregate:
                 dims.setdefault((c.column, slim.schema[k].dataType.simpleString()), []).append(i)
         own = {d: keys[at[0]] for d, at in dims.items()}
         wanted, slim = wanted.dropna(subset=keys), slim.dropna(subset=[*equal, *own.values()])
+        if equal and measure and all_within(slim, equal, FEW):
+            named = slim.withColumnsRenamed({k: f"{k}_w" for k in [*equal, *own.values()]})
+            tests = [COMPARED[moving[i].op](F.col(f"{own[d]}_w"), F.col(keys[i])) for d, at in dims.items() for i in at]
+            met = wanted.join(named.drop(*[k for k in keys if k not in own.values() and k not in equal]), reduce(lambda a, b: a & b, [*[F.col(k) == F.col(f"{k}_w") for k in equal], *tests]))
+            return self._partials(met, keys, every=False)[0].select(*keys, *self._results())
         cells, combine = self._partials(slim, [*equal, *own.values()], every=False)
         cells, wanted = kept(cells, measure), kept(wanted, measure)
         total = lambda met: met.groupBy(*keys).agg(*[f(c).alias(c) for c, f in combine.items()])
@@ -167,8 +173,6 @@ class Aggregate:
             tests = [COMPARED[c.op](F.col(f"{own[d]}_x"), F.col(keys[i])) for d, at in dims.items() for i in at for c in (moving[i],)]
             few = total(wanted.join(one, reduce(lambda a, b: a & b, tests, on("_w"))))
             large = sizes.where(F.col("__size") > FEW)
-            if measure and large.isEmpty():
-                return few.select(*keys, *self._results())
             cells = sized.where(F.col("__size") > FEW).drop("__size")
             asks = wanted.join(large, on("g"), "left_semi")
         single = [d for d, at in dims.items() if len(at) == 1 and moving[at[0]].op != "<>"]
@@ -237,13 +241,18 @@ class Aggregate:
         here = here.select(*[F.col(c).alias(f"{c}_h") for c in [*on, "__r"]], *[v.alias(c) for c, v in both.items()])
         return asks.select(*keys, *[c for c in [*on, "__r"] if c not in keys]).join(here, reduce(lambda a, b: a & b, [F.col(c) == F.col(f"{c}_h") for c in [*on, "__r"]]))
 
-#: Rows of a group that criteria are compared with one by one.
-FEW = 256
+#: Rows of a group that criteria are compared with one by one, and that one task's window holds.
+FEW, WHOLE = 256, 1 << 16
 COMPARED = {"<>": lambda a, b: a != b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b}
 #: Bits of a rank by which blocks grow from one level to the next, and the levels that are made of the rows themselves.
 BITS, FINE = 3, 3
 
 
+def all_within(slim: DataFrame, equal: list[str], most: int) -> bool:
+    """Whether no value of the equal keys has more rows."""
+    return slim.groupBy(*equal).agg(F.count("*").alias("__size")).where(F.col("__size") > most).isEmpty()
+
+
 def kept(df: DataFrame, measure: bool) -> DataFrame:
     """What is read more than once, computed once: its rows stay with the executors for as long as the driver refers to them."""
     return df.localCheckpoint() if measure else df
@@ -361,7 +370,8 @@ class Ordered:
         left = df.withColumns({k: a for (a, _), k in zip(sides, equal, strict=True)} | {f"__b{j}": a for j, (a, _) in enumerate(compared)})
         source, own = df if base is None else base, [a.alias(k) for (a, _), k in zip(sides, equal, strict=True)]
         asks = reduce(DataFrame.unionByName, [asked(source, df, [*own, a.alias("__by")]) for a, _ in compared]).dropna().withColumn("__asked", F.lit(True))
-        edges = quantiles(self.quantiles, slim, "__by", self.column, measure)
+        # Keys of few rows each are whole in their tasks: ranges would only make as many totals as there are rows.
+        edges = [] if equal and measure and all_within(slim, equal, WHOLE) else quantiles(self.quantiles, slim, "__by", self.column, measure)
         # Parts by the way they are added up: from the least value on, or from the greatest.
         ways: dict[str, dict[str, Callable]] = {"up": {}, "down": {}}
         for f, c, lower, upper in self.measures:

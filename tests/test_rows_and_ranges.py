@@ -144,3 +144,9 @@ def test_several_inequalities_read_the_table_once(spark):
     df = QUERIES["sumifs_two_columns"](spark, "/root/testdata/sf0.001")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan parquet") <= 4 and plan.count("Exchange") <= 60, "164 scans and 441 exchanges when each column doubled the plan"
+
+
+def test_few_rows_of_a_key_are_met_at_once(spark):
+    df = QUERIES["sumifs_between_by_key"](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") <= 20, "60 when groups were sized and cut into blocks that no key needs"
