@@ -22,6 +22,7 @@ from array import array
 from collections.abc import Callable, Iterable, Sequence
 from copy import copy
 from functools import lru_cache
+from operator import itemgetter
 
 import numpy as np
 import regex
@@ -49,8 +50,8 @@ def _common_split() -> re.Pattern:
 
     def ranges(of: str) -> str:
         inside, found = regex.compile(of), []
-        for c in range(0x110000):
-            if not 0xD800 <= c < 0xE000 and inside.match(chr(c)) and COMMON.fullmatch(chr(c)):
+        for c in range(0xD800):  # COMMON has no characters beyond
+            if COMMON.fullmatch(chr(c)) and inside.match(chr(c)):
                 if found and found[-1][1] == c - 1:
                     found[-1][1] = c
                 else:
@@ -320,34 +321,72 @@ class Encoder:
 
 
 class LibraryEncoder(Encoder):
-    """The same, with the words' ids from the tokenizers library, for those who need ids and not the method; a light vocabulary will do.
+    """The same to bytes of little-endian ids, with the words' ids from the tokenizers library, for those who need ids and not the method; a light vocabulary will do.
 
-    The library gets WORDS words at a time and no threads of its own: a task has the core that Spark gave it.
+    Texts are cut at white space, which is in no word, and what is between is remembered whole, so only what is new is split into
+    words. The library gets WORDS words as one text and no threads of its own: a task has the core that Spark gave it. Words are
+    told apart by the suffix of their last tokens, or one by one where the vocabulary has none.
     """
 
     remember = REMEMBER >> 1
 
-    def __init__(self, vocabulary: Vocabulary, *options):
-        super().__init__(vocabulary, *options)
+    def __init__(self, vocabulary: Vocabulary, kind: str):
+        super().__init__(vocabulary, None, b"".join)
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
+        self.kind = np.dtype(kind)
         self.whole = Tokenizer.from_str(vocabulary.text)
         self.whole.normalizer = normalizers.Sequence([])  # words are normal and split already
-        self.whole.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.whole.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.whole.encode_special_tokens = True
-
-    def encode_words(self, words: Iterable[str]) -> dict[str, list[int]]:
-        listed, out = list(words), {}
+        self.letters = vocabulary.pattern == KNOWN_SPLIT  # letters in a row are one word
+        self.words_and_spaces = (re if self.letters else regex).compile(f"{self.words.pattern}| ")
+        self.last = np.zeros(max(vocabulary.names) + 1, bool)
+        if vocabulary.suffix:
+            self.last[[i for i, t in vocabulary.names.items() if t.endswith(vocabulary.suffix)]] = True
+
+    def packed_words(self, words: Iterable[str]) -> dict[str, bytes]:
+        listed, size, out = list(words), self.kind.itemsize, {}
         for at in range(0, len(listed), WORDS):
             some = listed[at : at + WORDS]
-            out |= {w: e.ids for w, e in zip(some, self.whole.encode_batch(some, add_special_tokens=False), strict=True)}
+            ids = np.array(self.whole.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.int64)
+            ends = (np.flatnonzero(self.last[ids]) + 1) * size
+            if len(ends) != len(some):  # each word has one at least, its last
+                found = [e.ids for e in self.whole.encode_batch_fast(some, add_special_tokens=False)]
+                ids, ends = np.concatenate([np.array(x, np.int64) for x in found]), np.cumsum([len(x) * size for x in found])
+            data, ends = ids.astype(self.kind).tobytes(), ends.tolist()
+            out.update((w, data[a:b]) for w, a, b in zip(some, [0, *ends[:-1]], ends, strict=True))
         return out
 
-
-def library_packed(vocabulary: Vocabulary, kind: str = "<u4") -> Encoder:
-    code = {"<u2": "H", "<u4": "I"}[kind]
-    return LibraryEncoder(vocabulary, lambda ids: array(code, ids).tobytes(), b"".join)
+    def encode_batch(self, texts: Sequence[str | None]) -> list[bytes]:
+        split, whole = [], set()
+        for text in texts:
+            text = text or ""
+            if not _common(text) or any(t in text for t in self.v.added):
+                split.append(self._split_with_added(text))
+                whole.update(split[-1])  # words of texts that aren't common, and added tokens
+            else:
+                if not text.isascii():
+                    text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+                split.append(text.lower().split())
+        present = set().union(*split)
+        new = present.difference(self.pieces)
+        mixed = [c for c in new if c not in whole and not (self.letters and c.isalpha())]
+        parts = self.words_and_spaces.findall(" ".join(mixed) + " ")  # one flat list: as many small ones wake the garbage collector
+        if len(self.pieces) + 2 * len(new) > self.remember:
+            self.pieces = {c: self.pieces[c] for c in present if c in self.pieces}
+        words = new.difference(mixed).union(parts).difference(self.pieces, " ")
+        added = {w for w in words if w[0] == " "}
+        self.pieces.update((w, np.array([self.v.added[w[1:]]], self.kind).tobytes()) for w in added)
+        self.pieces |= self.packed_words(words - added)
+        piece, following = self.pieces.__getitem__, iter(parts).__next__
+        self.pieces |= [(c, b"".join(map(piece, iter(following, " ")))) for c in mixed]
+        return [b"".join(itemgetter(*chunks)(self.pieces) if len(chunks) > 1 else map(piece, chunks)) for chunks in split]
+
+
+def library_packed(vocabulary: Vocabulary, kind: str = "<u4") -> LibraryEncoder:
+    return LibraryEncoder(vocabulary, kind)
 
 
 def packed(vocabulary: Vocabulary, kind: str = "<u4") -> Encoder:
