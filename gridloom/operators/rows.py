@@ -65,18 +65,19 @@ class Neighbours:
     wanted: dict[Cell | Stretch | Balance, str] = field(default_factory=dict)  # to the hidden column
     made: dict[str, Column] = field(default_factory=dict)  # columns that balances read
     edges: dict[tuple, list] = field(default_factory=dict)
+    source: DataFrame | None = None  # the stored table, whose rows are those of df
 
     def apply(self, df: DataFrame, right: DataFrame, measure: bool = True, base: DataFrame | None = None) -> DataFrame:
         """Only df is read. measure: whether to look at the data for the edges of ranges."""
         columns = df.columns
-        rows = numbered(df.withColumns(self.made) if self.made else df, self.order, "__i", self._edges(df, measure))
+        rows = numbered(df.withColumns(self.made) if self.made else df, self.order, "__i", self._edges(df, measure), self.source, measure)
         cells = {w: h for w, h in self.wanted.items() if isinstance(w, Cell)}
         slides = {w: h for w, h in self.wanted.items() if isinstance(w, Stretch) and not w.first_fixed}
         runs = {w: h for w, h in self.wanted.items() if isinstance(w, Stretch) and w not in slides}
         if runs:
-            rows = self._running(rows, runs)
+            rows = self._running(rows, runs, measure)
         if balances := {w: h for w, h in self.wanted.items() if isinstance(w, Balance)}:
-            rows = self._balances(rows, balances)
+            rows = self._balances(rows, balances, measure)
         # Running totals end at this row; those that end some rows off are read from there.
         moved = {h: w.last for w, h in runs.items() if not w.last_fixed and w.last}
         if cells or slides or moved:
@@ -97,7 +98,7 @@ class Neighbours:
         number = v if rows.schema[w.column].dataType.typeName() not in ("date", "timestamp", "timestamp_ntz") else F.lit(None).cast("double")
         return {"n": v.isNotNull().cast("long"), "s": number, "lo": v, "hi": v, "any": F.col(w.column)}
 
-    def _running(self, rows: DataFrame, runs: dict[Stretch, str]) -> DataFrame:
+    def _running(self, rows: DataFrame, runs: dict[Stretch, str], measure: bool) -> DataFrame:
         """Totals from a fixed row (or the first) to this one, from this one to a fixed row (or the last), or between fixed rows."""
         values, parts = {}, {}
         for j, w in enumerate(runs):
@@ -106,11 +107,11 @@ class Neighbours:
                 for p in _parts(w.f):
                     values[f"__v{j}{way}{p}"], parts[f"__v{j}{way}{p}"] = F.when(inside, self._values(rows, w)[p]), (PARTS[p], way)
         rows = rows.withColumns(values)
-        whole = rows.groupBy("__range").agg(*[g(c).alias(f"{c}_t") for c, (g, _) in parts.items()])
+        whole = gathered(rows.groupBy("__range").agg(*[g(c).alias(f"{c}_t") for c, (g, _) in parts.items()]), measure)
         turns = {"up": Column.asc, "down": Column.desc}
         ahead = {way: Window.orderBy(turn(F.col("__range"))).rowsBetween(Window.unboundedPreceding, -1) for way, turn in turns.items()} | {"all": Window.partitionBy()}
         beyond = [g(f"{c}_t").over(ahead[way]).alias(f"{c}_b") for c, (g, way) in parts.items()]
-        rows = rows.join(whole.select(F.col("__range").alias("__ranged"), *beyond), F.col("__range") == F.col("__ranged")).drop("__ranged")  # a row for each range
+        rows = rows.join(F.broadcast(whole.select(F.col("__range").alias("__ranged"), *beyond)), F.col("__range") == F.col("__ranged")).drop("__ranged")  # a row for each range
         inside = {way: Window.partitionBy("__range").orderBy(turn(F.col("__i"))).rowsBetween(Window.unboundedPreceding, Window.currentRow) for way, turn in turns.items()}
         here = {f"{c}_x": F.col(f"{c}_b") if way == "all" else _joint(g, g(c).over(inside[way]), F.col(f"{c}_b")) for c, (g, way) in parts.items()}
         rows = rows.withColumns(here)
@@ -120,9 +121,9 @@ class Neighbours:
             out[h] = told["all"] if w.last_fixed else F.when(F.col("__i") >= w.first, told["up"]).otherwise(told["down"])
         return rows.withColumns(out).drop(*parts, *[f"{c}_b" for c in parts], *here)
 
-    def _balances(self, rows: DataFrame, balances: dict[Balance, str]) -> DataFrame:
+    def _balances(self, rows: DataFrame, balances: dict[Balance, str], measure: bool) -> DataFrame:
         for b, h in balances.items():
-            rows = scan(rows, b, h)
+            rows = scan(rows, b, h, measure)
         return rows
 
     def _near(self, rows: DataFrame, cells: dict[Cell, str], slides: dict[Stretch, str], moved: dict[str, int]) -> DataFrame:
@@ -189,7 +190,12 @@ def at(c: Column, offset: int, order) -> Column:
     return F.lead(c, offset).over(order) if offset > 0 else F.lag(c, -offset).over(order) if offset < 0 else c
 
 
-def numbered(df: DataFrame, order: list[str], name: str, edges: list) -> DataFrame:
+def gathered(few: DataFrame, measure: bool) -> DataFrame:
+    """A row for each range or block, computed now, so that the plan that goes on reads what is before it once. Without measure no job is run."""
+    return few.sparkSession.createDataFrame(few.collect(), few.schema) if measure else few
+
+
+def numbered(df: DataFrame, order: list[str], name: str, edges: list, source: DataFrame | None = None, measure: bool = False) -> DataFrame:
     """Row numbers from 0 in order, and __range, the range between the edges (tuples of the order's values) that a row is in.
 
     Rows that the order can't tell apart have their numbers in any order.
@@ -197,45 +203,50 @@ def numbered(df: DataFrame, order: list[str], name: str, edges: list) -> DataFra
     kinds = [df.schema[c].dataType for c in order]
     place = F.struct(*[F.col(f"`{c}`").alias(f"o{i}") for i, c in enumerate(order)])
     tuples = [F.struct(*[F.lit(v).cast(k).alias(f"o{i}") for i, (v, k) in enumerate(zip(e, kinds, strict=True))]) for e in edges]
-    ranged = df.withColumn("__range", F.size(F.filter(F.array(*tuples), lambda e: e <= place)) if tuples else F.lit(0))
-    counts = ranged.groupBy("__range").agg(F.count("*").alias("__n"))
+    within = F.size(F.filter(F.array(*tuples), lambda e: e <= place)) if tuples else F.lit(0)
+    ranged = df.withColumn("__range", within)
+    counts = gathered((ranged if source is None else source.withColumn("__range", within)).groupBy("__range").agg(F.count("*").alias("__n")), measure)
     ahead = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select(F.col("__range").alias("__ranged"), F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__ahead"))  # a row for each range
     inside = F.row_number().over(Window.partitionBy("__range").orderBy(*[F.col(f"`{c}`").asc_nulls_first() for c in order])) - 1
-    return ranged.withColumn("__in", inside).join(counts, F.col("__range") == F.col("__ranged")).withColumn(name, F.col("__in") + F.col("__ahead")).drop("__in", "__ahead", "__ranged")
+    return ranged.withColumn("__in", inside).join(F.broadcast(counts), F.col("__range") == F.col("__ranged")).withColumn(name, F.col("__in") + F.col("__ahead")).drop("__in", "__ahead", "__ranged")
 
 
-def scan(rows: DataFrame, b: Balance, into: str) -> DataFrame:
+def scan(rows: DataFrame, b: Balance, into: str, measure: bool = True) -> DataFrame:
     """rows (numbered by __i) with the balance of each."""
     if b.factor is None:
-        return Neighbours([])._running(rows, {Stretch("SUM", b.term, 0, 0, True, False): into})
+        return Neighbours([])._running(rows, {Stretch("SUM", b.term, 0, 0, True, False): into}, measure)
     steps = rows.select(F.col("__i").alias("i"), F.coalesce(F.col(b.factor), F.lit(0)).cast("double").alias("a"), F.coalesce(F.col(b.term), F.lit(0)).cast("double").alias("c"))
-    found = composed(steps).select(F.col("i").alias("__at"), F.col("c").alias(into))
+    found = composed(steps, measure).select(F.col("i").alias("__at"), F.col("x").alias(into))
     return rows.join(found, F.col("__i") == F.col("__at")).drop("__at")
 
 
-def composed(steps: DataFrame, levels: int = 3) -> DataFrame:
-    """i, a and c of x -> a x + c for each row i, composed with those of all rows before it: block by block, then over the blocks' ends.
+def composed(steps: DataFrame, measure: bool = True) -> DataFrame:
+    """i and x(i) = a x(i - 1) + c for each row i, from x = 0 before the first.
 
-    The ends are composed in the same way, BLOCK times fewer each time; at the last level one block holds them, for up to BLOCK^levels rows.
+    A block's steps are one step, a row for BLOCK; these, one after another, tell what each block begins with, and its rows follow in turn.
     """
-    import numpy as np
     import pandas as pd
 
+    def following(one: pd.DataFrame, x: float) -> list[float]:
+        out = []
+        for a, c in zip(one["a"].tolist(), one["c"].tolist(), strict=True):
+            x = a * x + c if x else c
+            out.append(x)
+        return out
+
+    def ends(one: pd.DataFrame) -> pd.DataFrame:
+        one = one.sort_values("i")
+        return pd.DataFrame({"block": one["block"].iloc[:1], "a": one["a"].prod(), "c": following(one, 0.0)[-1:]})
+
+    def carried(all_ends: pd.DataFrame) -> pd.DataFrame:
+        all_ends = all_ends.sort_values("block")
+        return pd.DataFrame({"block": all_ends["block"] + 1, "carried": following(all_ends, 0.0)})
+
     def inside(one: pd.DataFrame) -> pd.DataFrame:
         one = one.sort_values("i")
-        a, c, reach = one["a"].to_numpy(np.float64, copy=True), one["c"].to_numpy(np.float64, copy=True), 1
-        while reach < len(a):  # each row's steps after those of the rows `reach` before
-            c[reach:] += a[reach:] * c[:-reach]
-            a[reach:] = a[reach:] * a[:-reach]
-            reach *= 2
-        return pd.DataFrame({"block": one["block"], "i": one["i"], "a": a, "c": c})
-
-    dealt = steps.withColumn("block", F.floor(F.col("i") / BLOCK) if levels > 1 else F.lit(0).cast("bigint"))
-    here = dealt.groupBy("block").applyInPandas(inside, "block bigint, i bigint, a double, c double")
-    if levels == 1:
-        return here.select("i", "a", "c")
-    ends = here.groupBy("block").agg(F.max_by("a", "i").alias("a"), F.max_by("c", "i").alias("c"))
-    before = composed(ends.select(F.col("block").alias("i"), "a", "c"), levels - 1).select((F.col("i") + 1).alias("after"), F.col("c").alias("carried"), F.col("a").alias("factor"))
-    met = here.join(before, F.col("block") == F.col("after"), "left")
-    return met.select("i", (F.col("a") * F.coalesce("factor", F.lit(1.0))).alias("a"), (F.col("c") + F.col("a") * F.coalesce("carried", F.lit(0.0))).alias("c"))
+        return pd.DataFrame({"i": one["i"], "x": following(one, float(one["carried"].iloc[0]))})
+
+    dealt = steps.withColumn("block", F.floor(F.col("i") / BLOCK))
+    ahead = gathered(dealt.groupBy("block").applyInPandas(ends, "block bigint, a double, c double").groupBy().applyInPandas(carried, "block bigint, carried double"), measure)
+    return dealt.join(F.broadcast(ahead), "block", "left").fillna(0.0, ["carried"]).groupBy("block").applyInPandas(inside, "i bigint, x double")

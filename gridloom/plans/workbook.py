@@ -415,7 +415,7 @@ class _Lowering:
         if self.t.first_by is None:
             raise Unsupported(f"rows of {self.t.name} have no order")
         if signature not in self.steps:
-            self.steps[signature] = (None, Neighbours(self.t.order_by, edges=self.book._quantiles.setdefault((self.t.name, "order"), {})), set())
+            self.steps[signature] = (None, Neighbours(self.t.order_by, edges=self.book._quantiles.setdefault((self.t.name, "order"), {}), source=self.t.df), set())
         return self.steps[signature][1], signature
 
     def other_row(self, wanted: object, *more: object) -> str:
