@@ -208,16 +208,21 @@ def _bits(hashes: DataFrame) -> DataFrame:
     return hashes.select(F.shiftright(high, 6).cast("int").alias("at"), _bit(high).alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits"))
 
 
+def _filled(hashes: DataFrame) -> np.ndarray:
+    """_bits of hashes as an array of 2 MB, the same for any input. Gathered as Arrow in one go: an iterator over partitions is a job for each of them."""
+    got = _bits(hashes).toArrow()  # 2**(FILTER_BITS - 6) rows of 12 bytes at most
+    filled = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    filled[got.column("at").to_numpy()] = got.column("bits").to_numpy()
+    return filled
+
+
 def _bit(high: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), high.bitwiseAND(F.lit(63)).cast("int"))
 
 
 def _sets(nodes: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     """nodes: distinct node; texts: text. Saved node and set (sorted distinct shingles) of those nodes. Of other texts, only a few of the same leading bits leave their task."""
-    filled = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    for r in _bits(nodes.select(F.col("node").alias("h"))).toLocalIterator():
-        filled[r["at"]] = r["bits"]
-    shared = nodes.sparkSession.sparkContext.broadcast(filled)
+    shared = nodes.sparkSession.sparkContext.broadcast(_filled(nodes.select(F.col("node").alias("h"))))
 
     def make():
         bits = shared.value
