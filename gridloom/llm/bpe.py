@@ -142,9 +142,12 @@ class SuffixAutomaton:
 
 
 class Vocabulary:
-    """What a tokenizer file says, and the automaton. Made once on the driver; its size is that of the file."""
+    """What a tokenizer file says, and the automaton. Made once on the driver; its size is that of the file.
 
-    def __init__(self, text: str):
+    Without whole, what only the dynamic program needs (ranks, spines, the automaton) is left out: it takes most of the memory.
+    """
+
+    def __init__(self, text: str, whole: bool = True):
         spec = json.loads(text)
         model = spec["model"]
         if model["type"] != "BPE" or model.get("byte_fallback") or model.get("ignore_merges") or model.get("continuing_subword_prefix") or spec.get("decoder"):
@@ -169,13 +172,21 @@ class Vocabulary:
             if z in self.parts or max(self.born[x], self.born[y]) >= r:
                 raise ValueError("merges must make each token once, after its parts")
             self.rank[x, y], self.parts[z], self.born[z] = r, (x, y), r
-            spelled[z] = spelled[x] + spelled[y]
+            if whole:
+                spelled[z] = spelled[x] + spelled[y]
+        if not whole:
+            self._lighten()
+            return
         self._spines()
-        whole = set(self.base)
+        kept = set(self.base)
         for z, (x, y) in self.parts.items():  # in the order of ranks: parts first
-            if x in whole and y in whole and not self._earlier(x, y, self.born[z]):
-                whole.add(z)
-        self.automaton = SuffixAutomaton((i, spelled[i]) for i in sorted(whole))
+            if x in kept and y in kept and not self._earlier(x, y, self.born[z]):
+                kept.add(z)
+        self.automaton = SuffixAutomaton((i, spelled[i]) for i in sorted(kept))
+
+    def _lighten(self) -> None:
+        self.automaton = None
+        self.rank, self.parts, self.born, self.right, self.left, self.vocab = {}, {}, {}, {}, {}, {}
 
     def _spines(self) -> None:
         """Of each token: it, its last part, that one's last part ... with the rank at which each goes into a larger one; likewise first parts."""
@@ -401,9 +412,9 @@ def written(vocabulary: Vocabulary) -> Encoder:
 
 
 @lru_cache(maxsize=4)
-def vocabulary(path: str) -> Vocabulary:
+def vocabulary(path: str, whole: bool = True) -> Vocabulary:
     with open(path, encoding="utf-8") as f:
-        return Vocabulary(f.read())
+        return Vocabulary(f.read(), whole)
 
 
 _encoders: dict[tuple, Encoder] = {}
@@ -427,14 +438,13 @@ def forget_encoders() -> None:
 def light(v: Vocabulary) -> Vocabulary:
     """Without what the dynamic program needs."""
     out = copy(v)
-    out.automaton = None
-    out.rank, out.parts, out.born, out.right, out.left, out.vocab = {}, {}, {}, {}, {}, {}
+    out._lighten()
     return out
 
 
 def share(spark: SparkSession, path: str, whole: bool = True) -> Broadcast:
     """The vocabulary for the workers; its size is bounded by the file's, a few MB."""
-    v = vocabulary(path) if whole else light(vocabulary(path))
+    v = vocabulary(path, whole)
     return spark.sparkContext.broadcast((hashlib.sha256(v.text.encode()).hexdigest(), v))
 
 

@@ -1,8 +1,9 @@
-"""What the near-duplicate stage gathers at the driver takes a few jobs, however many partitions it lies in."""
+"""What stages of the pipeline take of the driver: a few jobs for what is gathered there, and no automaton."""
 
 import numpy as np
+import public_tokenizers
 
-from gridloom.llm import jaccard_dedup
+from gridloom.llm import bpe, jaccard_dedup
 
 
 def test_the_filter_of_hashes_is_gathered_by_a_few_jobs(spark):
@@ -31,3 +32,18 @@ def test_the_filter_holds_the_leading_bits_of_every_hash(spark):
     high = {(h % 2**64) >> (64 - jaccard_dedup.FILTER_BITS) for h in hashes}
     assert {int(at) * 64 + b for at in np.flatnonzero(filled) for b in range(64) if int(filled[at]) >> b & 1} == high
     assert not jaccard_dedup._filled(spark.createDataFrame([], "h long")).any()
+
+
+def test_packing_makes_no_automaton_on_the_driver(spark, monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    expected = vars(bpe.light(bpe.vocabulary(path)))
+    bpe.vocabulary.cache_clear()
+
+    def never(*_):
+        raise AssertionError("the automaton isn't needed")
+
+    monkeypatch.setattr(bpe, "SuffixAutomaton", never)
+    try:
+        assert vars(bpe.share(spark, path, whole=False).value[1]) == expected
+    finally:
+        bpe.vocabulary.cache_clear()
